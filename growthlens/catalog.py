@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from .operators import gmv
+from .operators import acquisition, activation, funnel, gmv
 from .plans import base
 from .sources.star import Star, load_row_counts
 
@@ -23,6 +23,23 @@ QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     "orders_delivered": _od_flagged,
     "customer_first": base.customer_first,
     "order_margin": base.order_margin,
+    # 2.4 acquisition
+    "signups_by_month_channel": acquisition.signups_by_month_channel,
+    "cac_by_channel": acquisition.cac_by_channel,
+    "cac_payback": acquisition.cac_payback,
+    "channel_scorecard": acquisition.channel_scorecard,
+    # 2.5 activation
+    "activation_by_month_channel": activation.activation_by_month_channel,
+    "activation_by_platform": activation.activation_by_platform,
+    "time_to_first_order": activation.time_to_first_order,
+    "first_session_depth": activation.first_session_depth,
+    # 2.6 funnel
+    "session_funnel": base.session_funnel,
+    "funnel_overall": funnel.funnel_overall,
+    "conversion_by_month": funnel.conversion_by_month,
+    "funnel_by_platform": funnel.funnel_by_platform,
+    "search_vs_browse": funnel.search_vs_browse,
+    "cart_checkout_by_zone_period": funnel.cart_checkout_by_zone_period,
     # 2.9 GMV
     "monthly_kpis": gmv.monthly_kpis,
     "gmv_bridge": gmv.gmv_bridge,
