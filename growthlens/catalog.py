@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from .operators import acquisition, activation, funnel, gmv
+from .operators import acquisition, activation, churn, funnel, gmv, retention
 from .plans import base
 from .sources.star import Star, load_row_counts
 
@@ -40,6 +40,19 @@ QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     "funnel_by_platform": funnel.funnel_by_platform,
     "search_vs_browse": funnel.search_vs_browse,
     "cart_checkout_by_zone_period": funnel.cart_checkout_by_zone_period,
+    # 2.7 retention
+    "cohort_activity": base.cohort_activity,
+    "retention_triangle": retention.retention_triangle,
+    "retention_m1_m3_m6": retention.retention_m1_m3_m6,
+    "m1_by_channel": retention.m1_by_channel,
+    "m1_by_buyer_type": retention.m1_by_buyer_type,
+    # 2.8 churn
+    "lifecycle_snapshot": churn.lifecycle_snapshot,
+    "repeat_after_first_order": churn.repeat_after_first_order,
+    "churn_by_first_experience": churn.churn_by_first_experience,
+    "churn_by_channel": churn.churn_by_channel,
+    "churn_by_zone_period": churn.churn_by_zone_period,
+    "reactivation": churn.reactivation,
     # 2.9 GMV
     "monthly_kpis": gmv.monthly_kpis,
     "gmv_bridge": gmv.gmv_bridge,
