@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from .operators import acquisition, activation, churn, funnel, gmv, retention
+from .operators import acquisition, activation, churn, experience, funnel, gmv, health, marketplace, retention, rfm
 from .plans import base
 from .sources.star import Star, load_row_counts
 
@@ -59,4 +59,22 @@ QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     "growth_accounting": gmv.growth_accounting,
     "category_mix": gmv.category_mix,
     "margin_by_tenure": gmv.margin_by_tenure,
+    "customer_rfm": rfm.customer_rfm_public,
+    "rfm_summary": rfm.rfm_summary,
+    "rfm_bad_first": rfm.rfm_bad_first,
+    # 2.10 marketplace, experience
+    "store_month_ops": marketplace.store_month_ops,
+    "store_pre_post": marketplace.store_pre_post,
+    "demand_heatmap": marketplace.demand_heatmap,
+    "repeat_vs_on_time": marketplace.repeat_vs_on_time,
+    "heart_monthly": experience.heart_monthly,
+    "reorder_by_rating": experience.reorder_by_rating,
+    "rating_by_experience": experience.rating_by_experience,
+    # 2.11 health
+    "customer_health": health.customer_health,
+    "health_tier_summary": health.health_tier_summary,
+    "health_by_zone": health.health_by_zone,
+    "product_health": health.product_health,
+    "product_tier_mix": health.product_tier_mix,
+    "product_review_list": health.product_review_list,
 }

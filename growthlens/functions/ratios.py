@@ -19,17 +19,21 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def rounded_units(num, den, scale: int = 1, mult: int = 1) -> Column:
+    """round_half_away(mult * num / den * 10**scale) as LONG (NULL when den is 0)."""
+    n = _c(num).cast(DEC)
+    d = F.nullif(_c(den).cast(DEC), F.lit(0).cast(DEC))
+    k = F.lit(2 * (10**scale) * mult).cast(DEC)
+    q = F.call_function("div", F.abs(n) * k + d, d * F.lit(2).cast(DEC))
+    return F.when(n < 0, -q).otherwise(q)
+
+
 def round_ratio(num, den, scale: int = 1, mult: int = 1) -> Column:
     """round_half_away(mult * num / den, scale) as DOUBLE.
 
     NULL when ``den`` is 0 or NULL (NULLIF semantics); ``den`` must be > 0.
     """
-    n = _c(num).cast(DEC)
-    d = F.nullif(_c(den).cast(DEC), F.lit(0).cast(DEC))
-    k = F.lit(2 * (10**scale) * mult).cast(DEC)
-    q = F.call_function("div", F.abs(n) * k + d, d * F.lit(2).cast(DEC))
-    signed = F.when(n < 0, -q).otherwise(q)
-    return signed.cast("double") / F.lit(float(10**scale))
+    return rounded_units(num, den, scale, mult).cast("double") / F.lit(float(10**scale))
 
 
 def idiv(num, den) -> Column:
