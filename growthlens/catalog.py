@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from .operators import quality
 from .operators import acquisition, activation, churn, experience, funnel, gmv, health, marketplace, retention, rfm
 from .plans import base
 from .sources.star import Star, load_row_counts
@@ -19,6 +20,10 @@ QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     # 2.1 sources / generated dimension
     "load_row_counts": load_row_counts,
     "dim_date": base.dim_date,
+    # 2.2 data quality
+    "dq_audit": quality.dq_audit,
+    "dq_key_integrity": quality.dq_key_integrity,
+    "order_status_profile": quality.order_status_profile,
     # 2.3 base views
     "orders_delivered": _od_flagged,
     "customer_first": base.customer_first,
