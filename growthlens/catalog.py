@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from .operators import quality
+from .operators import feeds, quality
 from .operators import acquisition, activation, churn, experience, funnel, gmv, health, marketplace, retention, rfm
 from .plans import base
 from .sources.star import Star, load_row_counts
@@ -82,4 +82,6 @@ QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     "product_health": health.product_health,
     "product_tier_mix": health.product_tier_mix,
     "product_review_list": health.product_review_list,
+    # 2.12 BI feeds
+    **feeds.FEEDS,
 }
