@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from .operators import feeds, quality
+from .operators import feeds, quality, report
 from .operators import acquisition, activation, churn, experience, funnel, gmv, health, marketplace, retention, rfm
 from .plans import base
 from .sources.star import Star, load_row_counts
@@ -84,4 +84,17 @@ QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     "product_review_list": health.product_review_list,
     # 2.12 BI feeds
     **feeds.FEEDS,
+    # 2.14 report metrics
+    "bad_first_share": report.bad_first_share,
+    "same_day_share_of_buyers": report.same_day_share_of_buyers,
+    "ops_pooled_stressed_vs_other": report.ops_pooled_stressed_vs_other,
+    "zone_unhealthy_share": report.zone_unhealthy_share,
+    "discount_led_share": report.discount_led_share,
+    "blended_retention": report.blended_retention,
+    "search_share": report.search_share,
+    "top_segments_share": report.top_segments_share,
+    "reorder_low_rating": report.reorder_low_rating,
+    "avg_contribution_per_order": report.avg_contribution_per_order,
+    "high_margin_attach": report.high_margin_attach,
+    "bad_first_opportunity": report.bad_first_opportunity,
 }

@@ -51,8 +51,8 @@ def lifecycle_snapshot(star: Star) -> DataFrame:
                     pct(F.col("lifetime_gmv_rs"), F.sum("lifetime_gmv_rs").over(all_rows)).alias("gmv_share_pct"))
 
 
-def repeat_after_first_order(star: Star) -> DataFrame:
-    """Second delivered order (strictly later timestamp) within the repeat window."""
+def repeat_flags(star: Star) -> DataFrame:
+    """Per customer with a first order: bad_first_experience and repeated (0/1)."""
     p = star.params
     f = first_orders(star).select("customer_id", "first_order_ts")
     second = (orders_delivered(star).select("customer_id", "order_ts").join(f, "customer_id")
@@ -61,9 +61,14 @@ def repeat_after_first_order(star: Star) -> DataFrame:
     cf = customer_first(star).filter(F.col("first_order_ts").isNotNull()) \
         .select("customer_id", "bad_first_experience", "first_order_ts")
     rep = F.when(days_between("first_order_ts", "second_order_ts") <= p.repeat_window_days, 1).otherwise(0)
-    return (cf.join(second, "customer_id", "left")
+    return cf.join(second, "customer_id", "left").withColumn("repeated", rep)
+
+
+def repeat_after_first_order(star: Star) -> DataFrame:
+    """Second delivered order (strictly later timestamp) within the repeat window."""
+    return (repeat_flags(star)
             .groupBy(first_experience().alias("first_experience"))
-            .agg(F.count(F.lit(1)).alias("customers"), F.sum(rep).alias("_r"))
+            .agg(F.count(F.lit(1)).alias("customers"), F.sum("repeated").alias("_r"))
             .select("first_experience", "customers", pct("_r", "customers").alias("repeat_within_28d_pct")))
 
 

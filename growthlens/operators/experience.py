@@ -54,13 +54,13 @@ def heart_monthly(star: Star) -> DataFrame:
                       "activation_pct", "m1_retention_pct", "session_conversion_pct", "perfect_order_pct")
 
 
-def reorder_by_rating(star: Star) -> DataFrame:
-    """After each rated order, another delivered order within (t, t + W days]?
+def _reorder_flags(star: Star) -> DataFrame:
+    """Rated orders with a full window and whether the customer reordered in it.
 
     Reduced to (customer, day) first: an order at t reorders if a later order
     exists on its own day (t < that day's last order) or the first order of
     the customer's next active day falls inside the window.  The ``lead``
-    window holds one row per active day of a customer.
+    window holds one row per active day of a customer, never all their orders.
     """
     p = star.params
     od = orders_delivered(star)
@@ -72,10 +72,13 @@ def reorder_by_rating(star: Star) -> DataFrame:
         .select("customer_id", "order_date", "order_ts", "rating")
     re = ((F.col("order_ts") < F.col("day_last_ts"))
           | (seconds_between("order_ts", "next_day_first_ts") <= p.reorder_window_days * 86400))
-    return (rated.join(days, ["customer_id", "order_date"])
-            .groupBy("rating")
-            .agg(F.count(F.lit(1)).alias("rated_orders"),
-                 F.sum(F.when(re, 1).otherwise(0)).alias("_re"))
+    return rated.join(days, ["customer_id", "order_date"]).withColumn("reordered", F.when(re, 1).otherwise(0))
+
+
+def reorder_by_rating(star: Star) -> DataFrame:
+    """After each rated order, another delivered order within (t, t + W days]?"""
+    return (_reorder_flags(star).groupBy("rating")
+            .agg(F.count(F.lit(1)).alias("rated_orders"), F.sum("reordered").alias("_re"))
             .select("rating", "rated_orders", pct("_re", "rated_orders").alias("pct_reordered_within_30d")))
 
 
