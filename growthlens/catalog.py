@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from .operators import feeds, quality, report
+from .operators import feeds, measures, quality, report
 from .operators import acquisition, activation, churn, experience, funnel, gmv, health, marketplace, retention, rfm
 from .plans import base
 from .sources.star import Star, load_row_counts
@@ -84,6 +84,8 @@ QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     "product_review_list": health.product_review_list,
     # 2.12 BI feeds
     **feeds.FEEDS,
+    # 2.13 measure layer (page datasets are measure_query calls)
+    **measures.PAGE_QUERIES,
     # 2.14 report metrics
     "bad_first_share": report.bad_first_share,
     "same_day_share_of_buyers": report.same_day_share_of_buyers,
