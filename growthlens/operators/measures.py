@@ -20,9 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ratios import pct, round_ratio
+from ..plans.base import customer_first
 from ..sources.star import Star
-from .feeds import (feed_cohort_retention, feed_dim_customer, feed_dim_store, feed_fact_orders,
-                    feed_funnel_monthly, feed_marketing)
+from .feeds import feed_cohort_retention, feed_dim_store, feed_fact_orders, feed_funnel_monthly, feed_marketing
+from .health import customer_health
+from .rfm import customer_rfm
 
 # slicer attributes each fact can be grouped or filtered by
 FACT_ATTRS = {
@@ -137,19 +139,33 @@ MEASURES: dict[str, Measure] = {
 }
 
 
+def _customer_dims(star: Star, attrs: set[str]) -> DataFrame:
+    """customer_id plus only the requested attributes (RFM / health are built
+    only when asked for: their NTILE scoring is not free)."""
+    cf = customer_first(star)
+    base_cols = sorted(attrs & {"acquisition_channel", "platform", "cohort_month", "home_store_id", "signup_date"})
+    out = cf.select("customer_id", *base_cols)
+    if "rfm_segment" in attrs:
+        out = out.join(customer_rfm(star).select("customer_id", "rfm_segment"), "customer_id", "left")
+    if "customer_health_tier" in attrs:
+        out = out.join(customer_health(star).select("customer_id", F.col("health_tier").alias("customer_health_tier")),
+                       "customer_id", "left")
+    return out
+
+
 def _orders_fact(star: Star, need: set[str]) -> DataFrame:
     f = feed_fact_orders(star).withColumn("month", F.trunc("order_date", "month"))
     if need & _STORE_ATTRS:
         stores = feed_dim_store(star).select("store_id", *sorted(need & _STORE_ATTRS))
         f = f.join(F.broadcast(stores), "store_id", "left")  # one row per store: bounded
     if need & _CUSTOMER_ATTRS:
-        cust = feed_dim_customer(star).select("customer_id", *sorted(need & _CUSTOMER_ATTRS))
-        f = f.join(cust, "customer_id", "left")
+        f = f.join(_customer_dims(star, need & _CUSTOMER_ATTRS), "customer_id", "left")
     return f
 
 
 def _customers_fact(star: Star, need: set[str]) -> DataFrame:
-    f = feed_dim_customer(star).withColumn("month", F.trunc("signup_date", "month"))
+    attrs = (need - {"month", "zone_name"}) | {"signup_date"} | ({"home_store_id"} if "zone_name" in need else set())
+    f = _customer_dims(star, attrs).withColumn("month", F.trunc("signup_date", "month"))
     if "zone_name" in need:
         stores = feed_dim_store(star).select(F.col("store_id").alias("home_store_id"), "zone_name")
         f = f.join(F.broadcast(stores), "home_store_id", "left")

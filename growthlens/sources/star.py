@@ -110,7 +110,7 @@ def read_star(spark: SparkSession, path: str, fmt: str = "csv", params: Params =
                   .csv(f"{path}/{stem}"))
         else:
             df = spark.read.parquet(f"{path}/{stem.rsplit('.', 1)[0]}")
-            df = df.select([F.col(f.name).cast(f.dataType) for f in schema.fields])
+            df = df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
         out[key] = df
     return Star(params=params, **out)
 
@@ -118,16 +118,20 @@ def read_star(spark: SparkSession, path: str, fmt: str = "csv", params: Params =
 def write_star(star: Star, path: str) -> None:
     """Persist the star as parquet (full replace, idempotent).
 
-    Facts are partitioned by month so date filters prune files.
+    ``orders`` is partitioned by month so date filters prune directories.  It
+    is range-partitioned on (order_month, order_id) first: every task writes a
+    contiguous run of months (few files per month directory), and a month
+    larger than one task is split over several tasks instead of one.
     """
+    parts = int(star.spark.conf.get("spark.sql.shuffle.partitions", "8"))
     for key, df in star.tables().items():
         stem = FILE_NAMES[key].rsplit(".", 1)[0]
-        w = df
         if key == "orders":
-            w = df.withColumn("order_month", F.trunc(F.col("order_ts").cast("date"), "month"))
+            w = (df.withColumn("order_month", F.trunc(F.col("order_ts").cast("date"), "month"))
+                 .repartitionByRange(parts, "order_month", "order_id"))
             w.write.mode("overwrite").partitionBy("order_month").parquet(f"{path}/{stem}")
             continue
-        w.write.mode("overwrite").parquet(f"{path}/{stem}")
+        df.write.mode("overwrite").parquet(f"{path}/{stem}")
 
 
 def load_row_counts(star: Star) -> DataFrame:
