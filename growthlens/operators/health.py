@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import days_between, ts_lit
 from ..functions.ratios import idiv, pct, round_ratio
-from ..plans.base import orders_delivered, zone_group
+from ..plans.base import orders_delivered, since, zone_group
 from ..plans.ntile import distributed_ntile
 from ..sources.star import Star
 
@@ -84,8 +84,7 @@ def health_by_zone(star: Star) -> DataFrame:
 def product_health(star: Star) -> DataFrame:
     def build():
         p = star.params
-        od = (orders_delivered(star)
-              .filter(F.col("order_ts") >= ts_lit(p.days_before_as_of(p.product_window_days)))
+        od = (since(orders_delivered(star), p.days_before_as_of(p.product_window_days))
               .select("order_id", "customer_id", "order_date"))
         prod = star.product
         week = F.date_sub(F.col("order_date"), F.weekday(F.col("order_date")))

@@ -15,6 +15,8 @@ Scale notes
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,14 +34,30 @@ def dim_date(star: Star) -> DataFrame:
     return star.memo("dim_date", lambda: _dim_date(star.spark, star.params))
 
 
+def order_month_col(df: DataFrame) -> F.Column:
+    """Order month: the storage partition column when the star was read from
+    month-partitioned parquet (predicates on it prune directories), else derived."""
+    return F.col("order_month") if "order_month" in df.columns else month_start("order_ts")
+
+
+def since(df: DataFrame, day, col: str = "order_ts") -> DataFrame:
+    """Rows with ``col`` >= midnight of ``day``, plus the implied month predicate
+    so month-partitioned storage skips older months entirely."""
+    first = _dt.date(day.year, day.month, 1)
+    return df.filter((F.col(col) >= ts_lit(day)) & (order_month_col(df) >= F.lit(first)))
+
+
 def _orders_delivered(star: Star) -> DataFrame:
     p = star.params
     o = star.orders
     act, prom = F.col("actual_delivery_min"), F.col("promised_min")
-    return (o.filter((F.col("status") == "delivered") & (F.col("order_ts") < ts_lit(p.as_of_end)))
+    last_month = _dt.date(p.as_of.year, p.as_of.month, 1)
+    month = order_month_col(o)
+    return (o.filter((F.col("status") == "delivered") & (F.col("order_ts") < ts_lit(p.as_of_end))
+                     & (month <= F.lit(last_month)))
             .select("order_id", "customer_id", "store_id", "order_ts",
                     F.col("order_ts").cast("date").alias("order_date"),
-                    month_start("order_ts").alias("order_month"),
+                    month.alias("order_month"),
                     "promised_min", "actual_delivery_min",
                     F.when(act > prom, act - prom).otherwise(F.lit(0).cast("long")).alias("late_by_min"),
                     flag(act <= prom).alias("is_on_time"),

@@ -110,7 +110,11 @@ def read_star(spark: SparkSession, path: str, fmt: str = "csv", params: Params =
                   .csv(f"{path}/{stem}"))
         else:
             df = spark.read.parquet(f"{path}/{stem.rsplit('.', 1)[0]}")
-            df = df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+            cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
+            if key == "orders":
+                # keep the directory partition column: predicates on it prune whole months
+                cols.append(F.col("order_month").cast("date").alias("order_month"))
+            df = df.select(cols)
         out[key] = df
     return Star(params=params, **out)
 

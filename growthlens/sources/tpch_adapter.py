@@ -91,6 +91,9 @@ def tpch_star(spark: SparkSession, sf_dir: str, params: Params = FIXTURES) -> St
         F.col("l_quantity").cast("long").alias("qty"),
         idiv(_cents("l_extendedprice") + 50, F.lit(100)).alias("amt"),
         idiv(_cents("l_extendedprice") * _cents("l_discount") + 5000, F.lit(10000)).alias("disc"))
+    # One hash shuffle by order id serves the (order, part) grouping, the order
+    # totals and the join with orders (an order has a handful of lines: no hot key).
+    lines = lines.repartition("order_id")
     groups = (lines.groupBy("order_id", "product_id")
               .agg(F.sum("qty").alias("quantity"), F.sum("amt").alias("line_amount"),
                    F.sum("disc").alias("disc_amount")))

@@ -68,3 +68,14 @@ def test_measure_guards(star):
         measure_query(star, ["gmv_pm"], by=["zone_name"])
     with pytest.raises(KeyError):
         measure_query(star, ["nope"])
+
+
+@pytest.mark.parametrize("name", ["product_health", "ops_pooled_stressed_vs_other", "cohort_activity",
+                                  "customer_health", "feed_fact_orders", "dq_audit"])
+def test_persisted_star_gives_same_answers(spark, star, scratch, name):
+    from growthlens.catalog import QUERIES
+    write_star(star, scratch)
+    back = read_star(spark, scratch, "parquet", FIXTURES)
+    a = sorted(map(repr, QUERIES[name](star).collect()))
+    b = sorted(map(repr, QUERIES[name](back).collect()))
+    assert a == b
