@@ -1,7 +1,7 @@
 """Every business parameter in one frozen object.
 
 Queries never hard-code a date or threshold; they read it from ``Params``.
-``REFERENCE`` holds the defaults of the original analytics suite (data window
+``DEFAULTS`` holds the production defaults of the analytics suite (data window
 Sep 2025 - Aug 2026).  ``FIXTURES`` is the profile for the driver's TPC-H style
 test tables, whose customers order about once per eight months, so the day
 thresholds are stretched (see FIXTURES.md section 4).
@@ -89,7 +89,7 @@ class Params:
         return replace(self, **kw)
 
 
-REFERENCE = Params()
+DEFAULTS = Params()
 
 # The parameter profile for the driver's test tables (FIXTURES.md section 4).
 FIXTURES = Params(

@@ -285,6 +285,26 @@ def channel_economics_stress_period(star: Star) -> DataFrame:
                          by=["acquisition_channel"], filters={"month": (p.stress_start, p.as_of)})
 
 
+def acquisition_by_month_channel(star: Star) -> DataFrame:
+    return measure_query(star, ["signups", "activated_signups", "marketing_spend", "cac"],
+                         by=["month", "acquisition_channel"])
+
+
+def retention_curve(star: Star) -> DataFrame:
+    """Retention by months since signup, pooled over the cohorts present at each offset."""
+    return measure_query(star, _RET, by=["month_offset"])
+
+
+def health_tiers_by_zone(star: Star) -> DataFrame:
+    return measure_query(star, ["new_customers"], by=["zone_name", "customer_health_tier"])
+
+
+def zone_ops_since_stress(star: Star) -> DataFrame:
+    p = star.params
+    return measure_query(star, ["on_time_pct", "late_5plus_pct", "cancellation_pct", "avg_rating"],
+                         by=["zone_name"], filters={"month": (p.stress_start, p.as_of)})
+
+
 PAGE_QUERIES = {
     "measure_totals": measure_totals,
     "measures_by_month": measures_by_month,
@@ -294,4 +314,8 @@ PAGE_QUERIES = {
     "retention_matrix": retention_matrix,
     "net_revenue_by_segment": net_revenue_by_segment,
     "channel_economics_stress_period": channel_economics_stress_period,
+    "acquisition_by_month_channel": acquisition_by_month_channel,
+    "retention_curve": retention_curve,
+    "health_tiers_by_zone": health_tiers_by_zone,
+    "zone_ops_since_stress": zone_ops_since_stress,
 }

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import REFERENCE, Params
+from ..config import DEFAULTS, Params
 
 L, I, S, DT, TS = T.LongType(), T.IntegerType(), T.StringType(), T.DateType(), T.TimestampNTZType()
 
@@ -74,7 +74,7 @@ class Star:
     items: DataFrame
     events: DataFrame
     spend: DataFrame
-    params: Params = REFERENCE
+    params: Params = DEFAULTS
     _cache: dict = field(default_factory=dict, repr=False)
 
     @property
@@ -91,7 +91,7 @@ class Star:
         return self._cache[key]
 
 
-def read_star(spark: SparkSession, path: str, fmt: str = "csv", params: Params = REFERENCE) -> Star:
+def read_star(spark: SparkSession, path: str, fmt: str = "csv", params: Params = DEFAULTS) -> Star:
     """Read the seven star tables.
 
     ``fmt='csv'``: header files as exported by the original loader (UTF-8, ``,``,
