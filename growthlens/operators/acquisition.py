@@ -44,8 +44,10 @@ def cac_payback(star: Star) -> DataFrame:
     p = star.params
     cf = customer_first(star)
     tenure = months_between_boundaries("cohort_month", "order_month")
-    per_month = (order_margin(star).select("customer_id", "order_month", "contribution_rs")
-                 .join(cf.select("customer_id", "cohort_month", "acquisition_channel"), "customer_id")
+    # (customer, month) partial sums first: the join input per customer is bounded by the calendar
+    per_cm = (order_margin(star).groupBy("customer_id", "order_month")
+              .agg(F.sum("contribution_rs").alias("contribution_rs")))
+    per_month = (per_cm.join(cf.select("customer_id", "cohort_month", "acquisition_channel"), "customer_id")
                  .groupBy("acquisition_channel", tenure.alias("tenure_month"))
                  .agg(F.sum("contribution_rs").alias("contribution_rs"))
                  .filter(F.col("tenure_month") <= p.payback_max_tenure))
@@ -67,7 +69,7 @@ def cac_payback(star: Star) -> DataFrame:
 def channel_scorecard(star: Star) -> DataFrame:
     p = star.params
     cf = customer_first(star).filter(F.col("cohort_month") <= F.lit(p.last_full_m1_cohort))
-    od = orders_delivered(star).select("customer_id", "order_month")
+    od = orders_delivered(star).select("customer_id", "order_month").distinct()
     m1 = (od.join(cf.select("customer_id", "cohort_month"), "customer_id")
           .filter(months_between_boundaries("cohort_month", "order_month") == 1)
           .select("customer_id").distinct().withColumn("active_m1", F.lit(1)))

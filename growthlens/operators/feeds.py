@@ -64,15 +64,28 @@ def feed_fact_orders(star: Star) -> DataFrame:
     return star.memo("feed_fact_orders", build)
 
 
+FUNNEL_STAGES = ["sessions", "searched", "reached_product_view", "reached_cart", "reached_checkout", "converted"]
+
+
+def funnel_monthly(sessions: DataFrame, customers: DataFrame) -> DataFrame:
+    """Session rows (``session_funnel`` shape) -> month x platform x channel stage counts.
+
+    Counts are first summed per (customer, month, platform), so the join with
+    the customer table sees a calendar-bounded number of rows per customer
+    however many sessions one customer has.
+    """
+    c = customers.select("customer_id", "acquisition_channel")
+    per_c = (sessions.groupBy("customer_id", "session_month", "platform")
+             .agg(F.count(F.lit(1)).alias("sessions"), F.sum("used_search").alias("searched"),
+                  F.sum("reached_pv").alias("reached_product_view"), F.sum("reached_cart").alias("reached_cart"),
+                  F.sum("reached_checkout").alias("reached_checkout"), F.sum("converted").alias("converted")))
+    return (per_c.join(c, "customer_id")
+            .groupBy("session_month", "platform", "acquisition_channel")
+            .agg(*[F.sum(s).alias(s) for s in FUNNEL_STAGES]))
+
+
 def feed_funnel_monthly(star: Star) -> DataFrame:
-    def build():
-        c = star.customer.select("customer_id", "acquisition_channel")
-        return (session_funnel(star).join(c, "customer_id")
-                .groupBy("session_month", "platform", "acquisition_channel")
-                .agg(F.count(F.lit(1)).alias("sessions"), F.sum("used_search").alias("searched"),
-                     F.sum("reached_pv").alias("reached_product_view"), F.sum("reached_cart").alias("reached_cart"),
-                     F.sum("reached_checkout").alias("reached_checkout"), F.sum("converted").alias("converted")))
-    return star.memo("feed_funnel_monthly", build)
+    return star.memo("feed_funnel_monthly", lambda: funnel_monthly(session_funnel(star), star.customer))
 
 
 def feed_cohort_retention(star: Star) -> DataFrame:

@@ -60,10 +60,12 @@ def search_vs_browse(star: Star) -> DataFrame:
 
 def cart_checkout_by_zone_period(star: Star) -> DataFrame:
     p = star.params
-    sf = session_funnel(star).select("customer_id", "session_month", "reached_cart", "reached_checkout")
+    # (customer, month) partial sums first: one customer's sessions never pile up in the join
+    sf = (session_funnel(star).groupBy("customer_id", "session_month")
+          .agg(F.sum("reached_cart").alias("_cart"), F.sum("reached_checkout").alias("_chk")))
     c = star.customer.select("customer_id", "home_store_id")
     period = F.when(F.col("session_month") >= F.lit(p.stress_start), "may_onward").otherwise("before_may")
     return (sf.join(c, "customer_id")
             .groupBy(zone_group("home_store_id", star).alias("zone_group"), period.alias("period"))
-            .agg(F.sum("reached_cart").alias("cart_sessions"), F.sum("reached_checkout").alias("checkout_sessions"))
+            .agg(F.sum("_cart").alias("cart_sessions"), F.sum("_chk").alias("checkout_sessions"))
             .withColumn("cart_to_checkout_pct", pct("checkout_sessions", "cart_sessions")))

@@ -131,11 +131,15 @@ def high_margin_attach(star: Star) -> DataFrame:
               .join(F.broadcast(hm), "category")
               .select("order_id").distinct().withColumn("_att", F.lit(1)))
     od = orders_delivered(star).select("order_id", "customer_id", "order_month")
+    # flag on the order key, then (customer, month) partial sums before the customer join
+    per_cm = (od.join(attach, "order_id", "left")
+              .groupBy("customer_id", "order_month")
+              .agg(F.count(F.lit(1)).alias("_n"), F.sum(F.coalesce("_att", F.lit(0))).alias("_a")))
     cf = customer_first(star).select("customer_id", "cohort_month")
     off = months_between_boundaries("cohort_month", "order_month")
-    return (od.join(cf, "customer_id").join(attach, "order_id", "left")
+    return (per_cm.join(cf, "customer_id")
             .groupBy(tenure_bucket(off).alias("tenure_bucket"))
-            .agg(F.count(F.lit(1)).alias("orders"), F.sum(F.coalesce("_att", F.lit(0))).alias("_a"))
+            .agg(F.sum("_n").alias("orders"), F.sum("_a").alias("_a"))
             .select("tenure_bucket", "orders", pct("_a", "orders").alias("high_margin_attach_pct")))
 
 

@@ -68,9 +68,6 @@ def start_session_sink(events: DataFrame, params: Params, out_path: str, checkpo
 
 def funnel_monthly_from_sessions(sessions: DataFrame, customers: DataFrame) -> DataFrame:
     """``feed_funnel_monthly`` from streamed session rows (month x platform x channel)."""
-    c = customers.select("customer_id", "acquisition_channel")
-    return (sessions.join(c, "customer_id")
-            .groupBy("session_month", "platform", "acquisition_channel")
-            .agg(F.count(F.lit(1)).alias("sessions"), F.sum("used_search").alias("searched"),
-                 F.sum("reached_pv").alias("reached_product_view"), F.sum("reached_cart").alias("reached_cart"),
-                 F.sum("reached_checkout").alias("reached_checkout"), F.sum("converted").alias("converted")))
+    from ..operators.feeds import funnel_monthly
+
+    return funnel_monthly(sessions, customers)

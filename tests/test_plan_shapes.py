@@ -1,5 +1,7 @@
 """Physical-plan properties the scale design relies on."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,3 +44,18 @@ def test_no_cartesian_products(star):
     for name in ("high_margin_attach", "measure_totals", "dq_audit", "lifecycle_snapshot", "heart_monthly"):
         p = QUERIES[name](star)._jdf.queryExecution().optimizedPlan().toString()
         assert "Cross" not in p and "CartesianProduct" not in p, name
+
+
+@pytest.mark.parametrize("name", ["cac_payback", "margin_by_tenure", "high_margin_attach",
+                                  "cart_checkout_by_zone_period", "feed_funnel_monthly"])
+def test_order_and_session_rows_are_summed_per_customer_month_before_the_customer_join(spark, name):
+    """A customer owning a third of all orders reaches the customer join as one row per month."""
+    from tests.helpers import star_from_rows
+
+    small = star_from_rows(spark)
+    p = QUERIES[name](small)._jdf.queryExecution().optimizedPlan().toString()
+    lines = p.splitlines()
+    joins = [i for i, ln in enumerate(lines) if "Join Inner" in ln and "customer_id" in ln]
+    assert joins, name
+    below = "\n".join(lines[joins[0]:])
+    assert re.search(r"Aggregate \[customer_id#\d+L?, (order|session)_month#", below), name
