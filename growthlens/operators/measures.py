@@ -80,6 +80,22 @@ _ORDER_PARTS = {
 }
 
 
+# How each order part merges after it has been summed per (customer, order-side
+# slice keys): counts and sums add up; the distinct-customer count becomes a sum
+# of per-customer 0/1 flags (customer attributes depend on customer_id alone, so
+# a customer is one row per slice after the pre-aggregation).
+_ORDER_PARTIAL = {"_act": lambda: F.max(F.when(_dlv(), 1).otherwise(0))}
+_ORDER_MERGE = {"_act": lambda c: F.coalesce(F.sum(c), F.lit(0).cast("long"))}
+
+
+def _order_partial(alias: str) -> Column:
+    return _ORDER_PARTIAL.get(alias, _ORDER_PARTS[alias])()
+
+
+def _order_merge(alias: str, col: str) -> Column:
+    return _ORDER_MERGE.get(alias, lambda c: F.sum(c))(col)
+
+
 def _om(parts, final, needs_month=False) -> Measure:
     return Measure("orders", tuple((p, _ORDER_PARTS[p]) for p in parts), final, needs_month)
 
@@ -158,11 +174,24 @@ def _orders_fact(star: Star, need: set[str]) -> DataFrame:
     if need & _STORE_ATTRS:
         stores = feed_dim_store(star).select("store_id", *sorted(need & _STORE_ATTRS))
         f = f.join(F.broadcast(stores), "store_id", "left")  # one row per store: bounded
-    if need & _CUSTOMER_ATTRS:
-        f = f.join(_customer_dims(star, need & _CUSTOMER_ATTRS), "customer_id", "left")
     return f
 
 
+def _orders_by_customer_slice(star: Star, parts: list[str], by: list[str], filters: dict) -> DataFrame:
+    """Order parts summed per (customer, order-side slice keys), then joined to
+    the customer attributes: the join sees one row per customer and slice, not
+    one per order, so a customer with a huge share of orders is not a hot key."""
+    need = set(by) | set(filters)
+    cust = need & _CUSTOMER_ATTRS
+    order_keys = sorted(need - cust)
+    f = _apply_filters(_orders_fact(star, need - cust),
+                       {k: v for k, v in filters.items() if k not in cust})
+    pre = f.groupBy("customer_id", *order_keys).agg(*[_order_partial(a).alias(a) for a in parts])
+    joined = pre.join(_customer_dims(star, cust), "customer_id", "left")
+    joined = _apply_filters(joined, {k: v for k, v in filters.items() if k in cust})
+    return joined.groupBy(*by).agg(*[_order_merge(a, a).alias("m_" + a) for a in parts])
+
+
 def _customers_fact(star: Star, need: set[str]) -> DataFrame:
     attrs = (need - {"month", "zone_name"}) | {"signup_date"} | ({"home_store_id"} if "zone_name" in need else set())
     f = _customer_dims(star, attrs).withColumn("month", F.trunc("signup_date", "month"))
@@ -202,7 +231,7 @@ def _fact_result(star: Star, fact: str, names: list[str], by: list[str], filters
     bad = need - FACT_ATTRS[fact]
     if bad:
         raise ValueError(f"measures {names} ({fact}) cannot be sliced by {sorted(bad)}")
-    f = _apply_filters(_fact(star, fact, need), filters)
+    f = None if fact == "orders" and need & _CUSTOMER_ATTRS else _apply_filters(_fact(star, fact, need), filters)
     if fact == "cohort":
         per = (f.groupBy(*sorted(set(by) | {"cohort_month"}))
                .agg(F.max("cohort_size").alias("_sz"), F.sum("active_customers").alias("_ac")))
@@ -212,7 +241,10 @@ def _fact_result(star: Star, fact: str, names: list[str], by: list[str], filters
         for n in names:
             for alias, fn in MEASURES[n].parts:
                 parts[alias] = fn
-        g = f.groupBy(*by).agg(*[fn().alias("m_" + a) for a, fn in parts.items()])
+        if fact == "orders" and need & _CUSTOMER_ATTRS:
+            g = _orders_by_customer_slice(star, list(parts), by, filters)
+        else:
+            g = f.groupBy(*by).agg(*[fn().alias("m_" + a) for a, fn in parts.items()])
         if any(MEASURES[n].needs_month for n in names):
             if "month" not in by:
                 raise ValueError("previous-month measures need 'month' in by")
