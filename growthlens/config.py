@@ -66,6 +66,11 @@ class Params:
     # very active user never lands in a single sort task.
     session_gap_seconds: int = 12 * 3600
     session_bucket_seconds: int = 3600
+    # A join key with more rows than this on the row-level side is "hot": its
+    # per-key row is broadcast to those rows instead of shuffling them to one
+    # task.  At most (rows / hot_key_rows) keys can be hot, which bounds the
+    # broadcast.
+    hot_key_rows: int = 2_000_000
 
     # derived dates -----------------------------------------------------------
     def days_before_as_of(self, n: int) -> D:
@@ -116,4 +121,7 @@ FIXTURES = Params(
     audit_customers_range=(1, 1_000_000_000),
     audit_min_events=1,
     audit_window=(D(1994, 11, 1), D(2001, 9, 1)),
+    # customers here hold tens of orders; a key that owns a third of a
+    # fixture table (tests/test_skew.py) takes the hot-key path
+    hot_key_rows=200,
 )

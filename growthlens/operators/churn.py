@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import days_between, ts_lit
 from ..functions.ratios import pct, round_ratio
 from ..plans.base import customer_first, first_orders, orders_delivered, zone_group
+from ..plans.skew import join_per_key
 from ..sources.star import Star
 
 BAD_FIRST = "bad_first_order (late>5m or incomplete)"
@@ -55,7 +56,8 @@ def repeat_flags(star: Star) -> DataFrame:
     """Per customer with a first order: bad_first_experience and repeated (0/1)."""
     p = star.params
     f = first_orders(star).select("customer_id", "first_order_ts")
-    second = (orders_delivered(star).select("customer_id", "order_ts").join(f, "customer_id")
+    od = orders_delivered(star).select("customer_id", "order_ts")
+    second = (join_per_key(od, f, "customer_id", p.hot_key_rows)
               .filter(F.col("order_ts") > F.col("first_order_ts"))
               .groupBy("customer_id").agg(F.min("order_ts").alias("second_order_ts")))
     cf = customer_first(star).filter(F.col("first_order_ts").isNotNull()) \

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import ts_lit
 from ..functions.ratios import round_ratio
 from ..plans.base import dim_date
+from ..plans.skew import join_per_key
 from ..sources.star import SCHEMAS, Star
 
 # Audit check names, in check order.
@@ -72,7 +73,8 @@ def dq_audit(star: Star) -> DataFrame:
     basket = star.items.groupBy("order_id").agg(F.sum("line_amount").alias("s"))
     c4 = (o.select("order_id", "item_total").join(basket, "order_id")
           .agg(_count_if(F.col("s") != F.col("item_total")).alias("v")))
-    c8 = (o.select("customer_id", "order_ts").join(star.customer.select("customer_id", "signup_ts"), "customer_id")
+    c8 = (join_per_key(o.select("customer_id", "order_ts"), star.customer.select("customer_id", "signup_ts"),
+                       "customer_id", p.hot_key_rows)
           .agg(_count_if(F.col("order_ts") < F.col("signup_ts")).alias("v")))
     pays = star.events.filter(F.col("event_name") == "payment_success").select("order_id")
     c10 = (pays.join(o.select("order_id"), "order_id", "left_anti")  # NULL ids never match: counted
