@@ -88,14 +88,16 @@ def product_health(star: Star) -> DataFrame:
               .select("order_id", "customer_id", "order_date"))
         prod = star.product
         week = F.date_sub(F.col("order_date"), F.weekday(F.col("order_date")))
-        sales = (star.items.join(od, "order_id").join(prod.select("product_id", "unit_cost"), "product_id")
+        # per-product sums first (unit_cost is fixed per product: margin = sum(line) - cost * sum(qty)),
+        # then a product-level join: a SKU with a huge share of lines is never a join key on line rows
+        sales = (star.items.join(od, "order_id")
                  .groupBy("product_id")
                  .agg(F.sum("quantity").alias("_u"), F.sum("line_amount").alias("_g"),
-                      F.sum(F.col("line_amount") - F.col("quantity") * F.col("unit_cost")).alias("_m"),
                       F.countDistinct("customer_id").alias("_b"), F.countDistinct(week).alias("_w")))
         zero = F.lit(0).cast("long")
-        base = (prod.select("product_id", "product_name", "category", "is_private_label")
+        base = (prod.select("product_id", "product_name", "category", "is_private_label", "unit_cost")
                 .join(sales, "product_id", "left")
+                .withColumn("_m", F.col("_g") - F.col("_u") * F.col("unit_cost"))
                 .select("product_id", "product_name", "category", "is_private_label",
                         F.coalesce("_u", zero).alias("units_56d"),
                         F.coalesce("_g", zero).alias("gmv_56d"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import months_between_boundaries, ts_lit
 from ..functions.ratios import DEC, pct, round_ratio
 from ..plans.base import customer_first, order_margin, orders_delivered, session_funnel, since, zone_group
+from ..plans.skew import join_per_key
 from ..sources.star import Star
 from .churn import repeat_flags
 from .experience import _reorder_flags
@@ -113,9 +114,11 @@ def high_margin_categories(star: Star) -> DataFrame:
     """Categories whose item margin rate is at least the overall rate (delivered orders)."""
     od = orders_delivered(star).select("order_id")
     prod = star.product.select("product_id", "category", "unit_cost")
-    lines = (star.items.join(od, "order_id").join(prod, "product_id")
-             .withColumn("_mg", F.col("line_amount") - F.col("quantity") * F.col("unit_cost")))
-    cat = lines.groupBy("category").agg(F.sum("_mg").alias("m"), F.sum("line_amount").alias("g"))
+    # per-product sums before the product join (margin = sum(line) - unit_cost * sum(qty))
+    per_p = (star.items.join(od, "order_id").groupBy("product_id")
+             .agg(F.sum("line_amount").alias("_g"), F.sum("quantity").alias("_q")))
+    cat = (per_p.join(prod, "product_id").groupBy("category")
+           .agg(F.sum(F.col("_g") - F.col("_q") * F.col("unit_cost")).alias("m"), F.sum("_g").alias("g")))
     # totals as a window over the category-level rows (one row per category)
     allc = Window.partitionBy()
     tm, tg = F.sum("m").over(allc).cast(DEC), F.sum("g").over(allc).cast(DEC)
@@ -126,9 +129,11 @@ def high_margin_categories(star: Star) -> DataFrame:
 def high_margin_attach(star: Star) -> DataFrame:
     """Share of delivered orders with at least one high-margin-category line, by tenure."""
     hm = high_margin_categories(star).withColumn("_hm", F.lit(1))
-    prod = star.product.select("product_id", "category")
-    attach = (star.items.select("order_id", "product_id").join(prod, "product_id")
-              .join(F.broadcast(hm), "category")
+    # products of those categories (product-level), then the line join with hot SKUs broadcast
+    hm_products = star.product.select("product_id", "category").join(F.broadcast(hm), "category") \
+        .select("product_id")
+    attach = (join_per_key(star.items.select("order_id", "product_id"), hm_products, "product_id",
+                           star.params.hot_key_rows)
               .select("order_id").distinct().withColumn("_att", F.lit(1)))
     od = orders_delivered(star).select("order_id", "customer_id", "order_month")
     # flag on the order key, then (customer, month) partial sums before the customer join

@@ -59,3 +59,15 @@ def test_order_and_session_rows_are_summed_per_customer_month_before_the_custome
     assert joins, name
     below = "\n".join(lines[joins[0]:])
     assert re.search(r"Aggregate \[customer_id#\d+L?, (order|session)_month#", below), name
+
+
+@pytest.mark.parametrize("name", ["category_mix", "high_margin_attach"])
+def test_order_lines_are_summed_per_product_before_the_product_join(spark, name):
+    """Lines meet the product table as one row per product (and month), not one per line."""
+    from tests.helpers import star_from_rows
+
+    p = QUERIES[name](star_from_rows(spark))._jdf.queryExecution().optimizedPlan().toString()
+    lines = p.splitlines()
+    joins = [i for i, ln in enumerate(lines) if "Join" in ln and "product_id" in ln and "order_id" not in ln]
+    assert joins, name
+    assert any(re.search(r"Aggregate \[product_id#", "\n".join(lines[i:])) for i in joins), name

@@ -1,7 +1,9 @@
-"""One customer owns a third of all orders and app events: Spark == DuckDB oracle.
+"""One customer owns a third of all orders and app events, one part a third of
+all order lines: Spark == DuckDB oracle.
 
 The skewed inputs are derived from the driver's sf0.001 tables: every third
-order (by key) and every third event (by id) is handed to one customer.  The
+order (by key) and every third event (by id) is handed to one customer, every
+third line item to one part.  The
 session is told to treat tiny partitions as skewed and not to broadcast, so the
 sort-merge joins go through the skew-join split path, and the per-customer
 plans (partial aggregates, bucketed sessionisation, distributed NTILE) see a
@@ -20,6 +22,7 @@ from tools.check_oracle import TABLES, digest
 
 SRC = "/root/testdata/sf0.001"
 HOT = 7
+HOT_PART = 11
 
 NAMES = [
     "orders_delivered", "customer_first", "session_funnel", "first_session_depth",
@@ -28,7 +31,8 @@ NAMES = [
     "reactivation", "growth_accounting", "reorder_by_rating", "repeat_vs_on_time",
     "customer_rfm", "customer_health", "lifecycle_snapshot", "net_revenue_by_segment",
     "m1_by_buyer_type", "heart_monthly", "monthly_kpis", "dq_audit", "churn_by_first_experience",
-    "bad_first_opportunity",
+    "bad_first_opportunity", "order_margin", "category_mix", "product_health", "feed_dim_product",
+    "product_review_list",
 ]
 
 SKEW_CONF = {
@@ -52,6 +56,9 @@ def skewed_dir():
         if t == "orders":
             sel = (f"SELECT * REPLACE (CASE WHEN o_orderkey % 3 = 0 THEN {HOT} ELSE o_custkey END AS o_custkey) "
                    f"FROM read_parquet('{src}')")
+        elif t == "lineitem":
+            sel = (f"SELECT * REPLACE (CASE WHEN (l_orderkey + l_linenumber) % 3 = 0 THEN {HOT_PART} "
+                   f"ELSE l_partkey END AS l_partkey) FROM read_parquet('{src}')")
         elif t == "events":
             sel = (f"SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN {HOT} ELSE user_id END AS user_id) "
                    f"FROM read_parquet('{src}')")
@@ -90,6 +97,8 @@ def test_hot_customer_really_is_hot(con):
     assert hot * 3 >= n
     n, hot = con.execute(f"SELECT count(*), count(*) FILTER (WHERE user_id = {HOT}) FROM events").fetchone()
     assert hot * 3 >= n
+    n, hot = con.execute(f"SELECT count(*), count(*) FILTER (WHERE l_partkey = {HOT_PART}) FROM lineitem").fetchone()
+    assert hot * 4 >= n
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -136,3 +145,13 @@ def test_hot_customer_rows_skip_the_shuffle_join(skew_session, skewed_dir, name)
     df = E.queries()[name](skew_session, skewed_dir)
     df.collect()
     assert "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_part_is_found_on_order_lines(skew_session, skewed_dir):
+    from growthlens.config import FIXTURES
+    from growthlens.plans.skew import hot_keys
+    from growthlens.sources.tpch_adapter import tpch_star
+
+    star = tpch_star(skew_session, skewed_dir, FIXTURES)
+    hot = [r.product_id for r in hot_keys(star.items, "product_id", FIXTURES.hot_key_rows).collect()]
+    assert hot == [HOT_PART]
