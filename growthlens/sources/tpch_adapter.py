@@ -16,6 +16,7 @@ from ..config import FIXTURES, Params
 from ..functions.dates import epoch_second, from_epoch_second, month_start, ts_lit
 from ..functions.ratios import idiv
 from ..plans.sessionize import sessionize
+from ..plans.skew import join_per_key
 from .star import Star
 
 # Fixed values of the fixture rules (FIXTURES.md section 3).
@@ -135,7 +136,9 @@ def tpch_star(spark: SparkSession, sf_dir: str, params: Params = FIXTURES) -> St
                     - F.col("items_missing")
                     - F.when(k % 7 == 0, 1).otherwise(0)).cast("long")))
     pay = F.element_at(F.array(*[F.lit(p) for p in PAYMENT_METHODS]), (k % 4 + 1).cast("int"))
-    orders = (o.join(cust_raw.select("customer_id", "nationkey"), "customer_id", "left")
+    # a customer may own a large share of orders: hot customers meet their nation by broadcast
+    orders = (join_per_key(o, cust_raw.select("customer_id", "nationkey"), "customer_id",
+                           params.hot_key_rows, "left")
               .join(totals, "order_id", "left")
               .withColumn("store_id", store_id.cast("long"))
               .withColumn("status", F.when(cancelled, "cancelled").otherwise("delivered"))

@@ -87,3 +87,11 @@ def test_key_integrity_counts_orphans_and_duplicates(spark):
     assert got["pk_customer"] == 1
     assert got["fk_orders_customer"] == 0
     assert sum(v for k, v in got.items() if k not in ("fk_items_order", "pk_customer")) == 0
+
+
+def test_payment_without_order_id_counts_as_a_violation(spark):
+    p = P.with_(audit_orders_range=(1, 10), audit_customers_range=(1, 10), audit_min_events=0)
+    r = _dirty(10)
+    r["events"].append((3, 2, "payment_success", T(2000, 3, 3), "ios", None))
+    res = {x.check_no: x.violations for x in dq_audit(star_from_rows(spark, p, **r)).collect()}
+    assert res[10] == 2  # the unknown id 777 and the NULL id
