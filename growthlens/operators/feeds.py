@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..plans.base import (cohort_activity, customer_first, dim_date, flag, item_margin_by_order,
                           order_margin, session_funnel, stressed)
-from ..sources.star import Star
+from ..sources.star import Star, month_ranged
 from .health import customer_health, product_health
 from .marketplace import store_month_ops
 from .rfm import customer_rfm
@@ -142,7 +142,7 @@ def write_feeds(star: Star, path: str, names: list[str] | None = None) -> dict[s
         w = df
         part = _PARTITION.get(name)
         if name == "feed_fact_orders":
-            w = df.withColumn("order_month", F.trunc("order_date", "month"))
+            w = month_ranged(df.withColumn("order_month", F.trunc("order_date", "month")), "order_month", "order_id")
             part = "order_month"
         writer = w.write.mode("overwrite")
         if part:

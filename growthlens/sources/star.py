@@ -119,6 +119,14 @@ def read_star(spark: SparkSession, path: str, fmt: str = "csv", params: Params =
     return Star(params=params, **out)
 
 
+def month_ranged(df: DataFrame, month: str, key: str) -> DataFrame:
+    """Range-partition on (month, key) before a month-partitioned write: every
+    task writes a contiguous run of months (few files per month directory) and
+    a very large month is split over several tasks instead of one."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
+    return df.repartitionByRange(parts, month, key)
+
+
 def write_star(star: Star, path: str) -> None:
     """Persist the star as parquet (full replace, idempotent).
 
@@ -127,12 +135,11 @@ def write_star(star: Star, path: str) -> None:
     contiguous run of months (few files per month directory), and a month
     larger than one task is split over several tasks instead of one.
     """
-    parts = int(star.spark.conf.get("spark.sql.shuffle.partitions", "8"))
     for key, df in star.tables().items():
         stem = FILE_NAMES[key].rsplit(".", 1)[0]
         if key == "orders":
-            w = (df.withColumn("order_month", F.trunc(F.col("order_ts").cast("date"), "month"))
-                 .repartitionByRange(parts, "order_month", "order_id"))
+            w = month_ranged(df.withColumn("order_month", F.trunc(F.col("order_ts").cast("date"), "month")),
+                             "order_month", "order_id")
             w.write.mode("overwrite").partitionBy("order_month").parquet(f"{path}/{stem}")
             continue
         df.write.mode("overwrite").parquet(f"{path}/{stem}")
