@@ -122,9 +122,13 @@ def dq_key_integrity(star: Star) -> DataFrame:
         parts.append(tabs[t].agg(_count_if(any_null).alias("violations"))
                      .withColumn("constraint", F.lit(f"not_null_{t}")))
     for name, child, ck, parent, pk in FOREIGN_KEYS:
-        kids = tabs[child].select(F.col(ck).alias("k")).filter(F.col("k").isNotNull())
+        # rows per child key first (map-side combined), so a key owning a third of the
+        # child table is one row in the anti join; violations = rows of orphan keys
+        kids = (tabs[child].select(F.col(ck).alias("k")).filter(F.col("k").isNotNull())
+                .groupBy("k").agg(F.count(F.lit(1)).alias("_n")))
         parents = tabs[parent].select(F.col(pk).alias("k"))
-        parts.append(kids.join(parents, "k", "left_anti").agg(F.count(F.lit(1)).alias("violations"))
+        parts.append(kids.join(parents, "k", "left_anti")
+                     .agg(F.coalesce(F.sum("_n"), F.lit(0).cast("long")).alias("violations"))
                      .withColumn("constraint", F.lit(name)))
     return reduce(DataFrame.unionByName, parts).select("constraint", F.col("violations").cast("long"))
 

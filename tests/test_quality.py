@@ -95,3 +95,10 @@ def test_payment_without_order_id_counts_as_a_violation(spark):
     r["events"].append((3, 2, "payment_success", T(2000, 3, 3), "ios", None))
     res = {x.check_no: x.violations for x in dq_audit(star_from_rows(spark, p, **r)).collect()}
     assert res[10] == 2  # the unknown id 777 and the NULL id
+
+
+def test_orphans_count_rows_not_keys(spark):
+    r = clean_rows()
+    r["items"] += [(99, 1, 1, 5, 5), (99, 2, 1, 5, 5), (98, 1, 2, 5, 10)]  # three rows, two orphan keys
+    got = {x.constraint: x.violations for x in dq_key_integrity(star_from_rows(spark, P, **r)).collect()}
+    assert got["fk_items_order"] == 3
