@@ -3,11 +3,10 @@ all order lines: Spark == DuckDB oracle.
 
 The skewed inputs are derived from the driver's sf0.001 tables: every third
 order (by key) and every third event (by id) is handed to one customer, every
-third line item to one part.  The
-session is told to treat tiny partitions as skewed and not to broadcast, so the
-sort-merge joins go through the skew-join split path, and the per-customer
-plans (partial aggregates, bucketed sessionisation, distributed NTILE) see a
-hot key.
+third line item to one part.  Automatic broadcasts are off and AQE treats tiny
+partitions as skewed, so the plans must cope with the hot keys themselves:
+partial aggregates before joins, bucketed sessionisation, distributed NTILE
+and the hot-key branch of ``join_per_key``.
 """
 
 import os
