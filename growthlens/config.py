@@ -66,6 +66,9 @@ class Params:
     # very active user never lands in a single sort task.
     session_gap_seconds: int = 12 * 3600
     session_bucket_seconds: int = 3600
+    # a (user, bucket) with more events than this is cut into minute buckets
+    session_hot_bucket_rows: int = 1_000_000
+    session_fine_seconds: int = 60
     # A join key with more rows than this on the row-level side is "hot": its
     # per-key row is broadcast to those rows instead of shuffling them to one
     # task.  At most (rows / hot_key_rows) keys can be hot, which bounds the
@@ -124,4 +127,7 @@ FIXTURES = Params(
     # customers here hold tens of orders; a key that owns a third of a
     # fixture table (tests/test_skew.py) takes the hot-key path
     hot_key_rows=200,
+    # the fixture events have at most 3 per (user, hour): with 1, several hundred cells take the
+    # minute-bucket path, so the oracle check covers it
+    session_hot_bucket_rows=1,
 )

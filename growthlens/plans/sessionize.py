@@ -15,6 +15,12 @@ events of a user in one task.  Here the sort is bounded by a time bucket:
 
 The session ordinal of an event is then ``starts before its bucket`` +
 ``starts up to it inside its bucket``; identical to the global plan.
+
+Buckets only have to be contiguous time intervals numbered in time order.  With
+``hot_rows`` set, a (user, bucket) holding more events than that (found with a
+map-side-combined count; at most rows / hot_rows of them, so the list is
+broadcast) is cut into ``fine_seconds`` buckets instead, numbered so that the
+order across a user's buckets still follows time.
 """
 
 from __future__ import annotations
@@ -25,15 +31,33 @@ from pyspark.sql import functions as F
 from ..functions.ratios import idiv
 
 
+def _buckets(events: DataFrame, user: str, t: str, bucket_seconds: int,
+             hot_rows: int | None, fine_seconds: int) -> DataFrame:
+    coarse = idiv(F.col(t), F.lit(bucket_seconds))
+    if hot_rows is None:
+        return events.withColumn("_bk", coarse)
+    if bucket_seconds % fine_seconds:
+        raise ValueError("bucket_seconds must be a multiple of fine_seconds")
+    per = bucket_seconds // fine_seconds
+    ev = events.withColumn("_cb", coarse)
+    hot = (ev.groupBy(user, "_cb").agg(F.count(F.lit(1)).alias("_n"))
+             .filter(F.col("_n") > hot_rows).select(user, "_cb", F.lit(1).alias("_hot")))
+    fine = idiv(F.col(t), F.lit(fine_seconds))  # lies in [_cb * per, _cb * per + per)
+    return (ev.join(F.broadcast(hot), [user, "_cb"], "left")
+              .withColumn("_bk", F.when(F.col("_hot").isNotNull(), fine).otherwise(F.col("_cb") * per))
+              .drop("_cb", "_hot"))
+
+
 def sessionize(events: DataFrame, user: str, t: str, tie: str,
-               gap_seconds: int, bucket_seconds: int) -> DataFrame:
+               gap_seconds: int, bucket_seconds: int,
+               hot_rows: int | None = None, fine_seconds: int = 60) -> DataFrame:
     """Add ``session_idx`` (1-based per user) and ``is_session_start`` (0/1).
 
     ``t`` is an integer time in seconds, ``tie`` breaks equal times.  A new
     session starts at a user's first event and whenever the time since the
     previous event (in (t, tie) order) exceeds ``gap_seconds``.
     """
-    ev = events.withColumn("_bk", idiv(F.col(t), F.lit(bucket_seconds)))
+    ev = _buckets(events, user, t, bucket_seconds, hot_rows, fine_seconds)
     w_local = Window.partitionBy(user, "_bk").orderBy(t, tie)
     prev = F.lag(t).over(w_local)
     ev = (ev.withColumn("_prev", prev)

@@ -176,7 +176,8 @@ def tpch_star(spark: SparkSession, sf_dir: str, params: Params = FIXTURES) -> St
         "event_type",
         (epoch_second("ts") - EVENT_SHIFT_DAYS * 86400).alias("t"))
     ev = sessionize(ev, "customer_id", "t", "event_id",
-                    params.session_gap_seconds, params.session_bucket_seconds)
+                    params.session_gap_seconds, params.session_bucket_seconds,
+                    params.session_hot_bucket_rows, params.session_fine_seconds)
     uid = F.col("customer_id")
     ev = (ev.withColumn("session_id", uid * 100000 + F.col("session_idx"))
             .withColumn("event_ts", from_epoch_second(F.col("t")))

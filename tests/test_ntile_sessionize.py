@@ -71,7 +71,13 @@ def test_bucketed_sessionize_matches_global_lag(spark):
             events.append((u, t, eid))
             eid += 1
     df = spark.createDataFrame(events, "u long, t long, e long")
+    exp = _sessions_brute(events, 3600)
     for bucket in (1000, 3600, 86_400):
         out = sessionize(df, "u", "t", "e", gap_seconds=3600, bucket_seconds=bucket)
         got = {r.e: (r.session_idx, r.is_session_start) for r in out.collect()}
-        assert got == _sessions_brute(events, 3600), bucket
+        assert got == exp, bucket
+    # hot (user, bucket) cells split into fine buckets: same sessions
+    for bucket, hot, fine in ((3600, 5, 60), (86_400, 20, 600), (3600, 1, 1)):
+        out = sessionize(df, "u", "t", "e", gap_seconds=3600, bucket_seconds=bucket, hot_rows=hot, fine_seconds=fine)
+        got = {r.e: (r.session_idx, r.is_session_start) for r in out.collect()}
+        assert got == exp, (bucket, hot, fine)
