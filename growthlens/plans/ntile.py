@@ -31,21 +31,26 @@ from ..functions.ratios import idiv
 _LOCAL_BITS = 33
 
 
+def choose_checkpoint_dir(current: str | None, configured: str | None, master: str) -> tuple[str, bool]:
+    """(directory, must_set): the context's directory, else ``spark.checkpoint.dir``;
+    only a local master may fall back to a fresh temporary folder."""
+    if current:
+        return current, False
+    if configured:
+        return configured, True
+    if master.startswith("local"):
+        return tempfile.mkdtemp(prefix="growthlens-ckpt-"), True
+    raise RuntimeError("set spark.checkpoint.dir to a shared directory (needed by distributed_ntile)")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; only local sessions get a default."""
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        sc.setCheckpointDir(conf)
-        return conf
-    if sc.master.startswith("local"):
-        path = tempfile.mkdtemp(prefix="growthlens-ckpt-")
+    path, must_set = choose_checkpoint_dir(sc.getCheckpointDir(), spark.conf.get("spark.checkpoint.dir", None),
+                                           sc.master)
+    if must_set:
         sc.setCheckpointDir(path)
-        return path
-    raise RuntimeError("set spark.checkpoint.dir to a shared directory (needed by distributed_ntile)")
+    return path
 
 
 def _parts(spark: SparkSession) -> int:

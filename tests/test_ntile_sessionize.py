@@ -81,3 +81,18 @@ def test_bucketed_sessionize_matches_global_lag(spark):
         out = sessionize(df, "u", "t", "e", gap_seconds=3600, bucket_seconds=bucket, hot_rows=hot, fine_seconds=fine)
         got = {r.e: (r.session_idx, r.is_session_start) for r in out.collect()}
         assert got == exp, (bucket, hot, fine)
+
+
+def test_checkpoint_dir_comes_from_the_session_and_never_a_local_folder_on_a_cluster():
+    import pytest
+
+    from growthlens.plans.ntile import choose_checkpoint_dir
+
+    assert choose_checkpoint_dir("hdfs://nn/ckpt/app-1", "s3a://b/ckpt", "yarn") == ("hdfs://nn/ckpt/app-1", False)
+    assert choose_checkpoint_dir(None, "s3a://b/ckpt", "yarn") == ("s3a://b/ckpt", True)
+    path, must_set = choose_checkpoint_dir(None, None, "local[8]")
+    assert must_set and path.startswith("/")
+    with pytest.raises(RuntimeError):
+        choose_checkpoint_dir(None, None, "yarn")
+    with pytest.raises(RuntimeError):
+        choose_checkpoint_dir(None, None, "k8s://https://api:443")
