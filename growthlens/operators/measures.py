@@ -231,7 +231,9 @@ def _fact_result(star: Star, fact: str, names: list[str], by: list[str], filters
     bad = need - FACT_ATTRS[fact]
     if bad:
         raise ValueError(f"measures {names} ({fact}) cannot be sliced by {sorted(bad)}")
-    f = None if fact == "orders" and need & _CUSTOMER_ATTRS else _apply_filters(_fact(star, fact, need), filters)
+    # orders sliced by a customer attribute are pre-aggregated per customer (below), not joined row by row
+    by_customer = fact == "orders" and bool(need & _CUSTOMER_ATTRS)
+    f = None if by_customer else _apply_filters(_fact(star, fact, need), filters)
     if fact == "cohort":
         per = (f.groupBy(*sorted(set(by) | {"cohort_month"}))
                .agg(F.max("cohort_size").alias("_sz"), F.sum("active_customers").alias("_ac")))
@@ -241,7 +243,7 @@ def _fact_result(star: Star, fact: str, names: list[str], by: list[str], filters
         for n in names:
             for alias, fn in MEASURES[n].parts:
                 parts[alias] = fn
-        if fact == "orders" and need & _CUSTOMER_ATTRS:
+        if by_customer:
             g = _orders_by_customer_slice(star, list(parts), by, filters)
         else:
             g = f.groupBy(*by).agg(*[fn().alias("m_" + a) for a, fn in parts.items()])
