@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import month_start, months_between_boundaries, seconds_between
 from ..functions.ratios import pct, round_ratio
 from ..plans.base import customer_first, flag, order_margin, orders_delivered
-from ..plans.skew import join_per_key
+from ..plans.skew import hot_keys, join_per_key
 from ..sources.star import Star
 
 
@@ -75,7 +75,9 @@ def channel_scorecard(star: Star) -> DataFrame:
           .filter(months_between_boundaries("cohort_month", "order_month") == 1)
           .select("customer_id").distinct().withColumn("active_m1", F.lit(1)))
     om = order_margin(star).select("customer_id", "order_ts", "contribution_rs")
-    d90 = (join_per_key(om, cf.select("customer_id", "signup_ts"), "customer_id", p.hot_key_rows)
+    # hot customers counted on the delivered orders (one scan), not on the margin join behind om
+    hot = hot_keys(orders_delivered(star), "customer_id", p.hot_key_rows)
+    d90 = (join_per_key(om, cf.select("customer_id", "signup_ts"), "customer_id", p.hot_key_rows, hot=hot)
            .filter(seconds_between("signup_ts", "order_ts") < p.scorecard_days * 86400)
            .groupBy("customer_id")
            .agg(F.count(F.lit(1)).alias("orders_90d"), F.sum("contribution_rs").alias("contribution_90d")))

@@ -31,15 +31,17 @@ def hot_keys(rows: DataFrame, key: str, hot_rows: int) -> DataFrame:
 
 
 def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, hot_rows: int,
-                 how: str = "inner") -> DataFrame:
+                 how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
     """``rows.join(per_key, key, how)`` with hot keys joined by broadcast.
 
     ``per_key`` must hold at most one row per ``key``; ``how`` is ``inner`` or
-    ``left`` (``rows`` on the left).
+    ``left`` (``rows`` on the left).  ``hot`` may supply the hot-key list from
+    a cheaper frame with the same key distribution (e.g. the orders behind a
+    derived order frame); which branch a key takes never changes the result.
     """
     if how not in ("inner", "left"):
         raise ValueError("join_per_key supports inner and left joins")
-    hot = hot_keys(rows, key, hot_rows)
+    hot = hot_keys(rows, key, hot_rows) if hot is None else hot.select(key)
     hot_side = per_key.join(F.broadcast(hot), key, "left_semi")   # <= count(rows)/hot_rows rows
     tagged = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(1))), key, "left")
     in_hot = F.col("_hot").isNotNull()
