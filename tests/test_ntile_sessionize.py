@@ -88,8 +88,8 @@ def test_checkpoint_dir_comes_from_the_session_and_never_a_local_folder_on_a_clu
 
     from growthlens.plans.ntile import choose_checkpoint_dir
 
-    assert choose_checkpoint_dir("hdfs://nn/ckpt/app-1", "s3a://b/ckpt", "yarn") == ("hdfs://nn/ckpt/app-1", False)
-    assert choose_checkpoint_dir(None, "s3a://b/ckpt", "yarn") == ("s3a://b/ckpt", True)
+    assert choose_checkpoint_dir("/shared/ckpt/app-1", "/shared/ckpt", "yarn") == ("/shared/ckpt/app-1", False)
+    assert choose_checkpoint_dir(None, "/shared/ckpt", "yarn") == ("/shared/ckpt", True)
     path, must_set = choose_checkpoint_dir(None, None, "local[8]")
     assert must_set and path.startswith("/")
     with pytest.raises(RuntimeError):
