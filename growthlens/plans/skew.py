@@ -15,7 +15,8 @@ shuffle stage on that side to split against).  Here:
    than ``hot_rows`` rows.
 
 Every row goes to exactly one branch, so inner and left joins keep their
-meaning; nothing is sampled or dropped.
+meaning; nothing is sampled or dropped (rows with a NULL key, which match
+nothing, skip the join: dropped by an inner join, kept by a left join).
 """
 
 from __future__ import annotations
@@ -41,10 +42,17 @@ def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, hot_rows: int,
     """
     if how not in ("inner", "left"):
         raise ValueError("join_per_key supports inner and left joins")
+    # NULL keys never match; kept out of the shuffle join, where they would all hash to one task
+    null_rows = rows.filter(F.col(key).isNull())
+    rows = rows.filter(F.col(key).isNotNull())
     hot = hot_keys(rows, key, hot_rows) if hot is None else hot.select(key)
     hot_side = per_key.join(F.broadcast(hot), key, "left_semi")   # <= count(rows)/hot_rows rows
     tagged = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(1))), key, "left")
     in_hot = F.col("_hot").isNotNull()
     hot_part = tagged.filter(in_hot).drop("_hot").join(F.broadcast(hot_side), key, how)
     cold_part = tagged.filter(~in_hot).drop("_hot").join(per_key, key, how)
-    return hot_part.unionByName(cold_part)
+    out = hot_part.unionByName(cold_part)
+    if how == "left":
+        missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in per_key.schema.fields if f.name != key]
+        out = out.unionByName(null_rows.select("*", *missing))
+    return out

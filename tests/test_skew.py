@@ -125,6 +125,13 @@ def test_join_per_key_equals_plain_join(spark):
         got = join_per_key(rows, per_key, "k", 100, how)
         exp = rows.join(per_key, "k", how)
         assert sorted(got.collect()) == sorted(exp.select(*got.columns).collect()), how
+    # NULL keys: dropped by inner, kept with NULL partners by left, never shuffled together
+    with_nulls = rows.unionByName(spark.range(0, 500).select(F.lit(None).cast("long").alias("k"),
+                                                             (F.col("id") + 10_000).alias("v")))
+    for how in ("inner", "left"):
+        got = join_per_key(with_nulls, per_key, "k", 100, how)
+        exp = with_nulls.join(per_key, "k", how)
+        assert sorted(got.collect(), key=repr) == sorted(exp.select(*got.columns).collect(), key=repr), how
     # a supplied hot list (too wide or empty) changes the branch, never the result
     for hot in (spark.range(0, 20).select(F.col("id").alias("k")), spark.range(0).select(F.col("id").alias("k"))):
         got = join_per_key(rows, per_key, "k", 100, "left", hot=hot)
