@@ -37,15 +37,16 @@ def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, hot_rows: int,
 
     ``per_key`` must hold at most one row per ``key``; ``how`` is ``inner`` or
     ``left`` (``rows`` on the left).  ``hot`` may supply the hot-key list from
-    a cheaper frame with the same key distribution (e.g. the orders behind a
-    derived order frame); which branch a key takes never changes the result.
+    a cheaper frame with the same key distribution (e.g. ``hot_keys`` of the
+    orders behind a derived order frame); it is broadcast, so it must carry the
+    same size bound.  Which branch a key takes never changes the result.
     """
     if how not in ("inner", "left"):
         raise ValueError("join_per_key supports inner and left joins")
     # NULL keys never match; kept out of the shuffle join, where they would all hash to one task
     null_rows = rows.filter(F.col(key).isNull())
     rows = rows.filter(F.col(key).isNotNull())
-    hot = hot_keys(rows, key, hot_rows) if hot is None else hot.select(key)
+    hot = hot_keys(rows, key, hot_rows) if hot is None else hot.select(key).distinct()
     hot_side = per_key.join(F.broadcast(hot), key, "left_semi")   # <= count(rows)/hot_rows rows
     tagged = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(1))), key, "left")
     in_hot = F.col("_hot").isNotNull()

@@ -133,7 +133,8 @@ def test_join_per_key_equals_plain_join(spark):
         exp = with_nulls.join(per_key, "k", how)
         assert sorted(got.collect(), key=repr) == sorted(exp.select(*got.columns).collect(), key=repr), how
     # a supplied hot list (too wide or empty) changes the branch, never the result
-    for hot in (spark.range(0, 20).select(F.col("id").alias("k")), spark.range(0).select(F.col("id").alias("k"))):
+    dup = spark.range(0, 20).select((F.col("id") % 7).alias("k"))  # repeated keys must not repeat rows
+    for hot in (spark.range(0, 20).select(F.col("id").alias("k")), spark.range(0).select(F.col("id").alias("k")), dup):
         got = join_per_key(rows, per_key, "k", 100, "left", hot=hot)
         assert sorted(got.collect()) == sorted(rows.join(per_key, "k", "left").select(*got.columns).collect())
     # key 5 (a third of the rows) is joined by broadcast, without shuffling its rows
