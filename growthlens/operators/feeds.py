@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.base import (cohort_activity, customer_first, dim_date, flag, item_margin_by_order,
-                          order_margin, session_funnel, stressed)
+                          order_margin, order_month_col, session_funnel, stressed)
 from ..sources.star import Star, month_ranged
 from .health import customer_health, product_health
 from .marketplace import store_month_ops
@@ -47,21 +47,30 @@ def feed_dim_customer(star: Star) -> DataFrame:
 
 def feed_fact_orders(star: Star) -> DataFrame:
     """All orders; delivered-only flags are 0 for cancelled, economics NULL."""
-    def build():
-        o = star.orders
-        dlv = F.col("status") == "delivered"
-        act, prom = F.col("actual_delivery_min"), F.col("promised_min")
-        om = order_margin(star).select("order_id", "item_margin", "contribution_rs")
-        return (o.join(om, "order_id", "left")
-                .select("order_id", "customer_id", "store_id", F.col("order_ts").cast("date").alias("order_date"),
-                        "status", "promised_min", "actual_delivery_min",
-                        flag(dlv & (act <= prom)).alias("is_on_time"),
-                        flag(dlv & (act > prom + star.params.late_tolerance_min)).alias("is_late_5plus"),
-                        F.col("items_missing").cast("int").alias("items_missing"),
-                        flag(dlv & (act <= prom) & (F.col("items_missing") == 0)).alias("is_perfect_order"),
-                        "item_total", "discount_amount", "delivery_fee", "handling_fee", "net_amount",
-                        "payment_method", "rating", "item_margin", "contribution_rs"))
-    return star.memo("feed_fact_orders", build)
+    return star.memo("feed_fact_orders", lambda: _fact_orders(star).drop("month"))
+
+
+def fact_orders_by_month(star: Star) -> DataFrame:
+    """``feed_fact_orders`` plus ``month``: the storage partition column when the
+    star was read from month-partitioned parquet, so a month filter prunes
+    whole directories of the orders scan."""
+    return star.memo("fact_orders_by_month", lambda: _fact_orders(star))
+
+
+def _fact_orders(star: Star) -> DataFrame:
+    o = star.orders
+    dlv = F.col("status") == "delivered"
+    act, prom = F.col("actual_delivery_min"), F.col("promised_min")
+    om = order_margin(star).select("order_id", "item_margin", "contribution_rs")
+    return (o.join(om, "order_id", "left")
+            .select(order_month_col(o).alias("month"), "order_id", "customer_id", "store_id",
+                    F.col("order_ts").cast("date").alias("order_date"), "status", "promised_min", "actual_delivery_min",
+                    flag(dlv & (act <= prom)).alias("is_on_time"),
+                    flag(dlv & (act > prom + star.params.late_tolerance_min)).alias("is_late_5plus"),
+                    F.col("items_missing").cast("int").alias("items_missing"),
+                    flag(dlv & (act <= prom) & (F.col("items_missing") == 0)).alias("is_perfect_order"),
+                    "item_total", "discount_amount", "delivery_fee", "handling_fee", "net_amount",
+                    "payment_method", "rating", "item_margin", "contribution_rs"))
 
 
 FUNNEL_STAGES = ["sessions", "searched", "reached_product_view", "reached_cart", "reached_checkout", "converted"]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.ratios import pct, round_ratio
 from ..plans.base import customer_first
 from ..sources.star import Star
-from .feeds import feed_cohort_retention, feed_dim_store, feed_fact_orders, feed_funnel_monthly, feed_marketing
+from .feeds import fact_orders_by_month, feed_cohort_retention, feed_dim_store, feed_funnel_monthly, feed_marketing
 from .health import customer_health
 from .rfm import customer_rfm
 
@@ -170,7 +170,7 @@ def _customer_dims(star: Star, attrs: set[str]) -> DataFrame:
 
 
 def _orders_fact(star: Star, need: set[str]) -> DataFrame:
-    f = feed_fact_orders(star).withColumn("month", F.trunc("order_date", "month"))
+    f = fact_orders_by_month(star)  # month = storage partition column when present: month filters prune
     if need & _STORE_ATTRS:
         stores = feed_dim_store(star).select("store_id", *sorted(need & _STORE_ATTRS))
         f = f.join(F.broadcast(stores), "store_id", "left")  # one row per store: bounded
