@@ -56,3 +56,26 @@ def lookup(rows: DataFrame, mapping: DataFrame, key: str, weight: str, spread: C
     joined = tagged.join(cold, ["__key", "__cold"], "left")
     picked = F.coalesce("__heavy", "__value")
     return joined.select(*rows.columns, *[picked[c].alias(c) for c in values])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def blocks(batch, column: str, max_bytes: int):
+    """Slices of an Arrow batch whose binary ``column`` sums to about ``max_bytes`` (one row at least)."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    start = total = 0
+    for i, n in enumerate(sizes):
+        if i > start and total + n > max_bytes:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield batch.slice(start)
