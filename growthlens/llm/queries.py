@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, pii, sharding, simhash, url_filter
+from . import decontaminate, fingerprints, langid, pii, sharding, simhash, url_filter
 from .common import table
 
 #: DuckDB statements of the queries that SQL can express.
@@ -38,6 +38,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_url_filters": op2_url_filters,
@@ -45,4 +49,5 @@ QUERIES = {
     "op5_pii": op5_pii,
     "op7_simhash": op7_simhash,
     "op9_sharding": op9_sharding,
+    "op10_langid": op10_langid,
 }
