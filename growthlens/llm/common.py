@@ -79,3 +79,13 @@ def blocks(batch, column: str, max_bytes: int):
         total += n
     if start < len(sizes):
         yield batch.slice(start)
+
+
+#: Bytes to lower case, everything but the bytes of ASCII letters, digits and other scripts to a blank.
+_FOLD = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 32
+              for b in range(256))
+
+
+def fold_words(text: bytes | None) -> list[bytes]:
+    """The words of a UTF-8 text in lower case: runs of ASCII letters and digits and of anything beyond ASCII."""
+    return text.translate(_FOLD).split() if text else []

@@ -21,22 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, fresh, materialise
+from .common import blocks, fold_words, fresh, materialise
 
 WINDOW = 10
 MAX_BLOCK_WORDS = 4_000_000
 _SCAN_BYTES = 4 << 20
-#: Bytes to lower case, everything but word bytes to a blank.
-_FOLD = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 32
-              for b in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _HITS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
-def word_list(text: bytes | None) -> list[bytes]:
-    return text.translate(_FOLD).split() if text else []
-
-
 class WindowSet:
     """Windows by length: sorted hashes for the scan, and the items of each window by its exact words."""
 
@@ -51,7 +44,7 @@ class WindowSet:
         vocabulary: dict[bytes, int] = {}
         windows: dict[int, dict[bytes, set[str]]] = {}
         for item, text in items:
-            numbers = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in word_list(text)],
+            numbers = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in fold_words(text)],
                                dtype=np.int64)
             size = min(WINDOW, len(numbers))
             for i in range(len(numbers) - size + 1 if size else 0):
@@ -101,7 +94,7 @@ def _scanner(shared, text: str, out: str, schema: T.StructType):
         index = WindowSet(*shared.value)
         for batch in batches:
             for block in blocks(batch, text, _SCAN_BYTES):
-                lists = [word_list(t) for t in block.column(text).to_pylist()]
+                lists = [fold_words(t) for t in block.column(text).to_pylist()]
                 bounds = np.cumsum([0] + [len(x) + 1 for x in lists])
                 numbers = np.zeros(bounds[-1], dtype=np.int64)
                 for a, words in zip(bounds, lists):
