@@ -159,10 +159,10 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
         F.xxhash64("text", F.col("doc_id").isNull()).alias("key"))
     before = _predecessors(keyed.select("doc_id", "id", "key", F.char_length("text").cast("bigint").alias("n_chars")))
     rows = (keyed.withColumn("sketch", sketch(F.col("text"))).groupBy("id", "key")
-            .agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("sketch").alias("sketch")))
+            .agg(F.first("text").alias("text"), F.first("sketch").alias("sketch")))  # both uses share one exchange
     lent = rows.join(before, ["id", "key"]).select(
         F.col("to.id").alias("id"), F.col("to.key").alias("key"), F.col("to.n_chars").alias("n_chars"),
-        F.col("to.copies").alias("copies"), F.col("sketch").alias("next_sketch"), no_words(F.col("text")).alias("next_empty"),
+        F.col("to.doc_id").alias("doc_id"), F.col("to.copies").alias("copies"), F.col("sketch").alias("next_sketch"), no_words(F.col("text")).alias("next_empty"),
         F.expr("substring(text, 1, cast(to.n_chars div 2 as int))").alias("head"))
     edited = rows.join(lent, ["id", "key"]).withColumn(
         "edited", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 2 as int)), head)"))
