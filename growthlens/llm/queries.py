@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, langid, pii, sharding, simhash, toxicity, url_filter
+from . import decontaminate, fingerprints, langid, packing, pii, sharding, simhash, toxicity, url_filter
 from .common import table
 
 #: DuckDB statements of the queries that SQL can express.
@@ -32,6 +33,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
@@ -52,6 +57,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_toxicity": op4_toxicity,
     "op5_pii": op5_pii,
+    "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
     "op9_sharding": op9_sharding,
     "op10_langid": op10_langid,
