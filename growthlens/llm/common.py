@@ -67,7 +67,7 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def blocks(batch, column: str, max_bytes: int):
-    """Slices of an Arrow batch whose binary ``column`` sums to about ``max_bytes`` (one row at least)."""
+    """Slices of an Arrow batch whose string or binary ``column`` sums to about ``max_bytes`` (one row at least)."""
     import pyarrow.compute as pc
 
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, langid, packing, pii, sharding, simhash, toxicity, url_filter
+from . import decontaminate, fingerprints, langid, packing, pii, sharding, simhash, substrings, toxicity, url_filter
 from .common import table
 
 #: DuckDB statements of the queries that SQL can express.
@@ -41,6 +41,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -59,6 +63,7 @@ QUERIES = {
     "op5_pii": op5_pii,
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
+    "op8_substrings": op8_substrings,
     "op9_sharding": op9_sharding,
     "op10_langid": op10_langid,
 }
