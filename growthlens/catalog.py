@@ -32,6 +32,7 @@ QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     "signups_by_month_channel": acquisition.signups_by_month_channel,
     "cac_by_channel": acquisition.cac_by_channel,
     "cac_payback": acquisition.cac_payback,
+    "payback_month_by_channel": acquisition.payback_month_by_channel,
     "channel_scorecard": acquisition.channel_scorecard,
     # 2.5 activation
     "activation_by_month_channel": activation.activation_by_month_channel,

@@ -17,15 +17,13 @@ D = _dt.date
 
 @dataclass(frozen=True)
 class Params:
+    # fixed values: dates and thresholds of the metric definitions
     # --- time anchors -------------------------------------------------------
     as_of: D = D(2026, 8, 31)
     # last month whose activity is observable (retention censoring)
     observation_month: D = D(2026, 8, 1)
-    last_full_m1_cohort: D = D(2026, 7, 1)
     promo_cohort: D = D(2026, 5, 1)
     stress_start: D = D(2026, 5, 1)
-    calendar_start: D = D(2025, 8, 1)
-    calendar_end: D = D(2026, 9, 30)
     scorecard_first_month: D = D(2025, 9, 1)
     scorecard_last_month: D = D(2026, 8, 1)
     # --- order economics ----------------------------------------------------
@@ -79,6 +77,12 @@ class Params:
     def days_before_as_of(self, n: int) -> D:
         return self.as_of - _dt.timedelta(days=n)
 
+    @property
+    def last_full_m1_cohort(self) -> D:
+        """The last cohort whose month 1 is observable: the month before the observation month."""
+        last = self.observation_month.replace(day=1) - _dt.timedelta(days=1)
+        return last.replace(day=1)
+
     @property
     def as_of_end(self) -> D:
         """Exclusive upper bound of the data window (as-of day included)."""
@@ -102,12 +106,9 @@ DEFAULTS = Params()
 # The parameter profile for the driver's test tables (FIXTURES.md section 4).
 FIXTURES = Params(
     as_of=D(2001, 8, 1),
-    observation_month=D(1996, 3, 1),
-    last_full_m1_cohort=D(1996, 2, 1),
+    observation_month=D(2001, 8, 1),
     promo_cohort=D(1995, 5, 1),
     stress_start=D(2000, 1, 1),
-    calendar_start=D(1994, 11, 1),
-    calendar_end=D(2001, 9, 30),
     scorecard_first_month=D(1994, 11, 1),
     scorecard_last_month=D(2001, 8, 1),
     active_days=120,
@@ -124,10 +125,4 @@ FIXTURES = Params(
     audit_customers_range=(1, 1_000_000_000),
     audit_min_events=1,
     audit_window=(D(1994, 11, 1), D(2001, 9, 1)),
-    # customers here hold tens of orders; a key that owns a third of a
-    # fixture table (tests/test_skew.py) takes the hot-key path
-    hot_key_rows=200,
-    # the fixture events have at most 3 per (user, hour): with 1, several hundred cells take the
-    # minute-bucket path, so the oracle check covers it
-    session_hot_bucket_rows=1,
 )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import month_start, months_between_boundaries, seconds_between
 from ..functions.ratios import pct, round_ratio
-from ..plans.base import customer_first, flag, order_margin, orders_delivered
+from ..plans.base import customer_first, order_margin, orders_delivered
 from ..plans.skew import hot_keys, join_per_key
 from ..sources.star import Star
 
@@ -67,6 +67,12 @@ def cac_payback(star: Star) -> DataFrame:
                     .otherwise("").alias("payback_status")))
 
 
+def payback_month_by_channel(star: Star) -> DataFrame:
+    """The first tenure month by which a channel's cumulative contribution covers its spend; NULL if none does."""
+    paid = F.when(F.col("payback_status") == "paid back", F.col("tenure_month"))
+    return cac_payback(star).groupBy("acquisition_channel").agg(F.min(paid).alias("payback_month"))
+
+
 def channel_scorecard(star: Star) -> DataFrame:
     p = star.params
     cf = customer_first(star).filter(F.col("cohort_month") <= F.lit(p.last_full_m1_cohort))
@@ -98,6 +104,3 @@ def channel_scorecard(star: Star) -> DataFrame:
                     round_ratio("_o90", "signups", 2).alias("avg_orders_90d"),
                     round_ratio("_c90", "_n90", 0).alias("avg_contribution_90d"),
                     cac("spend_inr", "signups").alias("cac_per_signup")))
-
-
-__all__ = ["signups_by_month_channel", "cac_by_channel", "cac_payback", "channel_scorecard", "flag"]

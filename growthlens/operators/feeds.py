@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dates import months_between_boundaries
 from ..plans.base import (cohort_activity, customer_first, dim_date, flag, item_margin_by_order,
-                          order_margin, order_month_col, session_funnel, stressed)
+                          order_margin, order_month_col, orders_as_of, session_funnel, stressed)
 from ..sources.star import Star, month_ranged
 from .health import customer_health, product_health
 from .marketplace import store_month_ops
@@ -47,30 +48,31 @@ def feed_dim_customer(star: Star) -> DataFrame:
 
 def feed_fact_orders(star: Star) -> DataFrame:
     """All orders; delivered-only flags are 0 for cancelled, economics NULL."""
-    return star.memo("feed_fact_orders", lambda: _fact_orders(star).drop("month"))
+    return star.memo("feed_fact_orders", lambda: _fact_orders(star, True).drop("month"))
 
 
-def fact_orders_by_month(star: Star) -> DataFrame:
+def fact_orders_by_month(star: Star, margin: bool = True) -> DataFrame:
     """``feed_fact_orders`` plus ``month``: the storage partition column when the
     star was read from month-partitioned parquet, so a month filter prunes
-    whole directories of the orders scan."""
-    return star.memo("fact_orders_by_month", lambda: _fact_orders(star))
+    whole directories of the orders scan.  Without ``margin`` the order lines are not read."""
+    return star.memo(f"fact_orders_by_month_{margin}", lambda: _fact_orders(star, margin))
 
 
-def _fact_orders(star: Star) -> DataFrame:
-    o = star.orders
+def _fact_orders(star: Star, margin: bool) -> DataFrame:
+    o = orders_as_of(star)
     dlv = F.col("status") == "delivered"
     act, prom = F.col("actual_delivery_min"), F.col("promised_min")
-    om = order_margin(star).select("order_id", "item_margin", "contribution_rs")
-    return (o.join(om, "order_id", "left")
-            .select(order_month_col(o).alias("month"), "order_id", "customer_id", "store_id",
+    economics = ["item_margin", "contribution_rs"] if margin else []
+    if margin:
+        o = o.join(order_margin(star).select("order_id", *economics), "order_id", "left")
+    return (o.select(order_month_col(o).alias("month"), "order_id", "customer_id", "store_id",
                     F.col("order_ts").cast("date").alias("order_date"), "status", "promised_min", "actual_delivery_min",
                     flag(dlv & (act <= prom)).alias("is_on_time"),
                     flag(dlv & (act > prom + star.params.late_tolerance_min)).alias("is_late_5plus"),
                     F.col("items_missing").cast("int").alias("items_missing"),
                     flag(dlv & (act <= prom) & (F.col("items_missing") == 0)).alias("is_perfect_order"),
                     "item_total", "discount_amount", "delivery_fee", "handling_fee", "net_amount",
-                    "payment_method", "rating", "item_margin", "contribution_rs"))
+                    "payment_method", "rating", *economics))
 
 
 FUNNEL_STAGES = ["sessions", "searched", "reached_product_view", "reached_cart", "reached_checkout", "converted"]
@@ -101,12 +103,27 @@ def feed_cohort_retention(star: Star) -> DataFrame:
     def build():
         size = customer_first(star).groupBy("cohort_month").agg(F.count(F.lit(1)).alias("cohort_size"))
         act = (cohort_activity(star).groupBy("cohort_month", "month_offset")
-               .agg(F.countDistinct("customer_id").alias("active_customers")))
+               .agg(F.count(F.lit(1)).alias("active_customers")))  # one row per customer and offset
         return act.join(size, "cohort_month").select("cohort_month", "month_offset", "cohort_size",
                                                      "active_customers")
     return star.memo("feed_cohort_retention", build)
 
 
+def cohort_grid(star: Star) -> DataFrame:
+    """Every observable cohort x offset cell with its size and actives (0 where nobody was active)."""
+    def build():
+        size = customer_first(star).groupBy("cohort_month").agg(F.count(F.lit(1)).alias("cohort_size"))
+        lived = months_between_boundaries("cohort_month", F.lit(star.params.observation_month))
+        cells = size.where(lived >= 0).select("cohort_month", "cohort_size", F.explode(
+            F.sequence(F.lit(0).cast("long"), lived.cast("long"))).alias("month_offset"))
+        act = feed_cohort_retention(star).select("cohort_month", F.col("month_offset").cast("long").alias("month_offset"),
+                                                 "active_customers")
+        return cells.join(act, ["cohort_month", "month_offset"], "left").select(
+            "cohort_month", "month_offset", "cohort_size",
+            F.coalesce("active_customers", F.lit(0)).alias("active_customers"))
+    return star.memo("cohort_grid", build)
+
+
 def feed_store_month_ops(star: Star) -> DataFrame:
     return store_month_ops(star)
 

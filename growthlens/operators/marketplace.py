@@ -7,16 +7,16 @@ import datetime as _dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import month_start, ts_lit
+from ..functions.dates import month_start
 from ..functions.ratios import pct, round_ratio, rounded_units
-from ..plans.base import orders_delivered
+from ..plans.base import orders_as_of, orders_delivered
 from ..sources.star import Star
 
 
 def _store_month_units(star: Star) -> DataFrame:
     """Store x month over all orders; percentages kept as integer tenths."""
     def build():
-        o = star.orders
+        o = orders_as_of(star)
         dlv = F.col("status") == "delivered"
         act, prom = F.col("actual_delivery_min"), F.col("promised_min")
         stores = star.store.select("store_id", "zone_name")  # one row per store
@@ -71,10 +71,8 @@ def store_pre_post(star: Star) -> DataFrame:
 
 
 def demand_heatmap(star: Star) -> DataFrame:
-    """Orders (all statuses) by weekday x hour within the calendar span."""
-    p = star.params
-    o = star.orders.filter((F.col("order_ts") >= ts_lit(p.calendar_start))
-                           & (F.col("order_ts") < ts_lit(p.calendar_end + _dt.timedelta(days=1))))
+    """Orders (all statuses) by weekday x hour."""
+    o = orders_as_of(star)
     d = F.col("order_ts").cast("date")
     g = (o.groupBy(F.weekday(d).alias("day_of_week"), F.date_format(d, "EEEE").alias("day_name"),
                    F.hour("order_ts").alias("hour_of_day"))

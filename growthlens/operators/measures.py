@@ -13,6 +13,7 @@ active to 2, minutes to 1, ratings to 2.
 
 from __future__ import annotations
 
+import datetime as _dt
 from dataclasses import dataclass
 from functools import reduce
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.ratios import pct, round_ratio
 from ..plans.base import customer_first
 from ..sources.star import Star
-from .feeds import fact_orders_by_month, feed_cohort_retention, feed_dim_store, feed_funnel_monthly, feed_marketing
+from .feeds import cohort_grid, fact_orders_by_month, feed_dim_store, feed_funnel_monthly, feed_marketing
 from .health import customer_health
 from .rfm import customer_rfm
 
@@ -77,6 +78,7 @@ _ORDER_PARTS = {
     "_all": lambda: F.count(F.lit(1)),
     "_rsum": _sum_if("rating"),
     "_rn": lambda: F.count(F.when(_dlv(), F.col("rating"))),
+    "_miss": _sum_if("items_missing"),
 }
 
 
@@ -129,7 +131,12 @@ MEASURES: dict[str, Measure] = {
     "avg_delivery_min": _om(["_dmin", "_dminn"], lambda x: round_ratio(x + "_dmin", x + "_dminn", 1)),
     "cancellation_pct": _om(["_canc", "_all"], lambda x: pct(x + "_canc", x + "_all")),
     "avg_rating": _om(["_rsum", "_rn"], lambda x: round_ratio(x + "_rsum", x + "_rn", 2)),
+    "items_missing_pct": _om(["_miss", "_do"], lambda x: pct(x + "_miss", x + "_do")),
     # funnel
+    "searches": Measure("funnel", (("_sea", _sum("searched")),), lambda x: _s(x + "_sea")),
+    "product_views": Measure("funnel", (("_pv", _sum("reached_product_view")),), lambda x: _s(x + "_pv")),
+    "carts": Measure("funnel", (("_cart", _sum("reached_cart")),), lambda x: _s(x + "_cart")),
+    "checkouts": Measure("funnel", (("_co", _sum("reached_checkout")),), lambda x: _s(x + "_co")),
     "sessions": Measure("funnel", (("_ses", _sum("sessions")),), lambda x: _s(x + "_ses")),
     "converted_sessions": Measure("funnel", (("_conv", _sum("converted")),), lambda x: _s(x + "_conv")),
     "session_conversion_pct": Measure("funnel", (("_conv", _sum("converted")), ("_ses", _sum("sessions"))),
@@ -169,8 +176,9 @@ def _customer_dims(star: Star, attrs: set[str]) -> DataFrame:
     return out
 
 
-def _orders_fact(star: Star, need: set[str]) -> DataFrame:
-    f = fact_orders_by_month(star)  # month = storage partition column when present: month filters prune
+def _orders_fact(star: Star, need: set[str], parts) -> DataFrame:
+    margin = bool({"_contrib", "_margin"} & set(parts))  # else the order lines stay unread
+    f = fact_orders_by_month(star, margin)  # month = storage partition column when present: month filters prune
     if need & _STORE_ATTRS:
         stores = feed_dim_store(star).select("store_id", *sorted(need & _STORE_ATTRS))
         f = f.join(F.broadcast(stores), "store_id", "left")  # one row per store: bounded
@@ -184,7 +192,7 @@ def _orders_by_customer_slice(star: Star, parts: list[str], by: list[str], filte
     need = set(by) | set(filters)
     cust = need & _CUSTOMER_ATTRS
     order_keys = sorted(need - cust)
-    f = _apply_filters(_orders_fact(star, need - cust),
+    f = _apply_filters(_orders_fact(star, need - cust, parts),
                        {k: v for k, v in filters.items() if k not in cust})
     pre = f.groupBy("customer_id", *order_keys).agg(*[_order_partial(a).alias(a) for a in parts])
     joined = pre.join(_customer_dims(star, cust), "customer_id", "left")
@@ -201,9 +209,9 @@ def _customers_fact(star: Star, need: set[str]) -> DataFrame:
     return f
 
 
-def _fact(star: Star, fact: str, need: set[str]) -> DataFrame:
+def _fact(star: Star, fact: str, need: set[str], parts) -> DataFrame:
     if fact == "orders":
-        return _orders_fact(star, need)
+        return _orders_fact(star, need, parts)
     if fact == "customers":
         return _customers_fact(star, need)
     if fact == "funnel":
@@ -211,7 +219,7 @@ def _fact(star: Star, fact: str, need: set[str]) -> DataFrame:
     if fact == "marketing":
         return (feed_marketing(star).withColumnRenamed("month_start", "month")
                 .withColumnRenamed("channel", "acquisition_channel"))
-    return feed_cohort_retention(star)
+    return cohort_grid(star)
 
 
 def _apply_filters(df: DataFrame, filters: dict) -> DataFrame:
@@ -226,34 +234,65 @@ def _apply_filters(df: DataFrame, filters: dict) -> DataFrame:
     return df
 
 
-def _fact_result(star: Star, fact: str, names: list[str], by: list[str], filters: dict) -> DataFrame:
+def _grouped(star: Star, fact: str, parts: dict, by: list[str], filters: dict) -> DataFrame:
+    """The parts (as ``m_`` + alias) per slice."""
     need = set(by) | set(filters)
-    bad = need - FACT_ATTRS[fact]
-    if bad:
-        raise ValueError(f"measures {names} ({fact}) cannot be sliced by {sorted(bad)}")
-    # orders sliced by a customer attribute are pre-aggregated per customer (below), not joined row by row
-    by_customer = fact == "orders" and bool(need & _CUSTOMER_ATTRS)
-    f = None if by_customer else _apply_filters(_fact(star, fact, need), filters)
+    # orders sliced by a customer attribute are pre-aggregated per customer, not joined row by row
+    if fact == "orders" and need & _CUSTOMER_ATTRS:
+        return _orders_by_customer_slice(star, list(parts), by, filters)
+    f = _apply_filters(_fact(star, fact, need, parts), filters)
     if fact == "cohort":
         per = (f.groupBy(*sorted(set(by) | {"cohort_month"}))
                .agg(F.max("cohort_size").alias("_sz"), F.sum("active_customers").alias("_ac")))
-        g = per.groupBy(*by).agg(F.sum("_sz").alias("m__size"), F.sum("_ac").alias("m__actv"))
+        return per.groupBy(*by).agg(F.sum("_sz").alias("m__size"), F.sum("_ac").alias("m__actv"))
+    return f.groupBy(*by).agg(*[fn().alias("m_" + a) for a, fn in parts.items()])
+
+
+def _month_before(day: _dt.date) -> _dt.date:
+    return (day.replace(day=1) - _dt.timedelta(days=1)).replace(day=1)
+
+
+def _previous_months(cond):
+    """The filter on months that admits the month before every month that ``cond`` admits."""
+    if isinstance(cond, tuple):
+        return _month_before(cond[0]), _month_before(cond[1])
+    if isinstance(cond, (list, set, frozenset)):
+        return [_month_before(c) for c in cond]
+    return _month_before(cond)
+
+
+def _with_previous(star: Star, fact: str, g: DataFrame, parts: dict, by: list[str], filters: dict) -> DataFrame:
+    """``g`` with each part of the previous month as ``..._pm``.
+
+    By month: each slice's own previous month, read from outside the month filter where it lies there.  Without month
+    in ``by``: the month before the first one that the filter admits (NULL without a month filter).
+    """
+    pm = [F.col("m_" + a).alias("m_" + a + "_pm") for a in parts]
+    if "month" in by:
+        earlier = filters | ({"month": _previous_months(filters["month"])} if "month" in filters else {})
+        prev = _grouped(star, fact, parts, by, earlier).select(
+            *[(F.add_months("month", 1) if c == "month" else F.col(c)).alias("p_" + c) for c in by], *pm)
+    elif "month" in filters:
+        cond = filters["month"]
+        first = cond[0] if isinstance(cond, tuple) else min(cond) if isinstance(cond, (list, set, frozenset)) else cond
+        prev = _grouped(star, fact, parts, by, filters | {"month": _month_before(first)}).select(
+            *[F.col(c).alias("p_" + c) for c in by], *pm)
     else:
-        parts = {}
-        for n in names:
-            for alias, fn in MEASURES[n].parts:
-                parts[alias] = fn
-        if by_customer:
-            g = _orders_by_customer_slice(star, list(parts), by, filters)
-        else:
-            g = f.groupBy(*by).agg(*[fn().alias("m_" + a) for a, fn in parts.items()])
-        if any(MEASURES[n].needs_month for n in names):
-            if "month" not in by:
-                raise ValueError("previous-month measures need 'month' in by")
-            prev = g.select(*[F.add_months("month", 1).alias("month") if c == "month" else F.col(c)
-                              for c in by],
-                            *[F.col("m_" + a).alias("m_" + a + "_pm") for a in parts])
-            g = g.join(prev, by, "left")
+        return g.select("*", *[F.lit(None).cast(g.schema["m_" + a].dataType).alias("m_" + a + "_pm") for a in parts])
+    if not by:  # one row each
+        return g.join(prev, F.lit(True), "left")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col("p_" + c)) for c in by])
+    return g.join(prev, same, "left").drop(*["p_" + c for c in by])
+
+
+def _fact_result(star: Star, fact: str, names: list[str], by: list[str], filters: dict) -> DataFrame:
+    bad = (set(by) | set(filters)) - FACT_ATTRS[fact]
+    if bad:
+        raise ValueError(f"measures {names} ({fact}) cannot be sliced by {sorted(bad)}")
+    parts = {alias: fn for n in names for alias, fn in MEASURES[n].parts}
+    g = _grouped(star, fact, parts, by, filters)
+    if any(MEASURES[n].needs_month for n in names):
+        g = _with_previous(star, fact, g, parts, by, filters)
     return g.select(*by, *[MEASURES[n].final("m_").alias(n) for n in names])
 
 
@@ -339,7 +378,34 @@ def zone_ops_since_stress(star: Star) -> DataFrame:
                          by=["zone_name"], filters={"month": (p.stress_start, p.as_of)})
 
 
+def items_missing_by_zone_since_stress(star: Star) -> DataFrame:
+    p = star.params
+    return measure_query(star, ["delivered_orders", "items_missing_pct"], by=["zone_name"],
+                         filters={"month": (p.stress_start, p.as_of)})
+
+
+def funnel_stages_by_platform(star: Star) -> DataFrame:
+    return measure_query(star, ["sessions", "searches", "product_views", "carts", "checkouts", "converted_sessions"],
+                         by=["platform", "acquisition_channel"])
+
+
+def kpis_by_month_since_stress(star: Star) -> DataFrame:
+    """A month slicer: the first month shown still has its previous month."""
+    p = star.params
+    return measure_query(star, ["gmv", "gmv_pm", "gmv_mom_pct", "active_customers", "active_customers_pm"],
+                         by=["month"], filters={"month": (p.stress_start, p.as_of)})
+
+
+def kpi_card_stress_month(star: Star) -> DataFrame:
+    """KPI cards under a single-month slicer."""
+    return measure_query(star, ["gmv", "gmv_pm", "gmv_mom_pct"], filters={"month": star.params.stress_start})
+
+
 PAGE_QUERIES = {
+    "items_missing_by_zone_since_stress": items_missing_by_zone_since_stress,
+    "funnel_stages_by_platform": funnel_stages_by_platform,
+    "kpis_by_month_since_stress": kpis_by_month_since_stress,
+    "kpi_card_stress_month": kpi_card_stress_month,
     "measure_totals": measure_totals,
     "measures_by_month": measures_by_month,
     "measures_by_month_zone": measures_by_month_zone,

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import months_between_boundaries, ts_lit
 from ..functions.ratios import DEC, pct, round_ratio
-from ..plans.base import customer_first, order_margin, orders_delivered, session_funnel, since, zone_group
+from ..plans.base import (customer_first, order_margin, orders_as_of, orders_delivered, session_funnel, since,
+                          zone_group)
 from ..plans.skew import join_per_key
 from ..sources.star import Star
 from .churn import repeat_flags
@@ -35,7 +36,7 @@ def same_day_share_of_buyers(star: Star) -> DataFrame:
 def ops_pooled_stressed_vs_other(star: Star) -> DataFrame:
     """Store ops pooled over all orders since the stress start, by store zone group."""
     p = star.params
-    o = since(star.orders, p.stress_start)
+    o = since(orders_as_of(star), p.stress_start)
     dlv = F.col("status") == "delivered"
     act, prom = F.col("actual_delivery_min"), F.col("promised_min")
     g = o.groupBy(zone_group("store_id", star).alias("zone_group")).agg(

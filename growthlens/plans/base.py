@@ -32,7 +32,15 @@ def flag(cond) -> F.Column:
 
 
 def dim_date(star: Star) -> DataFrame:
-    return star.memo("dim_date", lambda: _dim_date(star.spark, star.params))
+    return star.memo("dim_date", lambda: _dim_date(star.orders))
+
+
+def orders_as_of(star: Star) -> DataFrame:
+    """Orders of any status up to the as-of day; the one bound that every order metric shares."""
+    p = star.params
+    last_month = _dt.date(p.as_of.year, p.as_of.month, 1)
+    return star.orders.filter((F.col("order_ts") < ts_lit(p.as_of_end))
+                              & (order_month_col(star.orders) <= F.lit(last_month)))
 
 
 def order_month_col(df: DataFrame) -> F.Column:
@@ -50,12 +58,10 @@ def since(df: DataFrame, day, col: str = "order_ts") -> DataFrame:
 
 def _orders_delivered(star: Star) -> DataFrame:
     p = star.params
-    o = star.orders
+    o = orders_as_of(star)
     act, prom = F.col("actual_delivery_min"), F.col("promised_min")
-    last_month = _dt.date(p.as_of.year, p.as_of.month, 1)
     month = order_month_col(o)
-    return (o.filter((F.col("status") == "delivered") & (F.col("order_ts") < ts_lit(p.as_of_end))
-                     & (month <= F.lit(last_month)))
+    return (o.filter(F.col("status") == "delivered")
             .select("order_id", "customer_id", "store_id", "order_ts",
                     F.col("order_ts").cast("date").alias("order_date"),
                     month.alias("order_month"),
@@ -105,7 +111,7 @@ def orders_delivered_flagged(star: Star) -> DataFrame:
 def _customer_first(star: Star) -> DataFrame:
     p = star.params
     f = first_orders(star)
-    c = star.customer
+    c = star.customer.filter(F.col("signup_ts") < ts_lit(p.as_of_end))
     fo, su = F.col("first_order_ts"), F.col("signup_ts")
     return (c.join(f, "customer_id", "left")
             .select("customer_id", "signup_ts",
@@ -149,7 +155,7 @@ def order_margin(star: Star) -> DataFrame:
 
 
 def _session_funnel(star: Star) -> DataFrame:
-    e = star.events
+    e = star.events.filter(F.col("event_ts") < ts_lit(star.params.as_of_end))
     name = F.col("event_name")
 
     def reached(n):
@@ -175,10 +181,7 @@ def session_funnel(star: Star) -> DataFrame:
 
 
 def _cohort_activity(star: Star) -> DataFrame:
-    p = star.params
-    months = (orders_delivered(star)
-              .filter(F.col("order_month") <= F.lit(p.observation_month))
-              .select("customer_id", "order_month").distinct())
+    months = orders_delivered(star).select("customer_id", "order_month").distinct()
     cf = customer_first(star).select("customer_id", "cohort_month", "acquisition_channel")
     return (months.join(cf, "customer_id")
             .select("customer_id", "cohort_month", "acquisition_channel",

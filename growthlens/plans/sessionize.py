@@ -18,7 +18,7 @@ The session ordinal of an event is then ``starts before its bucket`` +
 
 Buckets only have to be contiguous time intervals numbered in time order.  With
 ``hot_rows`` set, a (user, bucket) holding more events than that (found with a
-map-side-combined count; at most rows / hot_rows of them, so the list is
+map-side-combined count; the MAX_HOT_CELLS heaviest of them, so the list can be
 broadcast) is cut into ``fine_seconds`` buckets instead, numbered so that the
 order across a user's buckets still follows time.
 """
@@ -31,6 +31,10 @@ from pyspark.sql import functions as F
 from ..functions.ratios import idiv
 
 
+#: The heaviest cells only, so that the broadcast list stays short however much data there is.
+MAX_HOT_CELLS = 10_000
+
+
 def _buckets(events: DataFrame, user: str, t: str, bucket_seconds: int,
              hot_rows: int | None, fine_seconds: int) -> DataFrame:
     coarse = idiv(F.col(t), F.lit(bucket_seconds))
@@ -41,7 +45,8 @@ def _buckets(events: DataFrame, user: str, t: str, bucket_seconds: int,
     per = bucket_seconds // fine_seconds
     ev = events.withColumn("_cb", coarse)
     hot = (ev.groupBy(user, "_cb").agg(F.count(F.lit(1)).alias("_n"))
-             .filter(F.col("_n") > hot_rows).select(user, "_cb", F.lit(1).alias("_hot")))
+             .filter(F.col("_n") > hot_rows).orderBy(F.desc("_n"), user, "_cb").limit(MAX_HOT_CELLS)
+             .select(user, "_cb", F.lit(1).alias("_hot")))
     fine = idiv(F.col(t), F.lit(fine_seconds))  # lies in [_cb * per, _cb * per + per)
     return (ev.join(F.broadcast(hot), [user, "_cb"], "left")
               .withColumn("_bk", F.when(F.col("_hot").isNotNull(), fine).otherwise(F.col("_cb") * per))

@@ -7,12 +7,12 @@ the per-key side is an aggregate already partitioned by the key (no separate
 shuffle stage on that side to split against).  Here:
 
 1. a partial (map-side combined) count per key finds the hot keys, those with
-   more than ``hot_rows`` rows; there are at most ``count(rows) / hot_rows`` of
-   them, so the hot-key list and their per-key rows have a proven size bound;
+   more than ``hot_rows`` rows; the MAX_HOT_KEYS heaviest of them are listed, so
+   the list and its per-key rows have a fixed size bound;
 2. rows of hot keys are joined in place against the broadcast per-key rows
    (no shuffle of those rows at all);
-3. the remaining rows take the ordinary shuffle join, where no key holds more
-   than ``hot_rows`` rows.
+3. the remaining rows take the ordinary shuffle join, where a key holds at most
+   ``hot_rows`` rows or 1 / MAX_HOT_KEYS of them.
 
 Every row goes to exactly one branch, so inner and left joins keep their
 meaning; nothing is sampled or dropped (rows with a NULL key, which match
@@ -25,10 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: The heaviest keys only: the broadcast list stays this short however much data there is.
+MAX_HOT_KEYS = 4096
+
+
 def hot_keys(rows: DataFrame, key: str, hot_rows: int) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows (at most count(rows) / hot_rows keys)."""
+    """Keys with more than ``hot_rows`` rows, the MAX_HOT_KEYS heaviest at most."""
     return (rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-            .filter(F.col("_n") > hot_rows).select(key))
+            .filter(F.col("_n") > hot_rows)
+            .orderBy(F.desc("_n"), key).limit(MAX_HOT_KEYS).select(key))
 
 
 def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, hot_rows: int,

@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Params
 
+def dim_date(orders: DataFrame) -> DataFrame:
+    """Calendar of the whole months from the first to the last order (none without orders).
 
-def dim_date(spark: SparkSession, params: Params) -> DataFrame:
-    """Calendar between ``params.calendar_start`` and ``calendar_end`` inclusive.
-
-    The span is a parameter (a few thousand rows at most), so the generator is
-    one ``sequence`` exploded on a single row.
+    The span is one aggregated row; its days are one ``sequence`` exploded.
     """
     d = F.col("date_key")
     dow = F.weekday(d)  # 0 = Monday
+    span = orders.agg(F.trunc(F.min("order_ts").cast("date"), "month").alias("first"),
+                      F.last_day(F.max("order_ts").cast("date")).alias("last"))
     return (
-        spark.range(1)
-        .select(F.explode(F.sequence(F.lit(params.calendar_start), F.lit(params.calendar_end),
-                                     F.expr("INTERVAL 1 DAY"))).alias("date_key"))
+        span.select(F.explode(F.sequence("first", "last", F.expr("INTERVAL 1 DAY"))).alias("date_key"))
         .select(
             d,
             F.year(d).alias("year"),

@@ -112,8 +112,9 @@ def read_star(spark: SparkSession, path: str, fmt: str = "csv", params: Params =
             df = spark.read.parquet(f"{path}/{stem.rsplit('.', 1)[0]}")
             cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
             if key == "orders":
-                # keep the directory partition column: predicates on it prune whole months
-                cols.append(F.col("order_month").cast("date").alias("order_month"))
+                # keep the directory partition column where there is one: predicates on it prune whole months
+                stored = "order_month" if "order_month" in df.columns else F.trunc(F.col("order_ts").cast("date"), "month")
+                cols.append((F.col(stored) if isinstance(stored, str) else stored).cast("date").alias("order_month"))
             df = df.select(cols)
         out[key] = df
     return Star(params=params, **out)

@@ -183,12 +183,13 @@ def tpch_star(spark: SparkSession, sf_dir: str, params: Params = FIXTURES) -> St
             .withColumn("event_ts", from_epoch_second(F.col("t")))
             .withColumn("platform", F.when(uid % 3 == 0, "ios").otherwise("android")))
     name = _map(F.col("event_type"), EVENT_NAMES)
-    real = ev.select("session_id", "customer_id", name.alias("event_name"), "event_ts", "platform",
-                     F.when(name == "payment_success", F.col("event_id")).alias("order_id"))
-    opens = (ev.filter(F.col("is_session_start") == 1)
-               .select("session_id", "customer_id", F.lit("app_open").alias("event_name"), "event_ts",
-                       "platform", F.lit(None).cast("long").alias("order_id")))
-    events = real.unionByName(opens)
+    # a session's first event also opens the app: one pass, one explode
+    real = F.struct(name.alias("event_name"),
+                    F.when(name == "payment_success", F.col("event_id")).alias("order_id"))
+    opened = F.struct(F.lit("app_open").alias("event_name"), F.lit(None).cast("long").alias("order_id"))
+    both = F.when(F.col("is_session_start") == 1, F.array(opened, real)).otherwise(F.array(real))
+    events = (ev.withColumn("e", F.explode(both))
+                .select("session_id", "customer_id", "e.event_name", "event_ts", "platform", "e.order_id"))
 
     # fact_marketing_spend: cost per signup of each (signup month, channel).
     rate = _map(F.col("acquisition_channel"), CHANNEL_COST_PER_SIGNUP)
@@ -200,9 +201,3 @@ def tpch_star(spark: SparkSession, sf_dir: str, params: Params = FIXTURES) -> St
     return Star(store=store, product=product, customer=customer, orders=orders, items=items,
                 events=events, spend=spend, params=params)
 
-
-def load_fixture(spark: SparkSession, sf_dir: str, params: Params = FIXTURES) -> Star:
-    return tpch_star(spark, sf_dir, params)
-
-
-__all__ = ["tpch_star", "load_fixture", "DataFrame"]

@@ -6,10 +6,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from growthlens.catalog import QUERIES
+from growthlens.config import FIXTURES
+from oracle.queries import statements
 from tools.check_oracle import TABLES, digest
 
 SF = "/root/testdata/sf0.001"
-NAMES = sorted(E.queries())
+NAMES = sorted(QUERIES)
+SQL = statements(FIXTURES)
 
 
 @pytest.fixture(scope="module")
@@ -23,14 +27,15 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.oracle_sql()) == set(E.queries())
+    assert set(SQL) == set(QUERIES)
+    assert set(QUERIES) <= set(E.queries()) and set(SQL) <= set(E.oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
     srows = [tuple(r) for r in df.collect()]
-    res = con.execute(E.oracle_sql()[name])
+    res = con.execute(SQL[name])
     ocols = [c[0] for c in res.description]
     orows = res.fetchall()
     sc, sk, sh = digest(df.columns, srows)

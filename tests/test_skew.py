@@ -16,11 +16,17 @@ import tempfile
 import duckdb
 import pytest
 
-import __spark_entry__ as E
+from growthlens.catalog import QUERIES
+from growthlens.config import FIXTURES
+from growthlens.sources.tpch_adapter import tpch_star
+from oracle.queries import statements
 from tools.check_oracle import TABLES, digest
 
 SRC = "/root/testdata/sf0.001"
 HOT = 7
+# thresholds at which the hot customer, the hot part and busy (user, hour) cells of these small tables are split
+LOW = FIXTURES.with_(hot_key_rows=200, session_hot_bucket_rows=1)
+SQL = statements(LOW)
 HOT_PART = 11
 
 NAMES = [
@@ -102,9 +108,9 @@ def test_hot_customer_really_is_hot(con):
 
 @pytest.mark.parametrize("name", NAMES)
 def test_skewed_query_matches_oracle(skew_session, con, skewed_dir, name):
-    df = E.queries()[name](skew_session, skewed_dir)
+    df = QUERIES[name](tpch_star(skew_session, skewed_dir, LOW))
     srows = [tuple(r) for r in df.collect()]
-    res = con.execute(E.oracle_sql()[name])
+    res = con.execute(SQL[name])
     orows = res.fetchall()
     sc, sk, sh = digest(df.columns, srows)
     oc, ok, oh = digest([c[0] for c in res.description], orows)
@@ -145,24 +151,20 @@ def test_join_per_key_equals_plain_join(spark):
 @pytest.mark.parametrize("name", ["repeat_after_first_order", "channel_scorecard", "dq_audit"])
 def test_hot_customer_rows_skip_the_shuffle_join(skew_session, skewed_dir, name):
     """On the skewed tables the hot customer is found and joined through the broadcast branch."""
-    from growthlens.config import FIXTURES
     from growthlens.plans.base import orders_delivered
     from growthlens.plans.skew import hot_keys
-    from growthlens.sources.tpch_adapter import tpch_star
 
-    star = tpch_star(skew_session, skewed_dir, FIXTURES)
-    hot = [r.customer_id for r in hot_keys(orders_delivered(star), "customer_id", FIXTURES.hot_key_rows).collect()]
+    star = tpch_star(skew_session, skewed_dir, LOW)
+    hot = [r.customer_id for r in hot_keys(orders_delivered(star), "customer_id", LOW.hot_key_rows).collect()]
     assert hot == [HOT]
-    df = E.queries()[name](skew_session, skewed_dir)
+    df = QUERIES[name](star)
     df.collect()
     assert "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_hot_part_is_found_on_order_lines(skew_session, skewed_dir):
-    from growthlens.config import FIXTURES
     from growthlens.plans.skew import hot_keys
-    from growthlens.sources.tpch_adapter import tpch_star
 
-    star = tpch_star(skew_session, skewed_dir, FIXTURES)
-    hot = [r.product_id for r in hot_keys(star.items, "product_id", FIXTURES.hot_key_rows).collect()]
+    star = tpch_star(skew_session, skewed_dir, LOW)
+    hot = [r.product_id for r in hot_keys(star.items, "product_id", LOW.hot_key_rows).collect()]
     assert hot == [HOT_PART]

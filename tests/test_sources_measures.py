@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from growthlens.catalog import QUERIES
 from growthlens.config import FIXTURES
 from growthlens.operators.measures import measure_query
 from growthlens.plans.base import dim_date
@@ -43,8 +44,10 @@ def test_dim_date_monday_is_zero(star):
     dd = dim_date(star)
     r = dd.filter(F.col("date_key") == F.lit(dt.date(2001, 7, 2))).first()  # a Monday
     assert (r.day_of_week, r.day_name, r.is_weekend, r.week_start) == (0, "Monday", 0, dt.date(2001, 7, 2))
-    n = (FIXTURES.calendar_end - FIXTURES.calendar_start).days + 1
-    assert dd.count() == n
+    lo, hi = star.orders.agg(F.min("order_ts"), F.max("order_ts")).first()
+    first, last = dd.agg(F.min("date_key"), F.max("date_key")).first()
+    assert first == lo.date().replace(day=1) and last >= hi.date() and (last + dt.timedelta(days=1)).day == 1
+    assert dd.count() == (last - first).days + 1
 
 
 def test_measure_totals_equal_direct_aggregates(star):
@@ -65,8 +68,8 @@ def test_measures_slice_and_recombine(star):
 def test_measure_guards(star):
     with pytest.raises(ValueError):
         measure_query(star, ["sessions"], by=["zone_name"])
-    with pytest.raises(ValueError):
-        measure_query(star, ["gmv_pm"], by=["zone_name"])
+    # neither a month nor a month filter: no previous month
+    assert {r.gmv_pm for r in measure_query(star, ["gmv_pm"], by=["zone_name"]).collect()} == {None}
     with pytest.raises(KeyError):
         measure_query(star, ["nope"])
 
@@ -136,3 +139,45 @@ def test_month_filter_on_order_measures_prunes_partitions(spark, star, scratch):
     same = measure_query(star, ["gmv", "on_time_pct"], by=["zone_name"],
                          filters={"month": (dt.date(2000, 1, 1), dt.date(2000, 6, 1))})
     assert sorted(map(repr, q.collect())) == sorted(map(repr, same.collect()))
+
+
+def test_first_filtered_month_keeps_its_previous_month(star):
+    lo, hi = dt.date(2000, 1, 1), dt.date(2000, 6, 1)
+    whole = {r.month: r.gmv for r in measure_query(star, ["gmv"], by=["month"]).collect()}
+    shown = measure_query(star, ["gmv", "gmv_pm"], by=["month"], filters={"month": (lo, hi)}).collect()
+    assert {r.month for r in shown} == {m for m in whole if lo <= m <= hi}
+    for r in shown:
+        before = (r.month - dt.timedelta(days=1)).replace(day=1)
+        assert r.gmv_pm == whole.get(before)
+    card = measure_query(star, ["gmv", "gmv_pm"], filters={"month": lo}).first()
+    assert (card.gmv, card.gmv_pm) == (whole[lo], whole[dt.date(1999, 12, 1)])
+
+
+def test_retention_pools_every_observable_cohort(star):
+    curve = {r.month_offset: r.retention_pct for r in measure_query(
+        star, ["retention_pct"], by=["month_offset"]).collect()}
+    pooled = QUERIES["blended_retention"](star).first()
+    assert (curve[1], curve[3], curve[6]) == (pooled.m1_pct, pooled.m3_pct, pooled.m6_pct)
+    assert measure_query(star, ["cohort_size"]).first().cohort_size == star.customer.count()
+
+
+def test_one_as_of_bounds_measures_and_kpis_alike(spark):
+    early = tpch_star(spark, SF, FIXTURES.with_(as_of=dt.date(1999, 12, 31)))
+    gmv = measure_query(early, ["gmv"]).first().gmv
+    assert gmv == QUERIES["monthly_kpis"](early).agg(F.sum("gmv_rs")).first()[0]
+
+
+def test_order_measures_without_margin_leave_the_lines_unread(spark, scratch, star):
+    write_star(star, scratch)
+    stored = read_star(spark, scratch, "parquet", FIXTURES)
+    for name in ("measures_by_month", "measures_by_month_zone", "zone_ops_since_stress"):
+        plan = QUERIES[name](stored)._jdf.queryExecution().optimizedPlan().toString()
+        assert "line_amount" not in plan, name
+
+
+def test_parquet_without_a_month_column_is_read(spark, scratch, star):
+    for key, df in star.tables().items():
+        df.write.parquet(f"{scratch}/{FILE_NAMES[key].rsplit('.', 1)[0]}")
+    back = read_star(spark, scratch, "parquet", FIXTURES)
+    months = back.orders.select("order_month").distinct().count()
+    assert months == star.orders.select(F.trunc(F.col("order_ts").cast("date"), "month")).distinct().count()
