@@ -70,6 +70,10 @@ def _bins(hashes: Column) -> Column:
 
 
 def _densified(bins: Column) -> Column:
+    """Every bin's own or borrowed value, hashed with the bin's number; NULL if no bin is filled.
+
+    Without that, one value that fills many bins would agree with another in all of their low bits at once.
+    """
     probes = F.array(*[F.lit(_mix(r * BINS + j) % BINS) for r in range(PROBES) for j in range(BINS)])
 
     def filled(b: Column) -> Column:
@@ -77,8 +81,8 @@ def _densified(bins: Column) -> Column:
             return F.array_min(F.transform(full, lambda m: F.struct(F.xxhash64(j, m), b[m])))["col2"]
 
         def fill(full: Column) -> Column:
-            return F.transform(b, lambda x, j: F.coalesce(
-                x, *[b[probes[j + r * BINS]] for r in range(PROBES)], last(j, full)))
+            value = lambda x, j: F.coalesce(x, *[b[probes[j + r * BINS]] for r in range(PROBES)], last(j, full))
+            return F.when(F.size(full) > 0, F.transform(b, lambda x, j: F.xxhash64(value(x, j), j)))
 
         return let(F.filter(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda m: b[m].isNotNull()), fill)
 
@@ -92,10 +96,10 @@ def sketch(text: Column) -> Column:
     def packed(v: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.lit(BINS // lanes - 1)), lambda w: F.aggregate(
             F.slice(v, w * lanes + 1, F.lit(lanes)), F.lit(0).cast("bigint"),
-            lambda acc, x: F.shiftleft(acc, BITS).bitwiseOR(
-                F.coalesce(F.shiftright(x, 1).bitwiseAND(F.lit((1 << BITS) - 1)), F.lit(0).cast("bigint")))))
+            lambda acc, x: F.shiftleft(acc, BITS).bitwiseOR(x.bitwiseAND(F.lit((1 << BITS) - 1)))))
 
-    return let(_densified(_bins(shingle_hashes(text))), packed)
+    none = F.array_repeat(F.lit(0).cast("bigint"), BINS)
+    return let(F.coalesce(_densified(_bins(shingle_hashes(text))), none), packed)
 
 
 def as_hex(packed: Column) -> Column:
