@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import days_between, ts_lit
 from ..functions.ratios import idiv, pct, round_ratio
 from ..plans.base import orders_delivered, since, zone_group
-from ..plans.ntile import distributed_ntile
+from ..plans.ntile import distributed_ntiles
 from ..sources.star import Star
 
 
@@ -107,11 +107,8 @@ def product_health(star: Star) -> DataFrame:
                         .alias("weeks_sold_of_8"),
                         F.coalesce(F.col("_m").cast("double") / F.nullif(F.col("_g"), F.lit(0)).cast("double"),
                                    F.lit(0.0)).alias("_mrate")))
-        pid = F.col("product_id").asc()
-        s = distributed_ntile(base, [F.col("units_56d").asc(), pid], 5, "_nu")
-        s = distributed_ntile(s, [F.col("gmv_56d").asc(), pid], 5, "_ng")
-        s = distributed_ntile(s, [F.col("_mrate").asc(), pid], 5, "_nm")
-        s = distributed_ntile(s, [F.col("buyers_56d").asc(), pid], 5, "_nb")
+        s = distributed_ntiles(base, "product_id", {
+            "_nu": F.col("units_56d"), "_ng": F.col("gmv_56d"), "_nm": F.col("_mrate"), "_nb": F.col("buyers_56d")}, 5)
         score = (5 * F.col("_nu") + 4 * F.col("_ng") + 4 * F.col("_nm") + 4 * F.col("_nb")
                  + idiv(F.col("weeks_sold_of_8") * 15, F.lit(p.product_max_weeks))).cast("int")
         hs = F.col("health_score")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ratios import pct, round_ratio, rounded_units
 from ..plans.base import customer_first
-from ..plans.ntile import distributed_ntile
+from ..plans.ntile import distributed_ntiles
 from ..sources.star import Star
 from .churn import customer_orders
 
@@ -37,11 +37,8 @@ def _scored(star: Star) -> DataFrame:
         F.col("lifetime_orders").alias("frequency"),
         F.col("lifetime_net").alias("monetary_rs"),
         rounded_units("rating_sum", "rating_n", 6).alias("avg_rating_micro"))
-    cid = F.col("customer_id").asc()
-    s = distributed_ntile(base, [F.col("recency_days").desc(), cid], 5, "r_score")
-    s = distributed_ntile(s, [F.col("frequency").asc(), cid], 5, "f_score")
-    s = distributed_ntile(s, [F.col("monetary_rs").asc(), cid], 5, "m_score")
-    return s
+    return distributed_ntiles(base, "customer_id", {
+        "r_score": -F.col("recency_days"), "f_score": F.col("frequency"), "m_score": F.col("monetary_rs")}, 5)
 
 
 def customer_rfm(star: Star) -> DataFrame:

@@ -67,6 +67,42 @@ def ntile_column(pos: Column, total: Column, n: int) -> Column:
     return F.when(pos <= big, first).otherwise(rest).cast("int")
 
 
+def distributed_ntiles(df: DataFrame, key: str, scores: dict[str, Column], n: int) -> DataFrame:
+    """Add, for each score, ``name`` = NTILE(n) OVER (ORDER BY value, key).
+
+    ``key`` is unique and the values are numbers (negate one to rank it descending; NULL ranks first).  All scores
+    are ranked at once: narrow (score, value, key) rows, one range shuffle, one checkpoint, and the tiles joined back
+    by key, whatever the width of ``df``.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    names = list(scores)
+    # integers rank as themselves, fractions as doubles
+    whole = {name: dict(df.select(v.alias("v")).dtypes)["v"] not in ("float", "double") for name, v in scores.items()}
+    entries = F.array(*[F.struct(
+        F.lit(i).alias("_score"),
+        (scores[name] if whole[name] else F.lit(None)).cast("long").alias("_int"),
+        (F.lit(None) if whole[name] else scores[name]).cast("double").alias("_dbl")) for i, name in enumerate(names)])
+    order = ["_score", "_int", "_dbl", key]
+    ranged = (df.select(key, F.explode(entries).alias("_e")).select(key, "_e.*")
+              .repartitionByRange(_parts(spark), *order).sortWithinPartitions(*order)
+              .withColumn("_mid", F.monotonically_increasing_id()).select(key, "_score", "_mid").checkpoint(eager=True))
+    ranged = ranged.withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
+    counts = ranged.groupBy("_score", "_pid").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first"))
+    w = Window.partitionBy("_score").orderBy("_pid")
+    offsets = counts.select(
+        "_score", "_pid", "_first",
+        (F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_cnt"))
+        .alias("_off"),
+        F.sum("_cnt").over(Window.partitionBy("_score")).alias("_total"))
+    pos = F.col("_off") + F.col("_mid") - F.col("_first") + 1
+    tile = ranged.join(F.broadcast(offsets), ["_score", "_pid"]).select(
+        key, "_score", ntile_column(pos, F.col("_total"), n).alias("_tile"))
+    tiles = tile.groupBy(key).agg(*[F.max(F.when(F.col("_score") == i, F.col("_tile"))).alias(name)
+                                    for i, name in enumerate(names)])
+    return df.join(tiles, key)
+
+
 def distributed_ntile(df: DataFrame, order: list[Column], n: int, out: str) -> DataFrame:
     """Add ``out`` = NTILE(n) OVER (ORDER BY *order*).
 

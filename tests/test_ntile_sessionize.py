@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from growthlens.plans.ntile import distributed_ntile
+from growthlens.plans.ntile import distributed_ntile, distributed_ntiles
 from growthlens.plans.sessionize import sessionize
 
 
@@ -32,6 +32,18 @@ def test_distributed_ntile_uneven_sizes_and_ties(spark):
         assert got == _ntile_brute(vals, 5), N
 
 
+def test_several_scores_at_once_equal_one_by_one(spark):
+    rnd = random.Random(5)
+    rows = [(i, rnd.randint(0, 6), rnd.randint(-3, 3), rnd.random(), "wide") for i in range(137)]
+    df = spark.createDataFrame(rows, "id long, a long, b int, c double, w string")
+    out = distributed_ntiles(df, "id", {"ta": F.col("a"), "tb": -F.col("b"), "tc": F.col("c")}, 5).collect()
+    want = [_ntile_brute([r[1] for r in rows], 5), _ntile_brute([-r[2] for r in rows], 5),
+            _ntile_brute([r[3] for r in rows], 5)]
+    assert len(out) == len(rows)
+    for r in out:
+        assert (r.ta, r.tb, r.tc, r.w) == (want[0][r.id], want[1][r.id], want[2][r.id], "wide")
+
+
 def test_distributed_ntile_descending(spark):
     vals = [3, 1, 2, 2, 5, 0, 9]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id long, v long")
