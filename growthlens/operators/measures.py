@@ -280,7 +280,8 @@ def _with_previous(star: Star, fact: str, g: DataFrame, parts: dict, by: list[st
     else:
         return g.select("*", *[F.lit(None).cast(g.schema["m_" + a].dataType).alias("m_" + a + "_pm") for a in parts])
     if not by:  # one row each
-        return g.join(prev, F.lit(True), "left")
+        both = g.unionByName(prev, allowMissingColumns=True)
+        return both.agg(*[F.max(c).alias(c) for c in both.columns])
     same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col("p_" + c)) for c in by])
     return g.join(prev, same, "left").drop(*["p_" + c for c in by])
 

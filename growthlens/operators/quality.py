@@ -1,7 +1,7 @@
 """Data-quality audit, key integrity and order status profile.
 
-Every check is a distributed count; checks are stacked with ``unionByName``
-(no cross joins).  Row-local checks share one scan of the orders table.
+Every check is a distributed count.  The audit reads orders twice (once for the
+signup check) and every other table once; the key checks read every table once.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import ts_lit
 from ..functions.ratios import round_ratio
-from ..plans.base import dim_date
+from ..plans.base import dim_date, flag
 from ..plans.skew import join_per_key
 from ..sources.star import SCHEMAS, Star
 
@@ -38,54 +38,57 @@ def _count_if(cond) -> F.Column:
     return F.count_if(cond)
 
 
-def _one(check: int, df_with_v: DataFrame) -> DataFrame:
-    return df_with_v.select(F.lit(check).alias("check_no"), F.col("v").cast("long").alias("violations"))
+def _per_order(star: Star) -> DataFrame:
+    """One row per order id over orders, items and events: copies, the order's own faults, its basket, its payments.
+
+    The three tables are read once each and meet in one map-side-combined aggregate, so a repeated id, an order with
+    very many lines or the many events without an order id are sums before they are shuffled.
+    """
+    lo, hi = star.params.audit_window
+    status, act, rating = F.col("status"), F.col("actual_delivery_min"), F.col("rating")
+    faults = {
+        "c5": F.col("net_amount") != F.col("item_total") - F.col("discount_amount")
+        + F.col("delivery_fee") + F.col("handling_fee"),
+        "c6": ((status == "cancelled") & act.isNotNull()) | ((status == "delivered") & act.isNull()),
+        "c7": (F.col("order_ts") < ts_lit(lo)) | (F.col("order_ts") >= ts_lit(hi)),
+        "c9": (rating.isNotNull() & (status == "cancelled")) | (rating < 1) | (rating > 5),
+        "c11": (F.col("item_total") < 0) | (F.col("discount_amount") < 0) | (F.col("net_amount") < 0)}
+    orders = star.orders.groupBy("order_id", F.col("item_total").alias("total")).agg(
+        F.count(F.lit(1)).alias("copies"), *[_count_if(c).alias(k) for k, c in faults.items()])
+    items = star.items.select("order_id", F.col("line_amount").alias("line"), F.lit(1).cast("long").alias("lines"))
+    paid = F.col("event_name") == "payment_success"
+    events = star.events.select(F.when(paid, F.col("order_id")).alias("order_id"), flag(paid).cast("long").alias("paid"),
+                                F.lit(1).cast("long").alias("events"))
+    rows = orders.unionByName(items, allowMissingColumns=True).unionByName(events, allowMissingColumns=True)
+    return rows.groupBy("order_id").agg(
+        *[F.sum(c).alias(c) for c in ("copies", "line", "lines", "paid", "events", *faults)],
+        F.collect_list(F.when(F.col("copies").isNotNull(), F.struct("total", "copies"))).alias("totals"))
 
 
 def dq_audit(star: Star) -> DataFrame:
     p = star.params
-    o = star.orders
-    status, act = F.col("status"), F.col("actual_delivery_min")
-    lo, hi = p.audit_window
-    row_local = o.agg(
-        F.count(F.lit(1)).alias("n_orders"),
-        _count_if(F.col("net_amount") != F.col("item_total") - F.col("discount_amount")
-                  + F.col("delivery_fee") + F.col("handling_fee")).alias("c5"),
-        _count_if(((status == "cancelled") & act.isNotNull()) | ((status == "delivered") & act.isNull())).alias("c6"),
-        _count_if((F.col("order_ts") < ts_lit(lo)) | (F.col("order_ts") >= ts_lit(hi))).alias("c7"),
-        _count_if((F.col("rating").isNotNull() & (status == "cancelled"))
-                  | (F.col("rating") < 1) | (F.col("rating") > 5)).alias("c9"),
-        _count_if((F.col("item_total") < 0) | (F.col("discount_amount") < 0) | (F.col("net_amount") < 0)).alias("c11"))
-    stacked = row_local.select(F.expr(
-        "stack(5, 5, c5, 6, c6, 7, c7, 9, c9, 11, c11) AS (check_no, violations)"))
-
+    copies, line = F.col("copies"), F.col("line")
+    unequal = F.aggregate("totals", F.lit(0).cast("long"),
+                          lambda n, x: n + F.when(x["total"] != line, x["copies"]).otherwise(0))
+    zero = F.lit(0).cast("long")
+    sums = _per_order(star).agg(
+        F.coalesce(F.sum("copies"), zero).alias("n_orders"), F.coalesce(F.sum("events"), zero).alias("n_events"),
+        _count_if(copies > 1).alias("c2"),
+        F.coalesce(F.sum(F.when(copies.isNull(), F.col("lines"))), zero).alias("c3"),
+        F.coalesce(F.sum(F.when(line.isNotNull(), unequal)), zero).alias("c4"),
+        *[F.coalesce(F.sum(c), zero).alias(c) for c in ("c5", "c6", "c7", "c9", "c11")],
+        F.coalesce(F.sum(F.when(copies.isNull(), F.col("paid"))), zero).alias("c10"))
+    early = join_per_key(star.orders.select("customer_id", "order_ts"), star.customer.select("customer_id", "signup_ts"),
+                         "customer_id", p.hot_key_rows)
+    parts = [sums, early.agg(_count_if(F.col("order_ts") < F.col("signup_ts")).alias("c8")),
+             star.customer.agg(F.count(F.lit(1)).alias("n_customers"))]  # one row each
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    whole = whole.agg(*[F.max(c).alias(c) for c in whole.columns])
     (olo, ohi), (clo, chi) = p.audit_orders_range, p.audit_customers_range
-    sizes = (row_local.select(F.lit("orders").alias("t"), F.col("n_orders").alias("n"))
-             .unionByName(star.customer.agg(F.count(F.lit(1)).alias("n")).withColumn("t", F.lit("customers")))
-             .unionByName(star.events.agg(F.count(F.lit(1)).alias("n")).withColumn("t", F.lit("events"))))
-    t, n = F.col("t"), F.col("n")
-    c1 = sizes.agg(_count_if(((t == "orders") & ~n.between(olo, ohi))
-                             | ((t == "customers") & ~n.between(clo, chi))
-                             | ((t == "events") & (n <= p.audit_min_events))).alias("v"))
-
-    c2 = o.groupBy("order_id").count().filter(F.col("count") > 1).agg(F.count(F.lit(1)).alias("v"))
-    c3 = (star.items.select("order_id").join(o.select("order_id"), "order_id", "left_anti")
-          .agg(F.count(F.lit(1)).alias("v")))
-    basket = star.items.groupBy("order_id").agg(F.sum("line_amount").alias("s"))
-    c4 = (o.select("order_id", "item_total").join(basket, "order_id")
-          .agg(_count_if(F.col("s") != F.col("item_total")).alias("v")))
-    c8 = (join_per_key(o.select("customer_id", "order_ts"), star.customer.select("customer_id", "signup_ts"),
-                       "customer_id", p.hot_key_rows)
-          .agg(_count_if(F.col("order_ts") < F.col("signup_ts")).alias("v")))
-    # NULL ids never match, so they are counted; they are counted apart from the anti join,
-    # where they would all hash to one shuffle partition
-    pays = star.events.filter(F.col("event_name") == "payment_success").select("order_id")
-    c10_null = pays.filter(F.col("order_id").isNull()).agg(F.count(F.lit(1)).alias("v"))
-    c10_miss = (pays.filter(F.col("order_id").isNotNull()).join(o.select("order_id"), "order_id", "left_anti")
-                .agg(F.count(F.lit(1)).alias("v")))
-    c10 = c10_null.unionByName(c10_miss).agg(F.sum("v").alias("v"))
-    parts = [stacked, _one(1, c1), _one(2, c2), _one(3, c3), _one(4, c4), _one(8, c8), _one(10, c10)]
-    checks = reduce(DataFrame.unionByName, parts)
+    c1 = (flag(~F.col("n_orders").between(olo, ohi)) + flag(~F.col("n_customers").between(clo, chi))
+          + flag(F.col("n_events") <= p.audit_min_events)).cast("long")
+    checks = whole.withColumn("c1", c1).select(F.expr(
+        f"stack({len(CHECK_NAMES)}, {', '.join(f'{k}, c{k}' for k in CHECK_NAMES)}) AS (check_no, violations)"))
     names = F.create_map(*[x for k, v in CHECK_NAMES.items() for x in (F.lit(k), F.lit(v))])
     return checks.select(F.col("check_no").cast("int").alias("check_no"),
                          names[F.col("check_no")].alias("check_name"),
@@ -108,30 +111,37 @@ FOREIGN_KEYS = [
 
 
 def dq_key_integrity(star: Star) -> DataFrame:
-    """(constraint, violations): primary keys, NOT NULL columns and foreign keys."""
-    tabs = star.tables()
-    parts = []
-    for t, keys in PRIMARY_KEYS.items():
-        parts.append(tabs[t].groupBy(*keys).count().filter(F.col("count") > 1)
-                     .agg(F.count(F.lit(1)).alias("violations")).withColumn("constraint", F.lit(f"pk_{t}")))
-    dd = dim_date(star)
-    parts.append(dd.groupBy("date_key").count().filter(F.col("count") > 1)
-                 .agg(F.count(F.lit(1)).alias("violations")).withColumn("constraint", F.lit("pk_dim_date")))
+    """(constraint, violations): primary keys, NOT NULL columns and foreign keys.
+
+    Every table is read once and names its keys in all constraints that it takes part in; one map-side-combined
+    aggregate per (constraint, key) then tells repeated keys and, by rows, keys without a parent.
+    """
+    tabs = star.tables() | {"dim_date": dim_date(star)}
+
+    def entry(constraint: str, key: list[str], rows, parent: int) -> F.Column:
+        text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in key]) if key else F.lit("")
+        return F.struct(F.lit(constraint).alias("constraint"), text.alias("key"), rows.cast("long").alias("rows"),
+                        F.lit(parent).alias("parent"))
+
+    keys = {f"pk_{t}": (t, k) for t, k in (PRIMARY_KEYS | {"dim_date": ["date_key"]}).items()}
+    seen = {t: [entry(c, k, F.lit(1), 0) for c, (owner, k) in keys.items() if owner == t] for t in tabs}
     for t, schema in SCHEMAS.items():
-        required = [f.name for f in schema.fields if not f.nullable]
-        any_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in required])
-        parts.append(tabs[t].agg(_count_if(any_null).alias("violations"))
-                     .withColumn("constraint", F.lit(f"not_null_{t}")))
+        missing = reduce(lambda a, b: a | b, [F.col(f.name).isNull() for f in schema.fields if not f.nullable])
+        seen[t].append(entry(f"not_null_{t}", [], flag(missing), 0))
     for name, child, ck, parent, pk in FOREIGN_KEYS:
-        # rows per child key first (map-side combined), so a key owning a third of the
-        # child table is one row in the anti join; violations = rows of orphan keys
-        kids = (tabs[child].select(F.col(ck).alias("k")).filter(F.col("k").isNotNull())
-                .groupBy("k").agg(F.count(F.lit(1)).alias("_n")))
-        parents = tabs[parent].select(F.col(pk).alias("k"))
-        parts.append(kids.join(parents, "k", "left_anti")
-                     .agg(F.coalesce(F.sum("_n"), F.lit(0).cast("long")).alias("violations"))
-                     .withColumn("constraint", F.lit(name)))
-    return reduce(DataFrame.unionByName, parts).select("constraint", F.col("violations").cast("long"))
+        seen[child].append(entry(name, [ck], flag(F.col(ck).isNotNull()), 0))
+        seen[parent].append(entry(name, [pk], F.lit(0), 1))
+    rows = reduce(DataFrame.unionByName, [tabs[t].select(F.explode(F.array(*e)).alias("e")).select("e.*")
+                                          for t, e in seen.items()])
+    per_key = rows.groupBy("constraint", "key").agg(F.sum("rows").alias("rows"), F.max("parent").alias("parent"))
+    broken = (F.when(F.col("constraint").startswith("pk_"), flag(F.col("rows") > 1))
+              .when(F.col("constraint").startswith("fk_"), F.when(F.col("parent") == 0, F.col("rows")).otherwise(0))
+              .otherwise(F.col("rows")))
+    counted = per_key.groupBy("constraint").agg(F.sum(broken).alias("violations"))
+    names = [*keys, *[f"not_null_{t}" for t in SCHEMAS], *[fk[0] for fk in FOREIGN_KEYS]]
+    listed = star.spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("constraint"))
+    return listed.join(counted, "constraint", "left").select(
+        "constraint", F.coalesce("violations", F.lit(0)).cast("long").alias("violations"))
 
 
 def order_status_profile(star: Star) -> DataFrame:
