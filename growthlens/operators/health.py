@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import days_between, ts_lit
 from ..functions.ratios import idiv, pct, round_ratio
-from ..plans.base import orders_delivered, since, zone_group
+from ..plans.base import items_since, orders_delivered, since, zone_group
 from ..plans.ntile import distributed_ntiles
 from ..sources.star import Star
 
@@ -90,7 +90,8 @@ def product_health(star: Star) -> DataFrame:
         week = F.date_sub(F.col("order_date"), F.weekday(F.col("order_date")))
         # per-product sums first (unit_cost is fixed per product: margin = sum(line) - cost * sum(qty)),
         # then a product-level join: a SKU with a huge share of lines is never a join key on line rows
-        sales = (star.items.join(od, "order_id")
+        first_day = p.days_before_as_of(p.product_window_days)
+        sales = (items_since(star, first_day).join(od, "order_id")
                  .groupBy("product_id")
                  .agg(F.sum("quantity").alias("_u"), F.sum("line_amount").alias("_g"),
                       F.countDistinct("customer_id").alias("_b"), F.countDistinct(week).alias("_w")))

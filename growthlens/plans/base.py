@@ -56,6 +56,23 @@ def since(df: DataFrame, day, col: str = "order_ts") -> DataFrame:
     return df.filter((F.col(col) >= ts_lit(day)) & (order_month_col(df) >= F.lit(first)))
 
 
+def items_since(star: Star, day) -> DataFrame:
+    """Order lines that can belong to an order on or after ``day``: whole older months are pruned where the storage
+    tells a line's month (lines without an order have none), else all lines."""
+    first = _dt.date(day.year, day.month, 1)
+    stored = star.by_month.get("items")
+    return star.items if stored is None else stored.filter(F.col("order_month") >= F.lit(first)).drop("order_month")
+
+
+def events_as_of(star: Star) -> DataFrame:
+    """App events up to the as-of day; later months are pruned where the storage tells an event's month."""
+    p = star.params
+    stored = star.by_month.get("events")
+    events = star.events if stored is None else stored.filter(
+        F.col("event_month") <= F.lit(_dt.date(p.as_of.year, p.as_of.month, 1))).drop("event_month")
+    return events.filter(F.col("event_ts") < ts_lit(p.as_of_end))
+
+
 def _orders_delivered(star: Star) -> DataFrame:
     p = star.params
     o = orders_as_of(star)
@@ -155,7 +172,7 @@ def order_margin(star: Star) -> DataFrame:
 
 
 def _session_funnel(star: Star) -> DataFrame:
-    e = star.events.filter(F.col("event_ts") < ts_lit(star.params.as_of_end))
+    e = events_as_of(star)
     name = F.col("event_name")
 
     def reached(n):

@@ -55,6 +55,10 @@ FILE_NAMES = {
     "spend": "marketing_spend.csv",
 }
 
+# The facts that ``write_star`` partitions by month: partition column, and the id that orders rows within a month.
+MONTH_KEYS = {"orders": ("order_month", "order_id"), "items": ("order_month", "order_id"),
+              "events": ("event_month", "session_id")}
+
 # Names reported by ``load_row_counts`` (the physical table names).
 TABLE_NAMES = {
     "store": "dim_store", "product": "dim_product", "customer": "dim_customer",
@@ -75,6 +79,8 @@ class Star:
     events: DataFrame
     spend: DataFrame
     params: Params = DEFAULTS
+    # items and events with their storage month, where they were read from month-partitioned files
+    by_month: dict = field(default_factory=dict, repr=False)
     _cache: dict = field(default_factory=dict, repr=False)
 
     @property
@@ -99,7 +105,7 @@ def read_star(spark: SparkSession, path: str, fmt: str = "csv", params: Params =
     row stops the load instead of silently becoming NULL.
     ``fmt='parquet'``: one directory per table named like the CSV file stem.
     """
-    out = {}
+    out, by_month = {}, {}
     for key, schema in SCHEMAS.items():
         stem = FILE_NAMES[key]
         if fmt == "csv":
@@ -115,9 +121,11 @@ def read_star(spark: SparkSession, path: str, fmt: str = "csv", params: Params =
                 # keep the directory partition column where there is one: predicates on it prune whole months
                 stored = "order_month" if "order_month" in df.columns else F.trunc(F.col("order_ts").cast("date"), "month")
                 cols.append((F.col(stored) if isinstance(stored, str) else stored).cast("date").alias("order_month"))
+            if key in MONTH_KEYS and key != "orders" and MONTH_KEYS[key][0] in df.columns:
+                by_month[key] = df.select(*cols, F.col(MONTH_KEYS[key][0]).cast("date"))
             df = df.select(cols)
         out[key] = df
-    return Star(params=params, **out)
+    return Star(params=params, by_month=by_month, **out)
 
 
 def month_ranged(df: DataFrame, month: str, key: str) -> DataFrame:
@@ -131,17 +139,22 @@ def month_ranged(df: DataFrame, month: str, key: str) -> DataFrame:
 def write_star(star: Star, path: str) -> None:
     """Persist the star as parquet (full replace, idempotent).
 
-    ``orders`` is partitioned by month so date filters prune directories.  It
-    is range-partitioned on (order_month, order_id) first: every task writes a
+    ``orders``, ``items`` (by their order's month) and ``events`` are partitioned by month, so date
+    filters prune directories.  They are range-partitioned on (month, id) first: every task writes a
     contiguous run of months (few files per month directory), and a month
     larger than one task is split over several tasks instead of one.
     """
+    months = star.orders.select("order_id", F.trunc(F.col("order_ts").cast("date"), "month").alias("order_month"))
     for key, df in star.tables().items():
         stem = FILE_NAMES[key].rsplit(".", 1)[0]
-        if key == "orders":
-            w = month_ranged(df.withColumn("order_month", F.trunc(F.col("order_ts").cast("date"), "month")),
-                             "order_month", "order_id")
-            w.write.mode("overwrite").partitionBy("order_month").parquet(f"{path}/{stem}")
+        if key in MONTH_KEYS:
+            column, clustered = MONTH_KEYS[key]
+            if key == "items":  # a line lies in its order's month; lines without an order in the NULL partition
+                df = df.join(months.dropDuplicates(["order_id"]), "order_id", "left")
+            else:
+                df = df.withColumn(column, F.trunc(F.col("order_ts" if key == "orders" else "event_ts").cast("date"), "month"))
+            w = month_ranged(df, column, clustered)
+            w.write.mode("overwrite").partitionBy(column).parquet(f"{path}/{stem}")
             continue
         df.write.mode("overwrite").parquet(f"{path}/{stem}")
 

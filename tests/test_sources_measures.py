@@ -183,3 +183,21 @@ def test_parquet_without_a_month_column_is_read(spark, scratch, star):
     back = read_star(spark, scratch, "parquet", FIXTURES)
     months = back.orders.select("order_month").distinct().count()
     assert months == star.orders.select(F.trunc(F.col("order_ts").cast("date"), "month")).distinct().count()
+
+
+def test_all_three_facts_prune_months(spark, star, scratch):
+    from growthlens.plans.base import events_as_of, items_since
+
+    write_star(star, scratch)
+    stored = read_star(spark, scratch, "parquet", FIXTURES)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plans = {name: df._jdf.queryExecution().executedPlan().toString() for name, df in (
+        ("items", items_since(stored, dt.date(2000, 1, 15))), ("events", events_as_of(stored)))}
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert re.search(r"PartitionFilters: \[[^\]]*order_month#\d+ >= 2000-01-01", plans["items"])
+    assert re.search(r"PartitionFilters: \[[^\]]*event_month#\d+ <= 2001-08-01", plans["events"])
+    for df in (stored.items, stored.events):
+        assert "order_month" not in df.columns and "event_month" not in df.columns
+    assert sorted(map(repr, QUERIES["product_health"](stored).collect())) == sorted(
+        map(repr, QUERIES["product_health"](star).collect()))
+    assert sorted(map(repr, stored.items.collect())) == sorted(map(repr, star.items.collect()))
