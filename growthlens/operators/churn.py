@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import days_between, ts_lit
 from ..functions.ratios import pct, round_ratio
-from ..plans.base import customer_first, first_orders, orders_delivered, zone_group
-from ..plans.skew import join_per_key
+from ..plans.base import customer_first, flag, orders_delivered, zone_group
 from ..sources.star import Star
 
 BAD_FIRST = "bad_first_order (late>5m or incomplete)"
@@ -53,17 +52,23 @@ def lifecycle_snapshot(star: Star) -> DataFrame:
 
 
 def repeat_flags(star: Star) -> DataFrame:
-    """Per customer with a first order: bad_first_experience and repeated (0/1)."""
+    """Per customer with a first order: bad_first_experience and repeated (0/1).
+
+    Orders are read once and reduced to (customer, day); a customer's list of days is bounded by the calendar.  The
+    second order is strictly later than the first: on the same day, or on the next day with an order.
+    """
     p = star.params
-    f = first_orders(star).select("customer_id", "first_order_ts")
-    od = orders_delivered(star).select("customer_id", "order_ts")
-    second = (join_per_key(od, f, "customer_id", p.hot_key_rows)
-              .filter(F.col("order_ts") > F.col("first_order_ts"))
-              .groupBy("customer_id").agg(F.min("order_ts").alias("second_order_ts")))
-    cf = customer_first(star).filter(F.col("first_order_ts").isNotNull()) \
-        .select("customer_id", "bad_first_experience", "first_order_ts")
-    rep = F.when(days_between("first_order_ts", "second_order_ts") <= p.repeat_window_days, 1).otherwise(0)
-    return cf.join(second, "customer_id", "left").withColumn("repeated", rep)
+    days = orders_delivered(star).groupBy("customer_id", "order_date").agg(
+        F.min(F.struct("order_ts", "order_id", "is_late_5plus", "items_missing")).alias("first"),
+        F.max("order_ts").alias("last_ts"))
+    per = days.groupBy("customer_id").agg(F.min(F.struct("order_date", "first", "last_ts")).alias("day"),
+                                          F.sort_array(F.collect_list("order_date")).alias("days"))
+    first = F.col("day.first")
+    again = F.when(F.col("day.last_ts") > first["order_ts"], F.col("day.order_date")).otherwise(F.get("days", F.lit(1)))
+    known = star.customer.filter(F.col("signup_ts") < ts_lit(p.as_of_end)).select("customer_id")
+    return per.join(known, "customer_id").select(
+        "customer_id", flag((first["is_late_5plus"] == 1) | (first["items_missing"] == 1)).alias("bad_first_experience"),
+        flag(F.coalesce(F.datediff(again, "day.order_date") <= p.repeat_window_days, F.lit(False))).alias("repeated"))
 
 
 def repeat_after_first_order(star: Star) -> DataFrame:

@@ -24,7 +24,6 @@ from ..functions.dates import (hours_between_boundaries, month_start, months_bet
                                seconds_between, ts_lit)
 from ..sources.calendar import dim_date as _dim_date
 from ..sources.star import Star
-from .skew import join_per_key
 
 
 def flag(cond) -> F.Column:
@@ -149,8 +148,8 @@ def customer_first(star: Star) -> DataFrame:
 def item_margin_by_order(star: Star) -> DataFrame:
     def build():
         prod = star.product.select("product_id", "unit_cost")
-        # lines of a hot SKU meet its cost row by broadcast (plans/skew.py)
-        return (join_per_key(star.items, prod, "product_id", star.params.hot_key_rows)
+        # both sides are plain scans: adaptive execution splits the lines of a hot SKU, and the lines are read once
+        return (star.items.join(prod, "product_id")
                 .groupBy("order_id")
                 .agg(F.sum(F.col("line_amount") - F.col("quantity") * F.col("unit_cost")).alias("item_margin")))
     return star.memo("item_margin_by_order", build)

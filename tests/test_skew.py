@@ -148,7 +148,7 @@ def test_join_per_key_equals_plain_join(spark):
     assert "BroadcastHashJoin" in plan
 
 
-@pytest.mark.parametrize("name", ["repeat_after_first_order", "channel_scorecard", "dq_audit"])
+@pytest.mark.parametrize("name", ["channel_scorecard", "dq_audit"])
 def test_hot_customer_rows_skip_the_shuffle_join(skew_session, skewed_dir, name):
     """On the skewed tables the hot customer is found and joined through the broadcast branch."""
     from growthlens.plans.base import orders_delivered
