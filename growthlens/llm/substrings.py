@@ -31,7 +31,8 @@ from .fmindex import repeated_windows
 
 WINDOW = 35
 MINIMIZER_WORDS = 8
-MAX_SEGMENTS = 500
+#: Different segments of one minimizer that a shard may hold: at most a million words, well within a task's memory.
+MAX_SEGMENTS = 16_000
 SHARD_WORDS = 400_000
 HEAVY_ROWS = 100_000
 SALTS = 1024
