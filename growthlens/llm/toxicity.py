@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import blocks, fold_words, fresh
-from .training import held_out, sample
+from .training import held_out, sample_by_id
 
 TRAIN_DOCS = 2500  # of each label
 TRAIN_CHARS = 12_000
@@ -221,8 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """A model of ``labels.toxic`` learned from the rows outside the held-out fold."""
     marks = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
     marks = marks.groupBy("doc_id").agg(F.max("toxic").cast("string").alias("label"))
-    rows = docs.select("doc_id", "text").join(marks, "doc_id")
-    return train([(text, int(label)) for text, label in sample(rows, TRAIN_DOCS, TRAIN_CHARS)])
+    return train([(text, int(label)) for text, label in sample_by_id(docs, marks, TRAIN_DOCS, TRAIN_CHARS)])
 
 
 def _spans(text: bytes, p: np.ndarray) -> list[dict]:

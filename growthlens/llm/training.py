@@ -19,6 +19,26 @@ def held_out() -> Column:
     return F.coalesce(fold() == 1, F.lit(False))
 
 
+def _picked(rows: DataFrame, per_label: int) -> tuple[DataFrame, int]:
+    """About ``per_label`` rows (of those with doc_id and label) a label, by a hash of doc_id; a bound of their number."""
+    rows = rows.where((fold() != 1) & F.col("label").isNotNull())
+    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(MAX_LABELS)
+    shares = {r.label: min(_GRAIN, 1 + per_label * _GRAIN // r.n) for r in counts.collect()}
+    if not shares:
+        return rows.limit(0), 0
+    limits = F.create_map(*[F.lit(x) for pair in sorted(shares.items()) for x in pair])
+    grain = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(_GRAIN))
+    return (rows.where(F.col("label").isin(list(shares)) & (grain < limits[F.col("label")])),
+            2 * per_label * len(shares))
+
+
+def _passages(rows: DataFrame, bound: int, max_chars: int) -> list[tuple[str, str]]:
+    start = F.greatest(F.lit(1), ((F.length("text") - max_chars) / 2).cast("int"))
+    rows = rows.where(F.length("text") > 0).select("label", "doc_id", F.substr("text", start, F.lit(max_chars)).alias("text"))
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(bound)
+    return [(r.text, r.label) for r in rows.collect()]
+
+
 def sample(rows: DataFrame, per_label: int, max_chars: int) -> list[tuple[str, str]]:
     """About ``per_label`` (text, label) pairs a label, at most ``2 * per_label * labels`` in all.
 
@@ -26,15 +46,15 @@ def sample(rows: DataFrame, per_label: int, max_chars: int) -> list[tuple[str, s
     fold are left out.  Texts longer than ``max_chars`` give a passage of that length from their middle.  The rows
     are picked by a hash of doc_id, so the sample is the same on every run.
     """
-    rows = rows.where((fold() != 1) & F.col("label").isNotNull() & (F.length("text") > 0))
-    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(MAX_LABELS)
-    shares = {r.label: min(_GRAIN, 1 + per_label * _GRAIN // r.n) for r in counts.collect()}
-    if not shares:
-        return []
-    limits = F.create_map(*[F.lit(x) for pair in sorted(shares.items()) for x in pair])
-    grain = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(_GRAIN))
-    picked = rows.where(F.col("label").isin(list(shares)) & (grain < limits[F.col("label")]))
-    start = F.greatest(F.lit(1), ((F.length("text") - max_chars) / 2).cast("int"))
-    picked = picked.select("label", "doc_id", F.substr("text", start, F.lit(max_chars)).alias("text"))
-    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * per_label * len(shares))
-    return [(r.text, r.label) for r in picked.collect()]
+    picked, bound = _picked(rows.where(F.length("text") > 0), per_label)
+    return _passages(picked, bound, max_chars)
+
+
+def sample_by_id(docs: DataFrame, labels: DataFrame, per_label: int, max_chars: int) -> list[tuple[str, str]]:
+    """As ``sample``, for labels (doc_id, label; one row a doc_id) that lie apart from the texts.
+
+    The labels are picked first; the bounded list is broadcast, so that no text is shuffled.
+    """
+    picked, bound = _picked(labels.select("doc_id", "label"), per_label)
+    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    return _passages(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), bound, max_chars)
