@@ -4,8 +4,9 @@ Tokenising emits one narrow row per piece; texts are not shuffled.  Pieces are d
 ``GROUP_PIECES`` (repeated rows by their number, so equal rows spread) and each group is packed in a task of its own:
 best fit, longest first, then exchanges between underfull sequences.  The least filled sequence gives items to others:
 by moving one, by swapping one for a smaller one, two for one or one for two.  Every exchange raises the sum of
-squared fills, so the search ends; it stops early once the number of sequences equals its lower bound, or after
-``MAX_EXCHANGES``.  A group wastes less than a sequence or so, whatever the number of groups.
+squared fills, so the search ends: at the lower bound of the number of sequences, or where no two sequences have an
+exchange left.  The lengths and the sums of two in a sequence are bit sets, united over the sequences of equal free
+space, so neither the number of items nor of sequences needs a bound.
 
 Tokenising remembers words: a text is split at white space and the ids of a chunk are looked up, as this tokenizer's
 normaliser and pre-tokenizer never join chunks; new chunks go to its model.
@@ -18,7 +19,9 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from itertools import combinations, islice
+from collections import Counter
+from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,7 +32,6 @@ from .common import blocks, materialise
 CAPACITY = 2048
 END_ID = 0
 GROUP_PIECES = 20_000
-MAX_EXCHANGES = 500
 _MAX_CACHED = 600_000
 _SCAN_BYTES = 8 << 20
 _LETTERS = "a-zà-öø-ÿā-įı-ɏ"
@@ -175,61 +177,194 @@ class Bins:
         self.free[a] += gained
         self.free[b] -= gained
 
-    def _best(self, a: int):
-        """The exchange from bin ``a`` that raises the sum of squared fills most, or None."""
-        size, fill = self.lengths, self.capacity - self.free[a]
-        mine = self.items[a]
-        groups = [(i,) for i in mine]
-        pairs = list(combinations(mine, 2)) if len(mine) <= 64 else []
-        best, chosen = 0, None
-
-        def offer(b: int, out: tuple, back: tuple, more: int) -> None:
-            nonlocal best, chosen
-            # (fb + m)^2 + (fa - m)^2 - fb^2 - fa^2 = 2 m (fb - fa + m)
-            gain = 2 * more * (self.capacity - self.free[b] - fill + more)
-            if 0 < more <= self.free[b] and gain > best:
-                best, chosen = gain, (out, b, back)
-
-        for b, space in enumerate(self.free):
-            if b == a or not space or not self.items[b]:
-                continue
-            theirs = self.items[b]
-            for out in groups:
-                x = size[out[0]]
-                offer(b, out, (), x)
-                for j in theirs:
-                    offer(b, out, (j,), x - size[j])
-                if len(theirs) <= 32:
-                    for back in combinations(theirs, 2):
-                        offer(b, out, back, x - size[back[0]] - size[back[1]])
-            for out in pairs:
-                x = size[out[0]] + size[out[1]]
-                for j in theirs:
-                    offer(b, out, (j,), x - size[j])
-        return chosen
+    def fewest(self) -> int:
+        """A lower bound of the bins: by the sum, and as a bin holds at most k items longer than 1/(k+1) of it."""
+        by_size = [-(-sum(n * (k + 1) > self.capacity for n in self.lengths) // k) for k in (1, 2, 3)]
+        return max(-(-sum(self.lengths) // self.capacity), *by_size)
 
     def improve(self) -> None:
-        least = -(-sum(self.lengths) // self.capacity)
-        used = len(self.items)
-        stuck: set[int] = set()
-        for _ in range(MAX_EXCHANGES):
-            if used <= least:
-                return
-            open_ = [b for b, items in enumerate(self.items) if items and self.free[b] and b not in stuck]
-            if not open_:
-                return
-            a = max(open_, key=lambda b: (self.free[b], -b))
-            chosen = self._best(a)
-            if chosen is None:
-                stuck.add(a)
-                if len(stuck) > 8:
-                    return
+        """Exchanges until the lower bound is met or no two bins have one that raises the sum of squared fills."""
+        used, least = len(self.items), self.fewest()
+        if used <= least:
+            return
+        open_ = OpenBins(self)
+        changed = True
+        while changed:
+            changed = False
+            heap = [(-self.free[b], b) for b, items in enumerate(self.items) if items and self.free[b]]
+            heapify(heap)
+            while heap:
+                space, a = heappop(heap)
+                if not self.items[a] or self.free[a] != -space:
+                    continue
+                chosen = open_.best(a)
+                if chosen is None:
+                    continue
+                out, b, back = chosen
+                open_.remove(a)
+                open_.remove(b)
+                self.exchange(a, out, b, back)
+                changed = True
+                if self.items[a]:
+                    open_.add(a)
+                    heappush(heap, (-self.free[a], a))
+                else:
+                    used -= 1
+                    if used <= least:
+                        return
+                if self.free[b]:
+                    open_.add(b)
+                    heappush(heap, (-self.free[b], b))
+
+
+def _bits(mask: int) -> list[int]:
+    found = []
+    while mask:
+        low = mask & -mask
+        found.append(low.bit_length() - 1)
+        mask ^= low
+    return found
+
+
+class Shape:
+    """The item lengths of a bin as bit sets: single lengths, sums of two, and what an exchange can give back."""
+
+    def __init__(self, sizes: tuple[int, ...], capacity: int):
+        self.sizes, self.capacity = sizes, capacity
+        counts = Counter(sizes)
+        self.singles = self.pairs = 0
+        for x in counts:
+            self.singles |= 1 << x
+        for x, n in counts.items():
+            self.pairs |= (self.singles if n > 1 else self.singles & ~(1 << x)) << x
+        # bit capacity - y: y comes back for one item (nothing, one or two), or for two (one)
+        self.for_one = sum(1 << capacity - y for y in _bits(self.singles | self.pairs | 1))
+        self.for_two = sum(1 << capacity - y for y in counts)
+        self.one_out, self.two_out = _bits(self.singles), _bits(self.pairs)
+
+    def gains(self, for_one: int, for_two: int) -> int:
+        """Bit m: this shape can give m more than it gets back from bins with these sets."""
+        top, found = self.capacity, 0
+        for x in self.one_out:
+            found |= for_one >> top - x
+        if for_two.bit_count() < len(self.two_out):
+            for at in _bits(for_two):
+                found |= self.pairs >> top - at
+        else:
+            for x in self.two_out:
+                found |= for_two >> top - x
+        return found
+
+
+class OpenBins:
+    """The bins with free space, by it; bins of equal item lengths share a shape.
+
+    A search asks one union of bit sets for each amount of free space, not each bin.  A shape that was searched in
+    vain is searched again only among the amounts that bins have come to since.
+    """
+
+    def __init__(self, bins: Bins):
+        self.bins, self.clock = bins, 0
+        self.shapes: dict[tuple, Shape] = {}
+        self.shape: dict[int, Shape] = {}
+        self.by_free: dict[int, dict[Shape, dict[int, None]]] = {}
+        self.unions: dict[int, tuple[int, int]] = {}
+        self.came: dict[int, int] = {}
+        self.tried: dict[Shape, int] = {}
+        for b, items in enumerate(bins.items):
+            if items and bins.free[b]:
+                self.add(b)
+
+    def add(self, b: int) -> None:
+        sizes = tuple(sorted(self.bins.lengths[i] for i in self.bins.items[b]))
+        shape = self.shapes.get(sizes)
+        if shape is None:
+            shape = self.shapes[sizes] = Shape(sizes, self.bins.capacity)
+        free = self.bins.free[b]
+        self.shape[b] = shape
+        self.by_free.setdefault(free, {}).setdefault(shape, {})[b] = None
+        if free in self.unions:
+            one, two = self.unions[free]
+            self.unions[free] = one | shape.for_one, two | shape.for_two
+        self.clock += 1
+        self.came[free] = self.clock
+
+    def remove(self, b: int) -> None:
+        shape, free = self.shape.pop(b), self.bins.free[b]
+        there = self.by_free[free]
+        del there[shape][b]
+        if not there[shape]:
+            del there[shape]
+            self.unions.pop(free, None)
+            if not there:
+                del self.by_free[free]
+
+    def _union(self, free: int, a: int) -> tuple[int, int]:
+        """What bins with ``free`` left, except ``a``, can give back."""
+        own = self.shape[a] if free == self.bins.free[a] else None
+        alone = own is not None and len(self.by_free[free][own]) == 1
+        if not alone and free in self.unions:
+            return self.unions[free]
+        one = two = 0
+        for shape in self.by_free[free]:
+            if not alone or shape is not own:
+                one |= shape.for_one
+                two |= shape.for_two
+        if not alone:
+            self.unions[free] = one, two
+        return one, two
+
+    def best(self, a: int):
+        """The exchange from bin ``a`` that raises the sum of squared fills most, or None: (out, b, back)."""
+        mine, space = self.shape[a], self.bins.free[a]
+        since = self.tried.get(mine, 0)
+        best, at = 0, None
+        for free in sorted(self.by_free, reverse=True):
+            if 2 * free * space <= best:  # no more than ``free`` can move
+                break
+            if self.came[free] <= since:
                 continue
-            out, b, back = chosen
-            self.exchange(a, out, b, back)
-            if not self.items[a]:
-                used -= 1
-                stuck.clear()
+            # the most that moves is best: (fb + m)^2 + (fa - m)^2 - fb^2 - fa^2 = 2 m (m + space - free)
+            more = (mine.gains(*self._union(free, a)) & (2 << free) - 2).bit_length() - 1
+            if more > 0 and 2 * more * (more + space - free) > best:
+                best, at = 2 * more * (more + space - free), (free, more)
+        if at is None:
+            self.tried[mine] = self.clock
+            return None
+        free, more = at
+        for shape, there in self.by_free[free].items():
+            b = next((b for b in there if b != a), None)
+            if b is not None and mine.gains(shape.for_one, shape.for_two) >> more & 1:
+                return self._items(a, b, more)
+
+    def _items(self, a: int, b: int, more: int):
+        """Items of ``a`` and ``b`` whose exchange moves ``more``."""
+        size = self.bins.lengths
+        mine = {size[i]: i for i in self.bins.items[a]}
+        theirs = {size[i]: i for i in self.bins.items[b]}
+
+        def pair(items: list[int], total: int):
+            seen: dict[int, int] = {}
+            for i in items:
+                j = seen.get(total - size[i])
+                if j is not None:
+                    return j, i
+                seen[size[i]] = i
+            return None
+
+        for x, i in mine.items():
+            if x == more:
+                return (i,), b, ()
+            if x - more in theirs:
+                return (i,), b, (theirs[x - more],)
+        for x, i in mine.items():
+            back = pair(self.bins.items[b], x - more)
+            if back:
+                return (i,), b, back
+        for y, j in theirs.items():
+            out = pair(self.bins.items[a], y + more)
+            if out:
+                return out, b, (j,)
 
 
 def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:

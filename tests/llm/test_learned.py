@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -175,6 +176,50 @@ def test_local_search_beats_best_fit():
     assert packing.pack([]) == [] and packing.pack([2048, 2048, 5]) == [[0], [1], [2]]
 
 
+def gaining(bins):
+    """Whether some exchange (one item for none, one or two, or two for one) raises the sum of squared fills."""
+    size, open_ = bins.lengths, [b for b, items in enumerate(bins.items) if items and bins.free[b]]
+    ones = {b: {size[i] for i in bins.items[b]} for b in open_}
+    twos = {b: {size[i] + size[j] for i, j in combinations(bins.items[b], 2)} for b in open_}
+    for a in open_:
+        for b in open_:
+            moves = [x - y for x in ones[a] for y in {0} | ones[b] | twos[b]] + [x - y for x in twos[a] for y in ones[b]]
+            if a != b and any(0 < m <= bins.free[b] and m + bins.free[a] > bins.free[b] for m in moves):
+                return True
+    return False
+
+
+@pytest.mark.parametrize("low, high, n, capacity", [
+    (513, 1000, 600, 2048), (1, 900, 400, 2048), (300, 1100, 300, 2048), (600, 700, 300, 2048), (2, 9, 2000, 700)])
+def test_local_search_ends_in_a_local_optimum(low, high, n, capacity):
+    rng = random.Random(low)
+    lengths = [rng.randint(low, high) for _ in range(n)]
+    bins = packing.Bins(lengths, capacity)
+    for i in range(n):  # next fit, with up to 350 items a bin
+        if not bins.items or bins.free[-1] < lengths[i] or rng.random() < 0.004:
+            bins.items.append([])
+            bins.free.append(capacity)
+        bins.items[-1].append(i)
+        bins.free[-1] -= lengths[i]
+    bins.improve()
+    used = sum(map(bool, bins.items))
+    assert sorted(i for items in bins.items for i in items) == list(range(n))
+    assert all(capacity - sum(lengths[i] for i in items) == free >= 0 for items, free in zip(bins.items, bins.free))
+    assert used == bins.fewest() or not gaining(bins)
+
+
+def test_a_full_group_with_a_perfect_packing():
+    rng, lengths = random.Random(1), []
+    while len(lengths) < packing.GROUP_PIECES:
+        a, b = rng.randint(513, 1000), rng.randint(513, 1000)
+        if 513 <= 2048 - a - b <= 1000:
+            lengths += [a, b, 2048 - a - b]
+    found = packing.pack(lengths)
+    assert sorted(i for items in found for i in items) == list(range(len(lengths)))
+    assert all(sum(lengths[i] for i in items) <= 2048 for items in found)
+    assert len(found) < 1.02 * len(lengths) / 3
+
+
 # ---- the pipeline ------------------------------------------------------------------------------------------------
 
 def test_stages_one_by_one(spark):
