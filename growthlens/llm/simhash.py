@@ -16,7 +16,7 @@ shingle make one shingle; a component's id is its least doc_id, NULL only if it
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, lookup, materialise
@@ -53,13 +53,16 @@ def _fingerprints(batches):
 
     for batch in batches:
         found = np.array([simhash(t) for t in batch.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "fp"])
+        names = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(found)], names=[*names, "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and the fingerprint (as a signed bigint) of every row."""
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary"))
-    return rows.mapInArrow(_fingerprints, "doc_id bigint, fp bigint")
+def fingerprints(docs: DataFrame, *rows: Column) -> DataFrame:
+    """doc_id, the bigint columns ``rows`` (row1, row2, ...) and the fingerprint (as a signed bigint) of every row."""
+    more = [c.alias(f"row{k + 1}") for k, c in enumerate(rows)]
+    asked = docs.select(F.col("doc_id").cast("bigint"), *more, F.col("text").cast("binary"))
+    names = ["doc_id", *[f"row{k + 1}" for k in range(len(more))], "fp"]
+    return asked.mapInArrow(_fingerprints, ", ".join(f"{n} bigint" for n in names))
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -114,9 +117,21 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component: the one with the least doc_id.  Rows of one doc_id count as one document."""
-    key, null = fresh(docs, "key"), fresh(docs, "null")
-    id_ = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias(key), F.col("doc_id").isNull().alias(null)
-    first = components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*id_).distinct()
-    rows = docs.select("*", *id_).join(first, [key, null], "left_semi")
-    return rows.dropDuplicates([key, null]).select(docs.columns)
+    """One row of each component: the one with the least doc_id, or without any id where the component has none.
+
+    A row is known by its doc_id and a hash of its columns, so different rows of one doc_id, or without one, stay
+    apart; of several rows the least hash decides, the same on every run.
+    """
+    key, null, row = fresh(docs, "key"), fresh(docs, "null"), fresh(docs, "row")
+    hashed = F.xxhash64(*[f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+    rows = materialise(fingerprints(docs, hashed))
+    nodes = materialise(rows.groupBy("fp").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias(null), F.coalesce("doc_id", F.lit(0)).alias(key), F.col("row1").alias(row)
+    )).alias("least")))
+    linked = roots(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
+    first = nodes.join(linked, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(
+        F.min("least").alias("least")).select("least.*")
+    known = docs.select("*", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias(key),
+                        F.col("doc_id").isNull().alias(null), hashed.alias(row))
+    kept = known.join(materialise(first), [key, null, row], "left_semi")
+    return kept.dropDuplicates([key, null, row]).select(docs.columns)

@@ -108,6 +108,26 @@ def test_one_document_of_each_group_stays(spark, docs):
     assert simhash.keep_first(odd).columns == odd.columns
 
 
+def test_every_component_keeps_one_row_whatever_its_ids(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(60))
+    clean, shared = [text() for _ in range(8)], text()
+    source = [(None, t) for t in clean[:4]] + [(7, t) for t in clean[4:]]  # no id, or one id for all
+    source += [(None, clean[0]), (7, clean[5])]  # exact copies
+    source += [(3, shared), (7, shared), (None, shared)]
+    rows = [(i, t, "en", f"s{k}", len(t)) for k, (i, t) in enumerate(source)]
+    docs = frame(spark, [], rows)
+    kept = simhash.keep_first(docs).collect()
+    assert sorted(r.text for r in kept) == sorted([*clean, shared])
+    assert [r.doc_id for r in kept if r.text == shared] == [3]
+    again = simhash.keep_first(docs.orderBy(F.desc("source")).repartition(3)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, kept))
+
+    odd = awkward(spark)
+    source = [(i, plain_simhash(r.text)) for i, r in enumerate(odd.collect())]
+    assert simhash.keep_first(odd).count() == len(set(plain_components(source).values()))
+
+
 # ---- repeated passages -------------------------------------------------------------------------------------------
 
 def check_substrings(df, window=35):
