@@ -36,7 +36,7 @@ _MAX_CACHED = 600_000
 _SCAN_BYTES = 8 << 20
 _LETTERS = "a-zà-öø-ÿā-įı-ɏ"
 _PLAIN_LETTERS = re.compile(f"[{_LETTERS}]+")
-_PLAIN = re.compile(rf"[!-;=-~A-Z{_LETTERS}À-ÖØ-Þ]+")
+_PLAIN = re.compile(rf"[!-;=-~{_LETTERS}]+")
 _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -80,7 +80,7 @@ class Encoder:
             return self._letters(low)
         if chunk[-1] in ".,;:!?" and _PLAIN_LETTERS.fullmatch(low[:-1]):
             return self._letters(low[:-1]) + self._letters(chunk[-1])
-        if not _PLAIN.fullmatch(chunk):  # anything unusual, special tokens too
+        if not _PLAIN.fullmatch(low):  # anything unusual, special tokens too
             return self._library(chunk)
         return b"".join([self._letters(word) for word in _WORDS.findall(low)])
 

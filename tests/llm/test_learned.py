@@ -135,6 +135,19 @@ def test_ids_are_the_tokenizers():
         assert np.frombuffer(encoder.ids(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_ids_of_every_latin_letter():
+    """Capitals such as U+0181 and U+018F lower to letters beyond the ones that are cut here."""
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    with open(TOKENIZER, encoding="utf-8") as f:
+        encoder = packing.Encoder(f.read())
+    texts = ["Əli", "Ɓaba", "Ɔkra Ɛdan"]
+    for ch in map(chr, [*range(0xC0, 0x250), 0x1E9E, 0x212A, 0x212B]):
+        texts += [ch, f"{ch}li", f"Ab{ch}", f"x{ch}y1", f"{ch}!", f"'{ch}B-c", f"{ch}{ch}'s a{ch}."]
+    for text in texts:
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.ids(text), dtype="<u4").tolist() == want, text
+
+
 def check_packing(df):
     plain = Tokenizer.from_file(TOKENIZER)
     want = []
