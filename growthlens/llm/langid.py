@@ -17,7 +17,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -167,6 +167,10 @@ def _predictor(parts: dict, text: str, out: str, schema: T.StructType):
     return predict
 
 
+def _lettered() -> Column:
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+
 def predict(docs: DataFrame, model: Model | None, out: str = "language") -> DataFrame:
     """``docs`` with the struct ``out``: lang and score."""
     unknown = F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"))
@@ -175,8 +179,7 @@ def predict(docs: DataFrame, model: Model | None, out: str = "language") -> Data
     text = fresh(docs, "scanned")
     asked = docs.withColumn(text, F.col("text").cast("binary")).withColumn(out, unknown)
     found = asked.mapInArrow(_predictor(vars(model), text, out, asked.schema), asked.schema).drop(text)
-    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return found.withColumn(out, F.when(lettered, F.col(out)).otherwise(unknown))
+    return found.withColumn(out, F.when(_lettered(), F.col(out)).otherwise(unknown))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -186,7 +189,13 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, min_score: float) -> DataFrame:
-    """``docs`` without the documents of no known language (``und``, or a score below ``min_score``)."""
+    """``docs`` without the documents of no known language (``und``, or a score below ``min_score``).
+
+    Where there was nothing to learn from, only texts without a letter go.
+    """
     out = fresh(docs, "language")
-    found = predict(docs, fit(docs), out)
+    model = fit(docs)
+    if model is None:
+        return docs.where(_lettered())
+    found = predict(docs, model, out)
     return found.where((F.col(out)["lang"] != UNKNOWN) & (F.col(out)["score"] >= min_score)).drop(out)

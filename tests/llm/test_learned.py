@@ -47,6 +47,12 @@ def test_languages_of_awkward_rows(spark):
     assert ids(langid.keep_known(odd, 0.0)) == ids(got.where("lang_pred <> 'und'"))
 
 
+def test_unlabelled_documents_stay(spark):
+    docs = frame(spark, ["eins zwei drei", "日本語", "123 !?", None, ""]).withColumn("lang", F.lit(None).cast("string"))
+    assert ids(corpus_pipeline.language_id(spark, docs, SF)) == [(True, 0), (True, 1)]
+    assert corpus_pipeline.language_id(spark, docs, SF).columns == docs.columns
+
+
 def test_pair_tables_are_the_convolution():
     rng = np.random.default_rng(1)
     model = langid.train([("hello world this is text", "a"), ("xyz qqq zzz www", "b")])
