@@ -82,11 +82,15 @@ KINDS = [
 BASE = ("email", "ip", "card", "phone")
 
 
-def _prefix_sums(values: Column) -> Column:
-    """Running sums of an int array in log2(n) passes."""
+def _running(values: Column, combine) -> Column:
+    """Running sums or the like of an int array in log2(n) passes."""
     rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(2)))).cast("int"))
-    return F.aggregate(rounds, values, lambda acc, r: F.transform(acc, lambda x, i: x + F.coalesce(
-        F.get(acc, i - F.call_function("shiftleft", F.lit(1), r)), F.lit(0))))
+    return F.aggregate(rounds, values, lambda acc, r: F.transform(acc, lambda x, i: combine(x, F.coalesce(
+        F.get(acc, i - F.call_function("shiftleft", F.lit(1), r)), F.lit(0)))))
+
+
+def _prefix_sums(values: Column) -> Column:
+    return _running(values, lambda x, y: x + y)
 
 
 def _matches(text: Column, kind: Kind) -> Column:
@@ -142,8 +146,32 @@ def report(docs: DataFrame) -> DataFrame:
         F.array_join(F.concat(*[listed(k.name) for k in KINDS]), ",").alias("spans"))
 
 
+def _cut(text: Column) -> Column:
+    """``text`` with its confirmed spans replaced; spans that overlap go as one, named by the first (the longest)."""
+    def marked(kind: Kind) -> Column:
+        return F.transform(spans(text, kind), lambda s: F.struct(
+            s["start"], (-s["end"]).alias("back"), F.lit(f"[{kind.name.upper()}]").alias("mark")))
+
+    def without(found: Column) -> Column:
+        ends = _running(F.transform(found, lambda s: -s["back"]), F.greatest)
+        return let(ends, lambda reach: pieces(found, reach))
+
+    def pieces(found: Column, reach: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(reach, i - 1), F.lit(0))
+        heads = F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda i: F.get(found, i)["start"] >= before(i))
+        parts = F.transform(heads, lambda i: F.concat(
+            F.substr(text, before(i) + 1, F.get(found, i)["start"] - before(i)), F.get(found, i)["mark"]))
+        return F.concat(F.array_join(parts, ""), F.substr(text, before(F.size(found)) + 1))
+
+    return let(F.array_sort(F.concat(*[marked(k) for k in KINDS])),
+               lambda found: F.when(F.size(found) == 0, text).otherwise(without(found)))
+
+
 def redacted(text: Column) -> Column:
-    """``text`` with the confirmed spans of each kind, one kind after the other, replaced by its name in brackets."""
+    """``text`` with its confirmed spans replaced by the names of their kinds in brackets.
+
+    All spans of the text are cut at once; then, kind after kind, what is a match only in the text that is left.
+    """
     def of(text: Column, kind: Kind) -> Column:
         mark = F.lit(f"[{kind.name.upper()}]")
 
@@ -162,6 +190,7 @@ def redacted(text: Column) -> Column:
     def step(kind: Kind):
         return lambda t: of(t, kind)
 
+    text = let(text, _cut)
     for kind in KINDS:
         text = let(text, step(kind))
     return text

@@ -197,6 +197,15 @@ def test_redaction_leaves_nothing_and_touches_nothing_else(spark, docs):
     assert [r.text for r in one.collect()] == ["mail é [EMAIL] and [CARD], or 4111 1111 1111 1112!", None]
 
 
+def test_overlapping_spans_are_cut_whole(spark):
+    texts = ["call +33.1.42.68.53.00 now", "é +3782 822463 10005, a@1.2.3.4.com and a@b.co", "4111 1111 1111 1111 10.0.0.1",
+             "a@b.co c@d.org" + " 10.0.0.1" * 50, "ssn 078-05-1120", ""]
+    out = pii.redact(frame(spark, texts)).orderBy("doc_id").collect()
+    assert [r.text for r in out] == [
+        "call [PHONE] now", "é [PHONE], [EMAIL] and [EMAIL]", "[CARD] [IP]", "[EMAIL] [EMAIL]" + " [IP]" * 50,
+        "ssn [SSN]", ""]
+
+
 # ---- shards ------------------------------------------------------------------------------------------------------
 
 def test_ring_walk_fills_shards_evenly():
