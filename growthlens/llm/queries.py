@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, langid, packing, pii, sharding, simhash, substrings, toxicity, url_filter
+from . import decontaminate, fingerprints, langid, merkle, packing, pii, sharding, simhash, substrings, toxicity, url_filter
 from .common import table
 
 #: DuckDB statements of the queries that SQL can express.
@@ -55,6 +55,10 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_url_filters": op2_url_filters,
@@ -66,4 +70,5 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_sharding": op9_sharding,
     "op10_langid": op10_langid,
+    "op11_merkle": op11_merkle,
 }
