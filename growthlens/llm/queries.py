@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, langid, merkle, packing, pii, sharding, simhash, substrings, toxicity, url_filter
+from . import (decontaminate, fingerprints, hard_negatives, langid, merkle, packing, pii, sharding, simhash, substrings,
+               toxicity, url_filter)
 from .common import table
 
 #: DuckDB statements of the queries that SQL can express.
-ORACLE: dict[str, str] = {"op2_url_filters": url_filter.SQL}
+ORACLE: dict[str, str] = {"op2_url_filters": url_filter.SQL, "op12_hard_negatives": hard_negatives.SQL}
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +60,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.report(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_url_filters": op2_url_filters,
@@ -71,4 +76,5 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_langid": op10_langid,
     "op11_merkle": op11_merkle,
+    "op12_hard_negatives": op12_hard_negatives,
 }
