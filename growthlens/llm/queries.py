@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, fingerprints, hard_negatives, langid, merkle, packing, pii, sharding, simhash, substrings,
-               toxicity, url_filter)
+from . import (ann, decontaminate, fingerprints, hard_negatives, langid, merkle, packing, pii, sharding, simhash,
+               substrings, toxicity, url_filter)
 from .common import table
 
 #: DuckDB statements of the queries that SQL can express.
@@ -64,6 +64,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.report(table(spark, sf_dir, "embeddings"))
 
 
+def op13_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_url_filters": op2_url_filters,
@@ -77,4 +81,5 @@ QUERIES = {
     "op10_langid": op10_langid,
     "op11_merkle": op11_merkle,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_ann": op13_ann,
 }
