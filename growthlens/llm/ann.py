@@ -9,7 +9,7 @@ again in double precision on the original components, and the best rows of all s
 A node keeps its copies in ascending vec_id as far as a search can name them, which is one more than it returns (a
 query does not find itself); the rest of very many copies can be in no result.
 
-Recall of the first five against brute force, at every table size tried (500 to 51,282 rows): 0.98 and more; see the
+Recall of the first five against brute force, at the table sizes tried (500 to 51,282 rows): 0.97 and more; see the
 tests.
 
 Defined cases: rows with a NULL vec_id, or whose vector is NULL, all zero, or has a NULL or non-finite component, take

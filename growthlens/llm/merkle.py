@@ -196,3 +196,65 @@ def report(docs: DataFrame, fanout: int = FANOUT) -> DataFrame:
         "doc_id", F.col("digest").alias("leaf"), "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"),
         folded(F.coalesce("tampered", "digest"), F.col("path")).alias("folded_root")).withColumn(
         "verified", F.col("folded_root") == F.col("root"))
+
+
+SQL = """
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+docs AS (
+  SELECT doc_id, lang, coalesce('1' || lang, '0') AS tree, source, n_chars, text,
+         CASE WHEN doc_id IS NULL THEN false ELSE xor(list_reduce(
+           list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 3 = 0 END AS chosen
+  FROM documents, crc_table),
+texts AS (
+  SELECT *, CASE WHEN chosen THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+            ELSE text END AS changed,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head
+  FROM docs),
+digests AS (
+  SELECT doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(changed) || ':' || changed, '-')) AS tampered
+  FROM texts),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+         count(*) OVER (PARTITION BY tree) AS n
+  FROM digests),
+nodes AS (
+  SELECT tree, 0 AS level, idx, n, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, idx // 8, (any_value(n) + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx))
+  FROM nodes WHERE n > 1 GROUP BY tree, level, idx // 8),
+subroots AS (
+  SELECT tree, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n
+  FROM nodes WHERE n = 1),
+over_nodes AS (
+  SELECT '' AS tree, 0 AS level, idx, n, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT '', level + 1, idx // 8, (any_value(n) + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx))
+  FROM over_nodes WHERE n > 1 GROUP BY level, idx // 8),
+runs AS (
+  SELECT tree, level, idx // 8 AS run, list(digest ORDER BY idx) AS digests
+  FROM (SELECT * FROM nodes UNION ALL SELECT * FROM over_nodes) GROUP BY ALL),
+climb AS (
+  SELECT leaves.tree AS own, leaves.idx AS pos, leaves.tree, 0 AS level, leaves.idx, leaves.n, tampered AS folded,
+         '' AS proof
+  FROM leaves
+  UNION ALL
+  SELECT own, pos, c.tree, c.level + 1, c.idx // 8, (c.n + 7) // 8,
+         sha256(array_to_string(digests[:c.idx % 8] || [folded] || digests[c.idx % 8 + 2:], '')),
+         proof || array_to_string(digests[:c.idx % 8] || digests[c.idx % 8 + 2:], '')
+  FROM climb c JOIN runs r ON c.tree = r.tree AND c.level = r.level AND c.idx // 8 = r.run WHERE c.n > 1),
+climb_over AS (
+  SELECT own, pos, 0 AS level, s.idx, s.n, folded, proof FROM climb c JOIN subroots s ON c.own = s.tree WHERE c.n = 1
+  UNION ALL
+  SELECT own, pos, c.level + 1, c.idx // 8, (c.n + 7) // 8,
+         sha256(array_to_string(digests[:c.idx % 8] || [folded] || digests[c.idx % 8 + 2:], '')),
+         proof || array_to_string(digests[:c.idx % 8] || digests[c.idx % 8 + 2:], '')
+  FROM climb_over c JOIN runs r ON r.tree = '' AND c.level = r.level AND c.idx // 8 = r.run WHERE c.n > 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM leaves JOIN subroots USING (tree) JOIN (SELECT digest AS root FROM over_nodes WHERE n = 1) ON true
+JOIN climb_over c ON c.own = leaves.tree AND c.pos = leaves.idx AND c.n = 1
+"""
