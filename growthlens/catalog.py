@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from .operators import feeds, measures, quality, report
 from .operators import acquisition, activation, churn, experience, funnel, gmv, health, marketplace, retention, rfm
+from .operators.order_parts import with_counts
 from .plans import base
 from .sources.star import Star, load_row_counts
 
@@ -85,6 +86,7 @@ QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     "product_review_list": health.product_review_list,
     # 2.12 BI feeds
     **feeds.FEEDS,
+    "feed_order_month": lambda star: with_counts(feeds.feed_order_month(star)),
     # 2.13 measure layer (page datasets are measure_query calls)
     **measures.PAGE_QUERIES,
     # 2.14 report metrics

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from ..functions.dates import months_between_boundaries
 from ..plans.base import (cohort_activity, customer_first, dim_date, flag, item_margin_by_order,
                           order_margin, order_month_col, orders_as_of, session_funnel, stressed)
+from ..config import Params
 from ..sources.star import Star, month_ranged
 from .health import customer_health, product_health
 from .marketplace import store_month_ops
+from .order_parts import month_feed
 from .rfm import customer_rfm
 
 
@@ -78,20 +80,20 @@ def _fact_orders(star: Star, margin: bool) -> DataFrame:
 FUNNEL_STAGES = ["sessions", "searched", "reached_product_view", "reached_cart", "reached_checkout", "converted"]
 
 
-def funnel_monthly(sessions: DataFrame, customers: DataFrame) -> DataFrame:
-    """Session rows (``session_funnel`` shape) -> month x platform x channel stage counts.
+def funnel_monthly(sessions: DataFrame, customers: DataFrame, periods: tuple[str, ...] = ("session_month",)) -> DataFrame:
+    """Session rows (``session_funnel`` shape) -> month (or other ``periods``) x platform x channel stage counts.
 
-    Counts are first summed per (customer, month, platform), so the join with
+    Counts are first summed per (customer, period, platform), so the join with
     the customer table sees a calendar-bounded number of rows per customer
     however many sessions one customer has.
     """
     c = customers.select("customer_id", "acquisition_channel")
-    per_c = (sessions.groupBy("customer_id", "session_month", "platform")
+    per_c = (sessions.groupBy("customer_id", *periods, "platform")
              .agg(F.count(F.lit(1)).alias("sessions"), F.sum("used_search").alias("searched"),
                   F.sum("reached_pv").alias("reached_product_view"), F.sum("reached_cart").alias("reached_cart"),
                   F.sum("reached_checkout").alias("reached_checkout"), F.sum("converted").alias("converted")))
     return (per_c.join(c, "customer_id")
-            .groupBy("session_month", "platform", "acquisition_channel")
+            .groupBy(*periods, "platform", "acquisition_channel")
             .agg(*[F.sum(s).alias(s) for s in FUNNEL_STAGES]))
 
 
@@ -111,17 +113,24 @@ def feed_cohort_retention(star: Star) -> DataFrame:
 
 def cohort_grid(star: Star) -> DataFrame:
     """Every observable cohort x offset cell with its size and actives (0 where nobody was active)."""
-    def build():
-        size = customer_first(star).groupBy("cohort_month").agg(F.count(F.lit(1)).alias("cohort_size"))
-        lived = months_between_boundaries("cohort_month", F.lit(star.params.observation_month))
-        cells = size.where(lived >= 0).select("cohort_month", "cohort_size", F.explode(
-            F.sequence(F.lit(0).cast("long"), lived.cast("long"))).alias("month_offset"))
-        act = feed_cohort_retention(star).select("cohort_month", F.col("month_offset").cast("long").alias("month_offset"),
-                                                 "active_customers")
-        return cells.join(act, ["cohort_month", "month_offset"], "left").select(
-            "cohort_month", "month_offset", "cohort_size",
-            F.coalesce("active_customers", F.lit(0)).alias("active_customers"))
-    return star.memo("cohort_grid", build)
+    return star.memo("cohort_grid", lambda: grid_of_cohorts(customer_first(star), feed_cohort_retention(star), star.params))
+
+
+def grid_of_cohorts(customers: DataFrame, retention: DataFrame, params: Params) -> DataFrame:
+    size = customers.groupBy("cohort_month").agg(F.count(F.lit(1)).alias("cohort_size"))
+    lived = months_between_boundaries("cohort_month", F.lit(params.observation_month))
+    cells = size.where(lived >= 0).select("cohort_month", "cohort_size", F.explode(
+        F.sequence(F.lit(0).cast("long"), lived.cast("long"))).alias("month_offset"))
+    act = retention.select("cohort_month", F.col("month_offset").cast("long").alias("month_offset"), "active_customers")
+    return cells.join(act, ["cohort_month", "month_offset"], "left").select(
+        "cohort_month", "month_offset", "cohort_size",
+        F.coalesce("active_customers", F.lit(0)).alias("active_customers"))
+
+
+def feed_order_month(star: Star) -> DataFrame:
+    """Parts of the order measures by month, store, channel and platform, with bitmaps of the active customers."""
+    return star.memo("feed_order_month", lambda: month_feed(
+        fact_orders_by_month(star), customer_first(star).select("customer_id", "acquisition_channel", "platform")))
 
 
 def feed_store_month_ops(star: Star) -> DataFrame:
@@ -148,11 +157,26 @@ FEEDS = {
     "feed_cohort_retention": feed_cohort_retention,
     "feed_store_month_ops": feed_store_month_ops,
     "feed_marketing": feed_marketing,
+    "feed_order_month": feed_order_month,
 }
 
 # Partition column per feed when written (month-grain facts prune by month).
 _PARTITION = {"feed_funnel_monthly": "session_month", "feed_store_month_ops": "order_month",
-              "feed_marketing": "month_start"}
+              "feed_marketing": "month_start", "feed_order_month": "month"}
+# Feeds that grow with orders or customers inside a month: partition column, and the column that orders rows in it.
+_RANGED = {"feed_fact_orders": ("order_month", "order_id"), "feed_order_month": ("month", "customer_bucket")}
+
+
+def write_feed(name: str, df: DataFrame, target: str, mode: str = "static") -> None:
+    """``mode``: static replaces the whole feed, dynamic only the months that ``df`` has."""
+    month = _PARTITION.get(name)
+    if name == "feed_fact_orders":
+        df = df.withColumn("order_month", F.trunc("order_date", "month"))
+    if name in _RANGED:
+        month = _RANGED[name][0]
+        df = month_ranged(df, *_RANGED[name])
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", mode)
+    (writer.partitionBy(month) if month else writer).parquet(target)
 
 
 def write_feeds(star: Star, path: str, names: list[str] | None = None) -> dict[str, str]:
@@ -163,18 +187,8 @@ def write_feeds(star: Star, path: str, names: list[str] | None = None) -> dict[s
     """
     out = {}
     for name in names or list(FEEDS):
-        df = FEEDS[name](star)
-        target = f"{path}/{name}"
-        w = df
-        part = _PARTITION.get(name)
-        if name == "feed_fact_orders":
-            w = month_ranged(df.withColumn("order_month", F.trunc("order_date", "month")), "order_month", "order_id")
-            part = "order_month"
-        writer = w.write.mode("overwrite")
-        if part:
-            writer = writer.partitionBy(part)
-        writer.parquet(target)
-        out[name] = target
+        out[name] = f"{path}/{name}"
+        write_feed(name, FEEDS[name](star), out[name])
     return out
 
 

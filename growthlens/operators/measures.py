@@ -16,35 +16,43 @@ from __future__ import annotations
 import datetime as _dt
 from dataclasses import dataclass
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ratios import pct, round_ratio
-from ..plans.base import customer_first
+from ..plans.base import customer_first, dim_date, session_funnel
 from ..sources.star import Star
-from .feeds import cohort_grid, fact_orders_by_month, feed_dim_store, feed_funnel_monthly, feed_marketing
+from .feed_store import Feeds, persisted_feeds
+from .feeds import (cohort_grid, fact_orders_by_month, feed_dim_store, feed_funnel_monthly, feed_marketing,
+                    funnel_monthly)
 from .health import customer_health
+from .order_parts import GID, ORDER_PARTS, gid, grouped, merged, partial, sums_of_feed
 from .rfm import customer_rfm
 
+# attributes of a day from dim_date, joined on the date key of each fact; the first three are those of its month too
+_OF_MONTH = {"year", "month_name", "year_month"}
+CALENDAR = _OF_MONTH | {"day_of_week", "day_name", "is_weekend", "week_start"}
 # slicer attributes each fact can be grouped or filtered by
 FACT_ATTRS = {
     "orders": {"month", "order_date", "store_id", "zone_name", "city", "capacity_profile", "status",
-               "acquisition_channel", "platform", "cohort_month", "rfm_segment", "customer_health_tier"},
+               "acquisition_channel", "platform", "cohort_month", "rfm_segment", "customer_health_tier"} | CALENDAR,
     "customers": {"month", "acquisition_channel", "platform", "cohort_month", "rfm_segment",
-                  "customer_health_tier", "zone_name", "home_store_id"},
-    "funnel": {"month", "platform", "acquisition_channel"},
-    "marketing": {"month", "acquisition_channel"},
+                  "customer_health_tier", "zone_name", "home_store_id"} | CALENDAR,
+    "funnel": {"month", "platform", "acquisition_channel"} | CALENDAR,
+    "marketing": {"month", "acquisition_channel"} | _OF_MONTH,
     "cohort": {"cohort_month", "month_offset"},
 }
+# those that the written feeds keep
+FEED_ATTRS = FACT_ATTRS | {
+    "orders": {"month", "store_id", "zone_name", "city", "capacity_profile", "acquisition_channel", "platform"} | _OF_MONTH,
+    "funnel": {"month", "platform", "acquisition_channel"} | _OF_MONTH,
+}
 _CUSTOMER_ATTRS = {"acquisition_channel", "platform", "cohort_month", "rfm_segment", "customer_health_tier"}
 _STORE_ATTRS = {"zone_name", "city", "capacity_profile"}
 
 
-def _dlv() -> Column:
-    return F.col("status") == "delivered"
-
-
 def _s(c: str) -> Column:
     return F.col(c)
 
@@ -57,49 +65,8 @@ class Measure:
     needs_month: bool = False
 
 
-def _sum_if(col: str) -> callable:
-    return lambda: F.sum(F.when(_dlv(), F.col(col)))
-
-
-_ORDER_PARTS = {
-    "_do": lambda: F.count(F.when(_dlv(), 1)),
-    "_gmv": _sum_if("item_total"),
-    "_net": _sum_if("net_amount"),
-    "_disc": _sum_if("discount_amount"),
-    "_act": lambda: F.countDistinct(F.when(_dlv(), F.col("customer_id"))),
-    "_contrib": _sum_if("contribution_rs"),
-    "_margin": _sum_if("item_margin"),
-    "_ontime": _sum_if("is_on_time"),
-    "_perfect": _sum_if("is_perfect_order"),
-    "_late": _sum_if("is_late_5plus"),
-    "_dmin": _sum_if("actual_delivery_min"),
-    "_dminn": lambda: F.count(F.when(_dlv(), F.col("actual_delivery_min"))),
-    "_canc": lambda: F.count(F.when(F.col("status") == "cancelled", 1)),
-    "_all": lambda: F.count(F.lit(1)),
-    "_rsum": _sum_if("rating"),
-    "_rn": lambda: F.count(F.when(_dlv(), F.col("rating"))),
-    "_miss": _sum_if("items_missing"),
-}
-
-
-# How each order part merges after it has been summed per (customer, order-side
-# slice keys): counts and sums add up; the distinct-customer count becomes a sum
-# of per-customer 0/1 flags (customer attributes depend on customer_id alone, so
-# a customer is one row per slice after the pre-aggregation).
-_ORDER_PARTIAL = {"_act": lambda: F.max(F.when(_dlv(), 1).otherwise(0))}
-_ORDER_MERGE = {"_act": lambda c: F.coalesce(F.sum(c), F.lit(0).cast("long"))}
-
-
-def _order_partial(alias: str) -> Column:
-    return _ORDER_PARTIAL.get(alias, _ORDER_PARTS[alias])()
-
-
-def _order_merge(alias: str, col: str) -> Column:
-    return _ORDER_MERGE.get(alias, lambda c: F.sum(c))(col)
-
-
 def _om(parts, final, needs_month=False) -> Measure:
-    return Measure("orders", tuple((p, _ORDER_PARTS[p]) for p in parts), final, needs_month)
+    return Measure("orders", tuple((p, ORDER_PARTS[p]) for p in parts), final, needs_month)
 
 
 def _sum(col):
@@ -176,50 +143,105 @@ def _customer_dims(star: Star, attrs: set[str]) -> DataFrame:
     return out
 
 
+def _with_calendar(days: DataFrame, fact: DataFrame, day: str, need: set[str], month: str | None = None) -> DataFrame:
+    """``fact`` with the calendar attributes of its date ``day``.
+
+    The calendar is broadcast (a row a day).  Where the fact also has its ``month``, the join names it too, so a filter
+    on a calendar attribute prunes the fact's month partitions while the query runs.
+    """
+    attrs = sorted(need & CALENDAR)
+    if not attrs:
+        return fact
+    calendar = days.select(F.col("date_key").alias("_day"), F.col("month_start").alias("_month"), *attrs)
+    same = F.col(day) == F.col("_day")
+    if month:
+        same = same & (F.col(month) == F.col("_month"))
+    return fact.join(F.broadcast(calendar), same).drop("_day", "_month")
+
+
+def _with_stores(stores: DataFrame, fact: DataFrame, key: str, need: set[str]) -> DataFrame:
+    if not need & _STORE_ATTRS:
+        return fact
+    stores = stores.select(F.col("store_id").alias(key), *sorted(need & _STORE_ATTRS))
+    return fact.join(F.broadcast(stores), key, "left")  # one row per store: bounded
+
+
 def _orders_fact(star: Star, need: set[str], parts) -> DataFrame:
     margin = bool({"_contrib", "_margin"} & set(parts))  # else the order lines stay unread
     f = fact_orders_by_month(star, margin)  # month = storage partition column when present: month filters prune
-    if need & _STORE_ATTRS:
-        stores = feed_dim_store(star).select("store_id", *sorted(need & _STORE_ATTRS))
-        f = f.join(F.broadcast(stores), "store_id", "left")  # one row per store: bounded
-    return f
+    f = _with_stores(feed_dim_store(star), f, "store_id", need)
+    return _with_calendar(dim_date(star), f, "order_date", need, "month")
 
 
-def _orders_by_customer_slice(star: Star, parts: list[str], by: list[str], filters: dict) -> DataFrame:
+def _orders_by_customer_slice(star: Star, parts: list[str], by: list[str], filters: dict, levels) -> DataFrame:
     """Order parts summed per (customer, order-side slice keys), then joined to
     the customer attributes: the join sees one row per customer and slice, not
-    one per order, so a customer with a huge share of orders is not a hot key."""
+    one per order, so a customer with a huge share of orders is not a hot key.
+    Grouping sets expand these rows, and count a customer once in each."""
     need = set(by) | set(filters)
     cust = need & _CUSTOMER_ATTRS
     order_keys = sorted(need - cust)
     f = _apply_filters(_orders_fact(star, need - cust, parts),
                        {k: v for k, v in filters.items() if k not in cust})
-    pre = f.groupBy("customer_id", *order_keys).agg(*[_order_partial(a).alias(a) for a in parts])
-    joined = pre.join(_customer_dims(star, cust), "customer_id", "left")
-    joined = _apply_filters(joined, {k: v for k, v in filters.items() if k in cust})
-    return joined.groupBy(*by).agg(*[_order_merge(a, a).alias("m_" + a) for a in parts])
+    per = f.groupBy("customer_id", *order_keys).agg(*[partial(a).alias(a) for a in parts])
+    if cust:
+        per = per.join(_customer_dims(star, cust), "customer_id", "left")
+        per = _apply_filters(per, {k: v for k, v in filters.items() if k in cust})
+    if levels:
+        once = [F.max(a).alias(a) if a == "_act" else merged(a).alias(a) for a in parts]
+        per = grouped(per, by, levels, "customer_id").agg(*once, *gid(by, levels))
+    return per.groupBy(*by, *GID[:bool(levels)]).agg(*[merged(a).alias("m_" + a) for a in parts])
+
+
+def _customers_fact(src: Star | Feeds, need: set[str]) -> DataFrame:
+    if isinstance(src, Feeds):
+        f = src.frame("feed_dim_customer")
+    else:
+        attrs = (need - {"month", "zone_name"} - CALENDAR) | {"signup_date"} | (
+            {"home_store_id"} if "zone_name" in need else set())
+        f = _customer_dims(src, attrs)
+    f = f.withColumn("month", F.trunc("signup_date", "month"))
+    if need & _STORE_ATTRS:
+        stores = src.frame("feed_dim_store") if isinstance(src, Feeds) else feed_dim_store(src)
+        f = _with_stores(stores, f, "home_store_id", need)
+    return _with_calendar(_days(src), f, "signup_date", need) if need & CALENDAR else f
+
+
+def _days(src: Star | Feeds) -> DataFrame:
+    return src.frame("feed_dim_date") if isinstance(src, Feeds) else dim_date(src)
 
 
-def _customers_fact(star: Star, need: set[str]) -> DataFrame:
-    attrs = (need - {"month", "zone_name"}) | {"signup_date"} | ({"home_store_id"} if "zone_name" in need else set())
-    f = _customer_dims(star, attrs).withColumn("month", F.trunc("signup_date", "month"))
-    if "zone_name" in need:
-        stores = feed_dim_store(star).select(F.col("store_id").alias("home_store_id"), "zone_name")
-        f = f.join(F.broadcast(stores), "home_store_id", "left")
-    return f
+def _funnel_fact(src: Star | Feeds, need: set[str]) -> DataFrame:
+    if not isinstance(src, Feeds) and need & (CALENDAR - _OF_MONTH):  # by day: the monthly feed is too coarse
+        sessions = session_funnel(src).withColumn("session_date", F.col("session_start").cast("date"))
+        f = funnel_monthly(sessions, src.customer, ("session_month", "session_date"))
+        return _with_calendar(_days(src), f.withColumnRenamed("session_month", "month"), "session_date", need, "month")
+    f = src.frame("feed_funnel_monthly") if isinstance(src, Feeds) else feed_funnel_monthly(src)
+    return _by_month(src, f.withColumnRenamed("session_month", "month"), need)
 
 
-def _fact(star: Star, fact: str, need: set[str], parts) -> DataFrame:
+def _by_month(src: Star | Feeds, fact: DataFrame, need: set[str]) -> DataFrame:
+    """A fact by month, whose date key is the first day of the month."""
+    return _with_calendar(_days(src), fact, "month", need) if need & CALENDAR else fact
+
+
+def _fact(src: Star | Feeds, fact: str, need: set[str], parts) -> DataFrame:
+    if fact == "orders" and isinstance(src, Feeds):
+        f = src.frame("feed_order_month")
+        if need & _STORE_ATTRS:
+            f = _with_stores(src.frame("feed_dim_store"), f, "store_id", need)
+        return _by_month(src, f, need)
     if fact == "orders":
-        return _orders_fact(star, need, parts)
+        return _orders_fact(src, need, parts)
     if fact == "customers":
-        return _customers_fact(star, need)
+        return _customers_fact(src, need)
     if fact == "funnel":
-        return feed_funnel_monthly(star).withColumnRenamed("session_month", "month")
+        return _funnel_fact(src, need)
     if fact == "marketing":
-        return (feed_marketing(star).withColumnRenamed("month_start", "month")
-                .withColumnRenamed("channel", "acquisition_channel"))
-    return cohort_grid(star)
+        f = src.frame("feed_marketing") if isinstance(src, Feeds) else feed_marketing(src)
+        return _by_month(src, f.withColumnRenamed("month_start", "month")
+                         .withColumnRenamed("channel", "acquisition_channel"), need)
+    return src.cohorts() if isinstance(src, Feeds) else cohort_grid(src)
 
 
 def _apply_filters(df: DataFrame, filters: dict) -> DataFrame:
@@ -234,48 +256,56 @@ def _apply_filters(df: DataFrame, filters: dict) -> DataFrame:
     return df
 
 
-def _grouped(star: Star, fact: str, parts: dict, by: list[str], filters: dict) -> DataFrame:
-    """The parts (as ``m_`` + alias) per slice."""
+def _grouped(src: Star | Feeds, fact: str, parts: dict, by: list[str], filters: dict, levels=None) -> DataFrame:
+    """The parts (as ``m_`` + alias) per slice; with ``levels`` per slice of every grouping set, named by ``gid``."""
     need = set(by) | set(filters)
     # orders sliced by a customer attribute are pre-aggregated per customer, not joined row by row
-    if fact == "orders" and need & _CUSTOMER_ATTRS:
-        return _orders_by_customer_slice(star, list(parts), by, filters)
-    f = _apply_filters(_fact(star, fact, need, parts), filters)
-    if fact == "cohort":
-        per = (f.groupBy(*sorted(set(by) | {"cohort_month"}))
-               .agg(F.max("cohort_size").alias("_sz"), F.sum("active_customers").alias("_ac")))
-        return per.groupBy(*by).agg(F.sum("_sz").alias("m__size"), F.sum("_ac").alias("m__actv"))
-    return f.groupBy(*by).agg(*[fn().alias("m_" + a) for a, fn in parts.items()])
+    if fact == "orders" and not isinstance(src, Feeds) and (levels or need & _CUSTOMER_ATTRS):
+        return _orders_by_customer_slice(src, list(parts), by, filters, levels)
+    f = _apply_filters(_fact(src, fact, need, parts), filters)
+    if fact == "orders" and isinstance(src, Feeds):
+        return sums_of_feed(f, list(parts), by, levels)
+    if fact == "cohort":  # the size of a cohort counts once, whatever offsets a slice unites
+        per = grouped(f.withColumn("_cohort", F.col("cohort_month")), by, levels, "_cohort").agg(
+            F.max("cohort_size").alias("_sz"), F.sum("active_customers").alias("_ac"), *gid(by, levels))
+        return per.groupBy(*by, *GID[:bool(levels)]).agg(F.sum("_sz").alias("m__size"), F.sum("_ac").alias("m__actv"))
+    return grouped(f, by, levels).agg(*[fn().alias("m_" + a) for a, fn in parts.items()], *gid(by, levels))
 
 
 def _month_before(day: _dt.date) -> _dt.date:
     return (day.replace(day=1) - _dt.timedelta(days=1)).replace(day=1)
 
 
-def _previous_months(cond):
-    """The filter on months that admits the month before every month that ``cond`` admits."""
+def _each(cond, change):
+    """``cond`` with ``change`` applied to every day it names."""
     if isinstance(cond, tuple):
-        return _month_before(cond[0]), _month_before(cond[1])
+        return tuple(change(c) for c in cond)
     if isinstance(cond, (list, set, frozenset)):
-        return [_month_before(c) for c in cond]
-    return _month_before(cond)
+        return sorted({change(c) for c in cond})
+    return change(cond)
 
 
-def _with_previous(star: Star, fact: str, g: DataFrame, parts: dict, by: list[str], filters: dict) -> DataFrame:
+def _with_previous(src: Star | Feeds, fact: str, g: DataFrame, parts: dict, by: list[str], filters: dict) -> DataFrame:
     """``g`` with each part of the previous month as ``..._pm``.
 
     By month: each slice's own previous month, read from outside the month filter where it lies there.  Without month
-    in ``by``: the month before the first one that the filter admits (NULL without a month filter).
+    in ``by``: the month before the first one that the filter admits (NULL without a filter that names months).  The
+    previous month is a whole one: filters on days and calendar attributes do not hold for it, but a filter on days
+    tells the months as one on months does.
     """
+    if set(by) & ({"order_date"} | CALENDAR):
+        raise ValueError("measures of the previous month cannot be split by days or calendar attributes")
     pm = [F.col("m_" + a).alias("m_" + a + "_pm") for a in parts]
+    rest = {k: v for k, v in filters.items() if k not in {"month", "order_date"} | CALENDAR}
+    months = filters.get("month", _each(filters["order_date"], lambda d: d.replace(day=1)) if "order_date" in filters
+                         else None)
     if "month" in by:
-        earlier = filters | ({"month": _previous_months(filters["month"])} if "month" in filters else {})
-        prev = _grouped(star, fact, parts, by, earlier).select(
+        earlier = rest | ({} if months is None else {"month": _each(months, _month_before)})
+        prev = _grouped(src, fact, parts, by, earlier).select(
             *[(F.add_months("month", 1) if c == "month" else F.col(c)).alias("p_" + c) for c in by], *pm)
-    elif "month" in filters:
-        cond = filters["month"]
-        first = cond[0] if isinstance(cond, tuple) else min(cond) if isinstance(cond, (list, set, frozenset)) else cond
-        prev = _grouped(star, fact, parts, by, filters | {"month": _month_before(first)}).select(
+    elif months is not None:
+        first = months if isinstance(months, _dt.date) else min(months)
+        prev = _grouped(src, fact, parts, by, rest | {"month": _month_before(first)}).select(
             *[F.col(c).alias("p_" + c) for c in by], *pm)
     else:
         return g.select("*", *[F.lit(None).cast(g.schema["m_" + a].dataType).alias("m_" + a + "_pm") for a in parts])
@@ -286,31 +316,43 @@ def _with_previous(star: Star, fact: str, g: DataFrame, parts: dict, by: list[st
     return g.join(prev, same, "left").drop(*["p_" + c for c in by])
 
 
-def _fact_result(star: Star, fact: str, names: list[str], by: list[str], filters: dict) -> DataFrame:
-    bad = (set(by) | set(filters)) - FACT_ATTRS[fact]
+def _fact_result(src: Star | Feeds, fact: str, names: list[str], by: list[str], filters: dict, levels) -> DataFrame:
+    bad = (set(by) | set(filters)) - (FEED_ATTRS if isinstance(src, Feeds) else FACT_ATTRS)[fact]
     if bad:
         raise ValueError(f"measures {names} ({fact}) cannot be sliced by {sorted(bad)}")
     parts = {alias: fn for n in names for alias, fn in MEASURES[n].parts}
-    g = _grouped(star, fact, parts, by, filters)
+    g = _grouped(src, fact, parts, by, filters, levels)
     if any(MEASURES[n].needs_month for n in names):
-        g = _with_previous(star, fact, g, parts, by, filters)
-    return g.select(*by, *[MEASURES[n].final("m_").alias(n) for n in names])
+        if levels:
+            raise ValueError("measures of the previous month have no totals")
+        g = _with_previous(src, fact, g, parts, by, filters)
+    return g.select(*by, *GID[:bool(levels)], *[MEASURES[n].final("m_").alias(n) for n in names])
+
 
+def measure_query(src: Star | Feeds, measures: list[str], by: list[str] | None = None,
+                  filters: dict | None = None, totals: bool | list[tuple[str, ...]] = False) -> DataFrame:
+    """One row a slice; from the star's facts, or from the written feeds alone.
 
-def measure_query(star: Star, measures: list[str], by: list[str] | None = None,
-                  filters: dict | None = None) -> DataFrame:
+    ``totals`` adds the rows, columns and grand totals of a matrix (all subsets of ``by``, or the listed ones), every
+    measure computed anew for each: NULL in a totalled column, and 1 in its ``<column>_total``.  A total of a fact
+    without rows is NULL.
+    """
     by, filters = list(by or []), dict(filters or {})
     unknown = [m for m in measures if m not in MEASURES]
     if unknown:
         raise KeyError(f"unknown measures {unknown}")
+    levels = [c for n in range(len(by), -1, -1) for c in combinations(by, n)] if totals is True else totals or None
     facts: dict[str, list[str]] = {}
     for m in measures:
         facts.setdefault(MEASURES[m].fact, []).append(m)
-    results = [_fact_result(star, fact, names, by, filters) for fact, names in facts.items()]
-    if len(results) == 1:
-        return results[0].select(*by, *measures)
-    merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), results)
-    return merged.groupBy(*by).agg(*[F.max(m).alias(m) for m in measures]).select(*by, *measures)
+    results = [_fact_result(src, fact, names, by, filters, levels) for fact, names in facts.items()]
+    keys = by + GID[:bool(levels)]
+    united = results[0]
+    if len(results) > 1:
+        united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), results)
+        united = united.groupBy(*keys).agg(*[F.max(m).alias(m) for m in measures])
+    flags = [F.getbit("gid", F.lit(k)).cast("int").alias(f"{c}_total") for k, c in enumerate(by)] if levels else []
+    return united.select(*by, *flags, *measures)
 
 
 # ---- page datasets (registered queries) ------------------------------------
@@ -402,7 +444,81 @@ def kpi_card_stress_month(star: Star) -> DataFrame:
     return measure_query(star, ["gmv", "gmv_pm", "gmv_mom_pct"], filters={"month": star.params.stress_start})
 
 
+def orders_by_weekday(star: Star) -> DataFrame:
+    """Three facts by the weekday of their own date: order, signup and session start."""
+    return measure_query(star, ["delivered_orders", "gmv", "active_customers", "on_time_pct", "new_customers",
+                                "sessions", "session_conversion_pct"], by=["day_of_week", "day_name"])
+
+
+def weekend_by_zone_since_stress(star: Star) -> DataFrame:
+    p = star.params
+    return measure_query(star, ["delivered_orders", "active_customers", "aov", "late_5plus_pct"],
+                         by=["zone_name", "is_weekend"], filters={"month": (p.stress_start, p.as_of)})
+
+
+def weekly_kpis_of_stress_year(star: Star) -> DataFrame:
+    """A year slicer on the calendar: the months of other years are pruned while the query runs."""
+    return measure_query(star, ["gmv", "delivered_orders", "active_customers", "orders_per_active", "sessions"],
+                         by=["week_start"], filters={"year": star.params.stress_start.year})
+
+
+def kpi_card_stress_days(star: Star) -> DataFrame:
+    """KPI cards under a slicer of days: the previous month is the whole month before the first day."""
+    first = star.params.stress_start
+    return measure_query(star, ["gmv", "gmv_pm", "active_customers_pm"],
+                         filters={"order_date": (first, first + _dt.timedelta(days=13))})
+
+
+def zone_month_matrix(star: Star) -> DataFrame:
+    """Zone x month with row, column and grand totals."""
+    return measure_query(star, ["on_time_pct", "avg_rating", "active_customers", "orders_per_active", "gmv"],
+                         by=["zone_name", "month"], totals=True)
+
+
+def retention_matrix_totals(star: Star) -> DataFrame:
+    """Cohort x offset with the totals of cohorts, of offsets and of all."""
+    return measure_query(star, _RET, by=["cohort_month", "month_offset"], totals=True)
+
+
+def channel_month_totals(star: Star) -> DataFrame:
+    """Measures of three facts by channel and month, with totals."""
+    return measure_query(star, ["active_customers", "aov", "contribution_per_order", "new_customers", "cac"],
+                         by=["acquisition_channel", "month"], totals=True)
+
+
+_FEED_KPIS = ["active_customers", "orders_per_active", "gmv", "contribution_per_order", "item_margin_pct", "on_time_pct"]
+
+
+def feed_kpis_by_month(star: Star) -> DataFrame:
+    """From the written order feed alone: distinct customers of a month are the united bitmaps of its rows."""
+    return measure_query(persisted_feeds(star, "feed_order_month"), _FEED_KPIS + ["active_customers_pm", "gmv_mom_pct"],
+                         by=["month"])
+
+
+def feed_kpis_by_zone_channel(star: Star) -> DataFrame:
+    p = star.params
+    return measure_query(persisted_feeds(star, "feed_order_month", "feed_dim_store"), _FEED_KPIS,
+                         by=["zone_name", "acquisition_channel"], filters={"month": (p.stress_start, p.as_of)}, totals=True)
+
+
+def feed_measure_totals(star: Star) -> DataFrame:
+    """``measure_totals`` from the written feeds: no fact of the star is read."""
+    feeds = persisted_feeds(star, "feed_order_month", "feed_dim_customer", "feed_funnel_monthly", "feed_marketing",
+                            "feed_cohort_retention")
+    return measure_query(feeds, _CORE + ["new_customers"] + _OPS + _FUNNEL + _ACQ + _RET)
+
+
 PAGE_QUERIES = {
+    "orders_by_weekday": orders_by_weekday,
+    "weekend_by_zone_since_stress": weekend_by_zone_since_stress,
+    "weekly_kpis_of_stress_year": weekly_kpis_of_stress_year,
+    "kpi_card_stress_days": kpi_card_stress_days,
+    "zone_month_matrix": zone_month_matrix,
+    "retention_matrix_totals": retention_matrix_totals,
+    "channel_month_totals": channel_month_totals,
+    "feed_kpis_by_month": feed_kpis_by_month,
+    "feed_kpis_by_zone_channel": feed_kpis_by_zone_channel,
+    "feed_measure_totals": feed_measure_totals,
     "items_missing_by_zone_since_stress": items_missing_by_zone_since_stress,
     "funnel_stages_by_platform": funnel_stages_by_platform,
     "kpis_by_month_since_stress": kpis_by_month_since_stress,

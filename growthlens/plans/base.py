@@ -31,7 +31,8 @@ def flag(cond) -> F.Column:
 
 
 def dim_date(star: Star) -> DataFrame:
-    return star.memo("dim_date", lambda: _dim_date(star.orders))
+    return star.memo("dim_date", lambda: _dim_date([
+        (star.orders, "order_ts"), (star.customer, "signup_ts"), (star.events, "event_ts"), (star.spend, "month_start")]))
 
 
 def orders_as_of(star: Star) -> DataFrame:

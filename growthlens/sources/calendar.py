@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def dim_date(orders: DataFrame) -> DataFrame:
-    """Calendar of the whole months from the first to the last order (none without orders).
+def dim_date(days: list[tuple[DataFrame, str]]) -> DataFrame:
+    """Calendar over the (table, date or time column) pairs ``days``: whole months, from the month before the first
+    day of any table to the month after the last one (none where no table has a day).
 
-    The span is one aggregated row; its days are one ``sequence`` exploded.
+    The span is one aggregated row a table; its days are one ``sequence`` exploded.
     """
     d = F.col("date_key")
     dow = F.weekday(d)  # 0 = Monday
-    span = orders.agg(F.trunc(F.min("order_ts").cast("date"), "month").alias("first"),
-                      F.last_day(F.max("order_ts").cast("date")).alias("last"))
+    ends = reduce(DataFrame.unionByName, [
+        df.agg(F.min(c).cast("date").alias("first"), F.max(c).cast("date").alias("last")) for df, c in days])
+    span = ends.agg(F.trunc(F.add_months(F.min("first"), -1), "month").alias("first"),
+                    F.last_day(F.add_months(F.max("last"), 1)).alias("last"))
     return (
         span.select(F.explode(F.sequence("first", "last", F.expr("INTERVAL 1 DAY"))).alias("date_key"))
         .select(

@@ -173,10 +173,10 @@ st_spend AS (
            AS spend_inr
   FROM st_customer GROUP BY 1, 2),
 st_dates AS (
-  SELECT CAST(unnest(generate_series(date_trunc('month', MIN(order_ts)),
-                                     CAST(last_day(CAST(MAX(order_ts) AS DATE)) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE)
-         AS date_key
-  FROM st_orders),
+  SELECT CAST(unnest(range(date_trunc('month', min(t)) - INTERVAL 1 MONTH, date_trunc('month', max(t)) + INTERVAL 2 MONTH,
+                           INTERVAL 1 DAY)) AS DATE) AS date_key
+  FROM (SELECT order_ts AS t FROM st_orders UNION ALL SELECT signup_ts FROM st_customer
+        UNION ALL SELECT event_ts FROM st_events UNION ALL SELECT CAST(month_start AS TIMESTAMP) FROM st_spend)),
 dim_date AS (
   SELECT date_key, year(date_key) AS year, month(date_key) AS month, {month('date_key')} AS month_start,
          monthname(date_key) AS month_name, strftime(date_key, '%Y-%m') AS year_month, day(date_key) AS day,
