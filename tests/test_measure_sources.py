@@ -53,7 +53,7 @@ def plan(df, kind="executedPlan"):
 
 @pytest.mark.parametrize("by,filters,totals", [
     ([], {}, False), (["month"], {}, False), (["zone_name"], YEAR, True), (["acquisition_channel", "platform"], {}, True),
-    (["month", "acquisition_channel"], YEAR | {"zone_name": ["Zone 1", "FRANCE", "GERMANY", "BRAZIL"]}, False),
+    (["month", "acquisition_channel"], YEAR | {"zone_name": ["NATION_1", "NATION_9", "NATION_15", "NATION_17"]}, False),
     (["year"], {"month_name": ["January", "May"]}, False), (["store_id"], {"acquisition_channel": "referral"}, False),
     (["capacity_profile"], {"month": D(1890, 1, 1)}, False), ([], {"month": D(1890, 1, 1)}, False)])
 def test_order_measures_from_the_feed_equal_those_from_the_orders(star, feeds, by, filters, totals):
@@ -165,12 +165,16 @@ def test_a_calendar_filter_prunes_the_months_of_the_orders(star):
 
 @pytest.mark.parametrize("by", [[], ["zone_name"]])
 def test_the_previous_month_is_whole_under_filters_on_days(star, by):
-    names = ["gmv_pm", "active_customers_pm"]
-    by_month = rows(measure_query(star, names, by, {"month": D(2000, 2, 1)}))
+    def found(filters):
+        return {tuple(r[c] for c in by): (r.gmv_pm, r.active_customers_pm) for r in measure_query(
+            star, ["delivered_orders", "gmv_pm", "active_customers_pm"], by, filters).collect()}
+
+    want = found({"month": D(2000, 2, 1)})
     for days in ((D(2000, 2, 1), D(2000, 2, 29)), (D(2000, 2, 3), D(2000, 2, 9)), D(2000, 2, 10), [D(2000, 2, 10)]):
-        assert rows(measure_query(star, names, by, {"order_date": days}).where("gmv_pm is not null")) == [
-            r for r in by_month if "gmv_pm=None" not in r] or by
-    assert rows(measure_query(star, names, by, {"month": D(2000, 2, 1), "is_weekend": 0})) == by_month
+        got = found({"order_date": days})
+        assert got and all(want[k] == v for k, v in got.items()), days
+    got = found({"month": D(2000, 2, 1), "is_weekend": 0})
+    assert got and all(want[k] == v for k, v in got.items())
 
 
 def test_the_previous_month_by_month_under_filters_on_days(star):
