@@ -167,13 +167,17 @@ _PARTITION = {"feed_funnel_monthly": "session_month", "feed_store_month_ops": "o
 _RANGED = {"feed_fact_orders": ("order_month", "order_id"), "feed_order_month": ("month", "customer_bucket")}
 
 
+def feed_partition(name: str) -> str | None:
+    """The month column a feed is written by, if any."""
+    return _RANGED[name][0] if name in _RANGED else _PARTITION.get(name)
+
+
 def write_feed(name: str, df: DataFrame, target: str, mode: str = "static") -> None:
     """``mode``: static replaces the whole feed, dynamic only the months that ``df`` has."""
-    month = _PARTITION.get(name)
+    month = feed_partition(name)
     if name == "feed_fact_orders":
         df = df.withColumn("order_month", F.trunc("order_date", "month"))
     if name in _RANGED:
-        month = _RANGED[name][0]
         df = month_ranged(df, *_RANGED[name])
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", mode)
     (writer.partitionBy(month) if month else writer).parquet(target)

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,6 +67,10 @@ TABLE_NAMES = {
     "spend": "fact_marketing_spend",
 }
 
+# Written beside the tables by ``write_star``.
+COUNTS_TABLE = "load_row_counts"
+_COUNTS = _schema(("table_name", S, False), ("rows_loaded", L, False))
+
 
 @dataclass
 class Star:
@@ -81,6 +86,8 @@ class Star:
     params: Params = DEFAULTS
     # items and events with their storage month, where they were read from month-partitioned files
     by_month: dict = field(default_factory=dict, repr=False)
+    # (table_name, rows_loaded) as observed by the load, where the star was read from a written one
+    loaded: DataFrame | None = field(default=None, repr=False)
     _cache: dict = field(default_factory=dict, repr=False)
 
     @property
@@ -125,7 +132,17 @@ def read_star(spark: SparkSession, path: str, fmt: str = "csv", params: Params =
                 by_month[key] = df.select(*cols, F.col(MONTH_KEYS[key][0]).cast("date"))
             df = df.select(cols)
         out[key] = df
-    return Star(params=params, by_month=by_month, **out)
+    loaded = _observed_counts(spark, path) if fmt == "parquet" else None
+    return Star(params=params, by_month=by_month, loaded=loaded, **out)
+
+
+def _observed_counts(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(_COUNTS).parquet(f"{path}/{COUNTS_TABLE}")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":  # written by something else
+            return None
+        raise
 
 
 def month_ranged(df: DataFrame, month: str, key: str) -> DataFrame:
@@ -136,31 +153,58 @@ def month_ranged(df: DataFrame, month: str, key: str) -> DataFrame:
     return df.repartitionByRange(parts, month, key)
 
 
+def with_months(star: Star) -> dict[str, DataFrame]:
+    """The tables of the star; facts of MONTH_KEYS with the month they are stored under.
+
+    A line lies in its order's month (the greatest one, if the order id occurs in several), a line without an order in
+    the NULL partition.
+    """
+    tables = dict(star.tables())
+    for key, ts in (("orders", "order_ts"), ("events", "event_ts")):
+        tables[key] = tables[key].withColumn(MONTH_KEYS[key][0], F.trunc(F.col(ts).cast("date"), "month"))
+    months = tables["orders"].groupBy("order_id").agg(F.max("order_month").alias("order_month"))
+    tables["items"] = tables["items"].join(months, "order_id", "left")
+    return tables
+
+
+def table_path(path: str, key: str) -> str:
+    return f"{path}/{FILE_NAMES[key].rsplit('.', 1)[0]}"
+
+
+def write_table(key: str, df: DataFrame, path: str, mode: str = "static") -> int:
+    """Write a table of ``with_months`` and return its rows, observed by the write itself.
+
+    ``mode``: static replaces the table, dynamic only the months that ``df`` has.
+    """
+    month = MONTH_KEYS[key][0] if key in MONTH_KEYS else None
+    seen = Observation(key)
+    df = (month_ranged(df, *MONTH_KEYS[key]) if month else df).observe(seen, F.count(F.lit(1)).alias("rows"))
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", mode)
+    (writer.partitionBy(month) if month else writer).parquet(table_path(path, key))
+    return seen.get["rows"]
+
+
+def write_counts(spark: SparkSession, counts: dict[str, int], path: str) -> None:
+    rows = [(TABLE_NAMES[k], n) for k, n in counts.items()]
+    spark.createDataFrame(rows, _COUNTS).coalesce(1).write.mode("overwrite").parquet(f"{path}/{COUNTS_TABLE}")
+
+
 def write_star(star: Star, path: str) -> None:
-    """Persist the star as parquet (full replace, idempotent).
+    """Persist the star as parquet (full replace, idempotent), with the row counts of the load.
 
     ``orders``, ``items`` (by their order's month) and ``events`` are partitioned by month, so date
     filters prune directories.  They are range-partitioned on (month, id) first: every task writes a
     contiguous run of months (few files per month directory), and a month
     larger than one task is split over several tasks instead of one.
     """
-    months = star.orders.select("order_id", F.trunc(F.col("order_ts").cast("date"), "month").alias("order_month"))
-    for key, df in star.tables().items():
-        stem = FILE_NAMES[key].rsplit(".", 1)[0]
-        if key in MONTH_KEYS:
-            column, clustered = MONTH_KEYS[key]
-            if key == "items":  # a line lies in its order's month; lines without an order in the NULL partition
-                df = df.join(months.dropDuplicates(["order_id"]), "order_id", "left")
-            else:
-                df = df.withColumn(column, F.trunc(F.col("order_ts" if key == "orders" else "event_ts").cast("date"), "month"))
-            w = month_ranged(df, column, clustered)
-            w.write.mode("overwrite").partitionBy(column).parquet(f"{path}/{stem}")
-            continue
-        df.write.mode("overwrite").parquet(f"{path}/{stem}")
+    counts = {key: write_table(key, df, path) for key, df in with_months(star).items()}
+    write_counts(star.spark, counts, path)
 
 
 def load_row_counts(star: Star) -> DataFrame:
-    """(table_name, rows_loaded) for the seven tables, one scan each."""
+    """(table_name, rows_loaded) for the seven tables: as the load observed them, else one scan each."""
+    if star.loaded is not None:
+        return star.loaded
     parts = [
         df.agg(F.count(F.lit(1)).alias("rows_loaded"))
         .select(F.lit(TABLE_NAMES[k]).alias("table_name"), "rows_loaded")
