@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import seconds_between, ts_lit
 from ..functions.ratios import pct, round_ratio
-from ..plans.base import cohort_activity, customer_first, orders_delivered, session_funnel
+from ..plans.base import cohort_activity, customer_first, customer_spine, orders_delivered, session_funnel
 from ..sources.star import Star
 
 
@@ -43,7 +43,7 @@ def heart_monthly(star: Star) -> DataFrame:
                 .select("month", pct("_act", "_n").alias("activation_pct")))
     m1 = (cohort_activity(star).filter(F.col("month_offset") == 1)
           .groupBy("cohort_month").agg(F.count(F.lit(1)).alias("_m1")))
-    retention = (cf.groupBy("cohort_month").agg(F.count(F.lit(1)).alias("_n"))
+    retention = (customer_spine(star).groupBy("cohort_month").agg(F.count(F.lit(1)).alias("_n"))
                  .join(m1, "cohort_month", "left")
                  .select(F.add_months("cohort_month", 1).alias("month"),
                          pct(F.coalesce(F.col("_m1"), F.lit(0)), "_n").alias("m1_retention_pct")))

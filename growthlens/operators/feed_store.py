@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +36,11 @@ class Feeds:
         return grid_of_cohorts(self.frame("feed_dim_customer"), self.frame("feed_cohort_retention"), self.params)
 
 
+def with_history(star: Star, feeds: Feeds) -> Star:
+    """The star with the kept history of its customers, so that retention reads that in place of the orders."""
+    return replace(star, history=feeds.frame("feed_customer_months"), _cache={})
+
+
 def persisted_feeds(star: Star, *names: str) -> Feeds:
     """The named feeds of ``star``, written to the shared checkpoint folder and opened from there."""
     def build():

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import months_between_boundaries
-from ..plans.base import (cohort_activity, customer_first, dim_date, flag, item_margin_by_order,
-                          order_margin, order_month_col, orders_as_of, session_funnel, stressed)
+from ..plans.base import (cohort_activity, customer_first, customer_spine, dim_date, flag, item_margin_by_order,
+                          order_margin, orders_delivered, order_month_col, orders_as_of, session_funnel, stressed)
 from ..config import Params
+from ..plans.history import month_bits
 from ..sources.star import Star, month_ranged
 from .health import customer_health, product_health
 from .marketplace import store_month_ops
@@ -103,7 +104,7 @@ def feed_funnel_monthly(star: Star) -> DataFrame:
 
 def feed_cohort_retention(star: Star) -> DataFrame:
     def build():
-        size = customer_first(star).groupBy("cohort_month").agg(F.count(F.lit(1)).alias("cohort_size"))
+        size = customer_spine(star).groupBy("cohort_month").agg(F.count(F.lit(1)).alias("cohort_size"))
         act = (cohort_activity(star).groupBy("cohort_month", "month_offset")
                .agg(F.count(F.lit(1)).alias("active_customers")))  # one row per customer and offset
         return act.join(size, "cohort_month").select("cohort_month", "month_offset", "cohort_size",
@@ -113,7 +114,7 @@ def feed_cohort_retention(star: Star) -> DataFrame:
 
 def cohort_grid(star: Star) -> DataFrame:
     """Every observable cohort x offset cell with its size and actives (0 where nobody was active)."""
-    return star.memo("cohort_grid", lambda: grid_of_cohorts(customer_first(star), feed_cohort_retention(star), star.params))
+    return star.memo("cohort_grid", lambda: grid_of_cohorts(customer_spine(star), feed_cohort_retention(star), star.params))
 
 
 def grid_of_cohorts(customers: DataFrame, retention: DataFrame, params: Params) -> DataFrame:
@@ -130,7 +131,12 @@ def grid_of_cohorts(customers: DataFrame, retention: DataFrame, params: Params)
 def feed_order_month(star: Star) -> DataFrame:
     """Parts of the order measures by month, store, channel and platform, with bitmaps of the active customers."""
     return star.memo("feed_order_month", lambda: month_feed(
-        fact_orders_by_month(star), customer_first(star).select("customer_id", "acquisition_channel", "platform")))
+        fact_orders_by_month(star), customer_spine(star).select("customer_id", "acquisition_channel", "platform")))
+
+
+def feed_customer_months(star: Star) -> DataFrame:
+    """The active months of every customer as bit sets."""
+    return star.memo("feed_customer_months", lambda: month_bits(orders_delivered(star)))
 
 
 def feed_store_month_ops(star: Star) -> DataFrame:
@@ -158,6 +164,7 @@ FEEDS = {
     "feed_store_month_ops": feed_store_month_ops,
     "feed_marketing": feed_marketing,
     "feed_order_month": feed_order_month,
+    "feed_customer_months": feed_customer_months,
 }
 
 # Partition column per feed when written (month-grain facts prune by month).

@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 from ..functions.ratios import pct, round_ratio
 from ..plans.base import customer_first, dim_date, session_funnel
 from ..sources.star import Star
-from .feed_store import Feeds, persisted_feeds
+from .feed_store import Feeds, persisted_feeds, with_history
 from .feeds import (cohort_grid, fact_orders_by_month, feed_dim_store, feed_funnel_monthly, feed_marketing,
                     funnel_monthly)
 from .health import customer_health
 from .order_parts import GID, ORDER_PARTS, gid, grouped, merged, partial, sums_of_feed
+from .retention import retention_triangle
 from .rfm import customer_rfm
 
 # attributes of a day from dim_date, joined on the date key of each fact; the first three are those of its month too
@@ -508,7 +509,18 @@ def feed_measure_totals(star: Star) -> DataFrame:
     return measure_query(feeds, _CORE + ["new_customers"] + _OPS + _FUNNEL + _ACQ + _RET)
 
 
+def history_retention_triangle(star: Star) -> DataFrame:
+    """``retention_triangle`` from the kept bit sets of customers: no order is read."""
+    return retention_triangle(with_history(star, persisted_feeds(star, "feed_customer_months")))
+
+
+def history_retention_curve(star: Star) -> DataFrame:
+    return retention_curve(with_history(star, persisted_feeds(star, "feed_customer_months")))
+
+
 PAGE_QUERIES = {
+    "history_retention_triangle": history_retention_triangle,
+    "history_retention_curve": history_retention_curve,
     "orders_by_weekday": orders_by_weekday,
     "weekend_by_zone_since_stress": weekend_by_zone_since_stress,
     "weekly_kpis_of_stress_year": weekly_kpis_of_stress_year,

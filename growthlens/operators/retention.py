@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import months_between_boundaries
 from ..functions.ratios import pct
-from ..plans.base import cohort_activity, customer_first, orders_delivered
+from ..plans.base import cohort_activity, customer_spine, orders_delivered
 from ..sources.star import Star
 
 
 def cohort_sizes(star: Star) -> DataFrame:
-    return customer_first(star).groupBy("cohort_month").agg(F.count(F.lit(1)).alias("cohort_size"))
+    return customer_spine(star).groupBy("cohort_month").agg(F.count(F.lit(1)).alias("cohort_size"))
 
 
 def _cohort_cells(star: Star, offsets: list[int]) -> DataFrame:
@@ -57,7 +57,7 @@ def _m1_flags(star: Star) -> DataFrame:
 
 
 def m1_by_channel(star: Star) -> DataFrame:
-    cf = (customer_first(star).filter(F.col("cohort_month") <= F.lit(star.params.last_full_m1_cohort))
+    cf = (customer_spine(star).filter(F.col("cohort_month") <= F.lit(star.params.last_full_m1_cohort))
           .select("customer_id", "acquisition_channel"))
     return (cf.join(_m1_flags(star), "customer_id", "left")
             .groupBy("acquisition_channel")
@@ -79,7 +79,7 @@ def buyer_type(star: Star) -> F.Column:
 
 def m1_by_buyer_type(star: Star) -> DataFrame:
     p = star.params
-    cf = (customer_first(star).filter(F.col("cohort_month") <= F.lit(p.last_full_m1_cohort))
+    cf = (customer_spine(star).filter(F.col("cohort_month") <= F.lit(p.last_full_m1_cohort))
           .select("customer_id", "cohort_month"))
     group = F.when(F.col("cohort_month") == F.lit(p.promo_cohort), "may_2026").otherwise("other_cohorts")
     return (cf.join(discount_profile(star), "customer_id")

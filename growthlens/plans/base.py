@@ -24,6 +24,7 @@ from ..functions.dates import (hours_between_boundaries, month_start, months_bet
                                seconds_between, ts_lit)
 from ..sources.calendar import dim_date as _dim_date
 from ..sources.star import Star
+from .history import active_months
 
 
 def flag(cond) -> F.Column:
@@ -125,16 +126,21 @@ def orders_delivered_flagged(star: Star) -> DataFrame:
             .withColumn("is_first_order", F.coalesce(F.col("is_first_order"), F.lit(0))))
 
 
+def customer_spine(star: Star) -> DataFrame:
+    """The customers who signed up by the as-of day, with their cohort month: all that cohort sizes need."""
+    return star.memo("customer_spine", lambda: star.customer.filter(F.col("signup_ts") < ts_lit(star.params.as_of_end))
+                     .withColumn("cohort_month", month_start("signup_ts")))
+
+
 def _customer_first(star: Star) -> DataFrame:
     p = star.params
     f = first_orders(star)
-    c = star.customer.filter(F.col("signup_ts") < ts_lit(p.as_of_end))
+    c = customer_spine(star)
     fo, su = F.col("first_order_ts"), F.col("signup_ts")
     return (c.join(f, "customer_id", "left")
             .select("customer_id", "signup_ts",
                     su.cast("date").alias("signup_date"),
-                    month_start("signup_ts").alias("cohort_month"),
-                    "acquisition_channel", "platform", "home_store_id",
+                    "cohort_month", "acquisition_channel", "platform", "home_store_id",
                     "first_order_ts", "first_store_id",
                     (hours_between_boundaries(su, fo).cast("double") / F.lit(24.0)).alias("days_to_first_order"),
                     flag(fo.isNotNull() & (seconds_between(su, fo) <= p.activation_days * 86400)).alias("activated_7d"),
@@ -198,9 +204,10 @@ def session_funnel(star: Star) -> DataFrame:
 
 
 def _cohort_activity(star: Star) -> DataFrame:
-    months = orders_delivered(star).select("customer_id", "order_month").distinct()
-    cf = customer_first(star).select("customer_id", "cohort_month", "acquisition_channel")
-    return (months.join(cf, "customer_id")
+    months = (orders_delivered(star).select("customer_id", "order_month").distinct() if star.history is None
+              else active_months(star.history))
+    spine = customer_spine(star).select("customer_id", "cohort_month", "acquisition_channel")
+    return (months.join(spine, "customer_id")
             .select("customer_id", "cohort_month", "acquisition_channel",
                     months_between_boundaries("cohort_month", "order_month").alias("month_offset")))
 

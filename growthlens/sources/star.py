@@ -88,6 +88,8 @@ class Star:
     by_month: dict = field(default_factory=dict, repr=False)
     # (table_name, rows_loaded) as observed by the load, where the star was read from a written one
     loaded: DataFrame | None = field(default=None, repr=False)
+    # months with an order per customer as bit sets (``plans.history``), where they are kept: retention reads them alone
+    history: DataFrame | None = field(default=None, repr=False)
     _cache: dict = field(default_factory=dict, repr=False)
 
     @property
