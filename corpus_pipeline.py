@@ -16,11 +16,15 @@ from growthlens.llm.common import materialise, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of no language, whatever the score of the others: short and mixed texts may be clean."""
+    """Drops documents of no language, whatever the score of the others: short and mixed texts may be clean.
+
+    Documents without ``lang`` get the language that the network tells; all rows are judged by their text alone.
+    """
     return langid.keep_known(docs, 0.0)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each SimHash component, the one of the least doc_id; texts without words are one group."""
     return simhash.keep_first(docs)
 
 
@@ -36,6 +40,7 @@ def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packed pieces of all documents; a NULL or empty text is its end mark alone."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

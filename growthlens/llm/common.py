@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: ``lookup`` sends this many of the heaviest keys by broadcast; what remains holds at most 1/257 of the rows a key.
 HEAVY_KEYS = 256
+#: ``repeated`` makes copies of a row in blocks of this many.
+COPY_BLOCK = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The context's checkpoint folder (from ``spark.checkpoint.dir``); a fresh one only where none is set."""
+    """The context's checkpoint folder, from ``spark.checkpoint.dir``.
+
+    Where none is set, a session inside one machine's JVM gets a fresh one; on a cluster the executors would each write
+    to a disk of their own, so that is refused.
+    """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="growthlens-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="growthlens-"))
     return sc.getCheckpointDir()
 
 
@@ -58,6 +67,19 @@ def lookup(rows: DataFrame, mapping: DataFrame, key: str, weight: str, spread: C
     return joined.select(*rows.columns, *[picked[c].alias(c) for c in values])
 
 
+def repeated(rows: DataFrame, copies: str) -> DataFrame:
+    """Every row as often as its column ``copies`` says, without that column.
+
+    Copies are made in blocks of COPY_BLOCK, which are dealt to all tasks in between: no array and no task holds all
+    copies of one row.
+    """
+    block, size = fresh(rows, "block"), F.lit(COPY_BLOCK).cast("bigint")
+    blocks_ = rows.withColumn(block, F.explode(F.sequence(F.lit(1).cast("bigint"), F.expr(f"`{copies}`"), size)))
+    dealt = blocks_.hint("rebalance")
+    left = F.least(size, F.col(copies) - F.col(block) + 1)
+    return dealt.withColumn(block, F.explode(F.sequence(F.lit(1).cast("bigint"), left))).drop(block, copies)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, lengthened until ``df`` has no such column (in any case)."""
     taken = {c.lower() for c in df.columns}

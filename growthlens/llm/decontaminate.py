@@ -4,8 +4,9 @@ A benchmark item's windows are its runs of ``WINDOW`` words (a shorter item is o
 document's words into the benchmark's word numbers, looks the hash of each all-known window up in the set, compares
 the words of a hit, and marks the words that any true hit covers.
 
-The set goes to the executors as a broadcast only up to ``MAX_BLOCK_WORDS`` benchmark words; a larger benchmark is
-dealt into blocks of that size by item, and the documents are scanned once per block.
+The set goes to the executors as a broadcast only up to about ``MAX_BLOCK_WORDS`` benchmark words.  The texts of a
+larger benchmark are cut into pieces of ``PIECE_WORDS`` words that overlap by a window less a word, the pieces are dealt
+into blocks, and the documents are scanned once per block; one item may be spread over all blocks.
 
 Defined cases: NULL text has no words and no hits; items without words have no windows; rows of one item_id count as
 one item, a NULL item_id as the item ``null``; an empty benchmark hits nothing; repeated documents are kept.
@@ -25,6 +26,7 @@ from .common import blocks, fold_words, fresh, materialise
 
 WINDOW = 10
 MAX_BLOCK_WORDS = 4_000_000
+PIECE_WORDS = 100_000
 _SCAN_BYTES = 4 << 20
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _HITS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -121,20 +123,39 @@ def _scanner(shared, text: str, out: str, schema: T.StructType):
     return scan
 
 
+def _pieces(batches):
+    """Benchmark texts in lower case, cut into pieces that between them hold every window of a text once or twice."""
+    import pyarrow as pa
+
+    step = PIECE_WORDS - WINDOW + 1
+    for batch in batches:
+        for block in blocks(batch, "text", _SCAN_BYTES):
+            rows = []
+            for item, text in zip(block.column("item").to_pylist(), block.column("text").to_pylist()):
+                words = fold_words(text)
+                for a in range(0, max(1, len(words) - WINDOW + 1), step):
+                    part = words[a:a + PIECE_WORDS]
+                    rows.append((item, a // step, len(part), b" ".join(part)))
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary())
+            columns = zip(*rows) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
+                                             names=["item", "piece", "words", "text"])
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, out: str = "benchmark") -> DataFrame:
     """``docs`` with the struct ``out``: n_words, hits (word ranges) and items (ids, as strings)."""
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"),
                              F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    # a word and its separator take two bytes at least, which bounds the words without splitting
-    volume = items.agg(F.coalesce(F.sum((F.octet_length("text") + 1) / 2), F.lit(0))).first()[0]
-    n_blocks = max(1, -int(-volume // MAX_BLOCK_WORDS))
+    pieces = materialise(items.mapInArrow(_pieces, "item string, piece bigint, words bigint, text binary"))
+    n_blocks = max(1, -(-(pieces.agg(F.sum("words")).first()[0] or 0) // MAX_BLOCK_WORDS))
     text = fresh(docs, "scanned")
     empty = F.struct(F.lit(0).alias("n_words"), F.array().cast(_HITS).alias("hits"),
                      F.array().cast("array<string>").alias("items"))
     found = docs.withColumn(text, F.col("text").cast("binary")).withColumn(out, empty)
     for b in range(n_blocks):
-        mine = items.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == b).collect()
+        dealt = F.pmod(F.xxhash64("item", "piece", "text"), F.lit(n_blocks))
+        mine = pieces.where(dealt == b).select("item", "text").distinct().collect()
         shared = spark.sparkContext.broadcast(WindowSet.collect([(r.item, bytes(r.text)) for r in mine]))
         found = found.mapInArrow(_scanner(shared, text, out, found.schema), found.schema)
         if b + 1 < n_blocks:

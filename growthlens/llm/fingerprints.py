@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, materialise
+from .common import let, materialise, repeated
 
 BINS = 256
 BITS = 4
@@ -172,9 +172,10 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
         "edited", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 2 as int)), head)"))
     edited = edited.withColumn("edited_sketch", sketch(F.col("edited")))
     bare = no_words(F.col("text"))
-    return edited.select(
+    found = edited.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_hex(F.col("sketch")).alias("fingerprint"),
         as_hex(F.col("edited_sketch")).alias("edited_fingerprint"),
         likeness(F.col("sketch"), F.col("edited_sketch"), bare, no_words(F.col("edited"))).alias("near_edited"),
         likeness(F.col("sketch"), F.col("next_sketch"), bare, F.col("next_empty")).alias("near_next"),
-        F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+        "copies")
+    return repeated(found, "copies")

@@ -191,11 +191,14 @@ def report(docs: DataFrame) -> DataFrame:
 def keep_known(docs: DataFrame, min_score: float) -> DataFrame:
     """``docs`` without the documents of no known language (``und``, or a score below ``min_score``).
 
-    Where there was nothing to learn from, only texts without a letter go.
+    A document without ``lang`` gets the predicted one.  Where there was nothing to learn from, only texts without a
+    letter go, and no language is filled in.
     """
     out = fresh(docs, "language")
     model = fit(docs)
     if model is None:
         return docs.where(_lettered())
     found = predict(docs, model, out)
-    return found.where((F.col(out)["lang"] != UNKNOWN) & (F.col(out)["score"] >= min_score)).drop(out)
+    found = found.where((F.col(out)["lang"] != UNKNOWN) & (F.col(out)["score"] >= min_score))
+    lang = F.coalesce(F.col("lang"), F.col(out)["lang"].cast(docs.schema["lang"].dataType))
+    return found.withColumn("lang", lang).drop(out)

@@ -113,7 +113,7 @@ def _tokeniser(shared):
             for block in blocks(batch, "text", _SCAN_BYTES):
                 owner, piece, start, length, crc = [], [], [], [], []
                 for i, text in enumerate(block.column("text").to_pylist()):
-                    data = (encoder.ids(text.decode()) if text else b"") + end
+                    data = (encoder.ids(text.decode("utf-8", "replace")) if text else b"") + end
                     for k, at in enumerate(range(0, len(data), 4 * CAPACITY)):
                         part = data[at:at + 4 * CAPACITY]
                         owner.append(i)
@@ -395,10 +395,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Every piece with its sequence and its place there."""
     found = materialise(pieces(docs, tokenizer_path))
     groups = max(1, -(-found.count() // GROUP_PIECES))
-    each = found.groupBy(found.columns).agg(F.count(F.lit(1)).alias("copies")).select(
-        *found.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    dealt = each.select(*found.columns, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "copy"), F.lit(groups))
-                        .cast("bigint").alias("group"))
+    # equal rows are told apart by their place in the written table, so that they are dealt to all groups
+    dealt = found.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()),
+                                             F.lit(groups)).cast("bigint"))
     dealt = dealt.groupBy("group").applyInArrow(
         _pack_group, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, "
                      "offset bigint")

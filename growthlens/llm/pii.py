@@ -6,8 +6,9 @@ prefix sums of both lengths (by doubling, which keeps texts with a great many ma
 The expressions use possessive quantifiers and start only where a run starts (or the last match ended), so neither the
 stack nor the time grows badly on long runs; the matches are those of the plain forms.
 
-The kinds email, ip, card and phone are confirmed by their own check alone.  IBANs need mod-97.  A number written like
-a social security number needs a context word to reach ``MIN_SCORE``.
+The kinds email, ip, card and phone are confirmed by their own check alone.  IBANs have their country's length and need
+mod-97.  A number written like a social security number (no area 000, 666 or 9xx, no group 00, no serial 0000) needs a
+context word to reach ``MIN_SCORE``.
 
 Defined cases: NULL text is empty and has no spans; spans of different kinds may overlap; repeated rows are kept; a
 doc_id may be NULL.
@@ -58,6 +59,21 @@ def is_iban(match: Column) -> Column:
     return F.length(plain).between(15, 34) & (left == 1)
 
 
+# The length of an IBAN by country (ISO 13616 registry).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV",
+    22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ DJ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU"}
+
+
+def _iban() -> str:
+    """Two letters, two digits and as many characters as the country's accounts have, in groups by blanks or not."""
+    kinds = "|".join(rf"(?:{'|'.join(codes.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{length - 4}}}"
+                     for length, codes in IBAN_LENGTHS.items())
+    return rf"(?<![A-Za-z0-9])(?:{kinds})(?![A-Za-z0-9])"
+
+
 @dataclass(frozen=True)
 class Kind:
     name: str
@@ -75,9 +91,9 @@ KINDS = [
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}", is_ip, 0.7, "ip|host|server|address", "."),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", is_card, 0.8, "card|visa|master|credit|pay"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", is_phone, 0.7, "phone|call|tel|mobile|fax", "+"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", is_iban, 0.9,
+    Kind("iban", _iban(), is_iban, 0.9,
          "iban|account|bank|konto"),
-    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", None, 0.3, "ssn|social|security|tax"),
+    Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", None, 0.3, "ssn|social|security|tax"),
 ]
 BASE = ("email", "ip", "card", "phone")
 
@@ -135,7 +151,7 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Counts of the base kinds, their digest and all spans as kind:start:end."""
+    """Counts of the base kinds, their digest, all spans as kind:start:end, and the scores of the spans in that order."""
     def listed(kind: str) -> Column:
         return F.transform(kind, lambda s: F.concat(F.lit(f"{kind}:"), s["start"], F.lit(":"), s["end"]))
 
@@ -143,7 +159,9 @@ def report(docs: DataFrame) -> DataFrame:
     return found.select(
         "doc_id", *[F.size(k).cast("bigint").alias(f"n_{k}") for k in BASE],
         F.sha2(F.array_join(F.concat(*[listed(k) for k in BASE]), ","), 256).alias("base_sha256"),
-        F.array_join(F.concat(*[listed(k.name) for k in KINDS]), ",").alias("spans"))
+        F.array_join(F.concat(*[listed(k.name) for k in KINDS]), ",").alias("spans"),
+        F.array_join(F.concat(*[F.transform(k.name, lambda s: s["score"].cast("string")) for k in KINDS]), ",")
+        .alias("scores"))
 
 
 def _cut(text: Column) -> Column:

@@ -256,8 +256,9 @@ def _remover(window: int, text: str, out: str, schema: T.StructType):
         for batch in batches:
             for block in blocks(batch, text, _SCAN_BYTES):
                 rows = []
-                for t, had in zip(block.column(text).to_pylist(), block.column(out).to_pylist()):
-                    words = t.encode().split() if t else []
+                texts = block.column(text).cast(pa.binary()).to_pylist()  # a string column may hold any bytes
+                for t, had in zip(texts, block.column(out).to_pylist()):
+                    words = t.split() if t else []
                     kept = words
                     if had["hits"]:
                         keep = np.ones(len(words), dtype=bool)
@@ -265,7 +266,7 @@ def _remover(window: int, text: str, out: str, schema: T.StructType):
                             keep[h["s"]:h["s"] + h["n"] + window - 1] = False
                         kept = [words[i] for i in np.flatnonzero(keep)]
                     rows.append({"n_words": len(words), "n_removed": len(words) - len(kept),
-                                 "kept": b" ".join(kept).decode(), "hits": []})
+                                 "kept": b" ".join(kept).decode("utf-8", "replace"), "hits": []})
                 at = block.schema.get_field_index(out)
                 yield block.set_column(at, pa.field(out, kind), pa.array(rows, type=kind))
 

@@ -2,7 +2,8 @@
 
 Only documents carry labels, so the words of a bounded training sample are labelled from them: a word in a toxic
 document is marked if it is, or starts with, a unit (a word or a prefix) that is significantly more frequent in toxic
-documents.  Near copies are thinned out of the sample first.  The field has two states; a word's feature weights belong
+documents.  The sample has about TRAIN_DOCS documents of each label; of a text of more than TRAIN_CHARS code points
+the middle TRAIN_CHARS are learned from, all of them.  Near copies are thinned out of the sample first.  The field has two states; a word's feature weights belong
 to the same units.  It is trained by gradient ascent on the likelihood of the marked sequences.
 
 A document is scored as a whole.  Forward-backward runs over all documents of a block at once, word by word; the
@@ -36,7 +37,7 @@ TRAIN_CHARS = 12_000
 PREFIXES = range(3, 10)  # bytes of UTF-8
 MAX_UNITS = 20_000
 MIN_RATIO, MIN_SIGNIFICANCE = 4.0, 20.0
-SEQUENCE_WORDS = 400
+SEQUENCE_WORDS = 400  # training cuts a passage into consecutive sequences of this length
 STEPS = 40
 SPAN_PROBABILITY = 0.5
 THRESHOLD = 0.7
@@ -166,8 +167,9 @@ def train(pairs: list[tuple[str, int]]) -> Model | None:
         return None
     marking, kept = _telling(docs)
     number = {u: i for i, u in enumerate(kept)}
-    # sequences of words, marked words, and the units of each distinct word
-    sequences = [(words[:SEQUENCE_WORDS], label) for words, label in docs]
+    # consecutive sequences of words, marked words, and the units of each distinct word
+    sequences = [(words[a:a + SEQUENCE_WORDS], label) for words, label in docs
+                 for a in range(0, len(words), SEQUENCE_WORDS)]
     vocabulary: dict[bytes, int] = {}
     ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for words, _ in sequences for w in words])
     toxic_doc = np.repeat([label for _, label in sequences], [len(words) for words, _ in sequences])
@@ -266,6 +268,9 @@ def score(docs: DataFrame, model: Model | None, out: str = "toxicity") -> DataFr
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Score, class and offending spans (start:end in code points, comma-joined) of every document."""
     found = score(docs.select("doc_id", "text"), fit(docs, labels), "t").drop("text")
     return found.select("doc_id", held_out().alias("held_out"), F.col("t.score").alias("score"),
-                        (F.col("t.score") >= THRESHOLD).cast("int").alias("predicted"))
+                        (F.col("t.score") >= THRESHOLD).cast("int").alias("predicted"),
+                        F.array_join(F.transform("t.spans", lambda s: F.concat(s["start"], F.lit(":"), s["end"])), ",")
+                        .alias("spans"))

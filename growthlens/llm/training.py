@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: At most this many different labels are learned, the most frequent ones.
-MAX_LABELS = 256
+#: A sample has at most about this many rows in all, shared evenly by the labels; every label is learned as long as
+#: there are no more labels than rows.
+MAX_ROWS = 32_768
 _GRAIN = 1 << 20
 
 
@@ -20,10 +21,14 @@ def held_out() -> Column:
 
 
 def _picked(rows: DataFrame, per_label: int) -> tuple[DataFrame, int]:
-    """About ``per_label`` rows (of those with doc_id and label) a label, by a hash of doc_id; a bound of their number."""
+    """About ``per_label`` rows (of those with doc_id and label) a label, by a hash of doc_id; a bound of their number.
+
+    Where there are very many labels, fewer of each: their sum is bounded by about MAX_ROWS.
+    """
     rows = rows.where((fold() != 1) & F.col("label").isNotNull())
-    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(MAX_LABELS)
-    shares = {r.label: min(_GRAIN, 1 + per_label * _GRAIN // r.n) for r in counts.collect()}
+    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(MAX_ROWS).collect()
+    per_label = min(per_label, max(1, MAX_ROWS // max(1, len(counts))))
+    shares = {r.label: min(_GRAIN, 1 + per_label * _GRAIN // r.n) for r in counts}
     if not shares:
         return rows.limit(0), 0
     limits = F.create_map(*[F.lit(x) for pair in sorted(shares.items()) for x in pair])

@@ -21,9 +21,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+from .common import materialise, repeated
 
-#: Beyond this many rules the index is joined by a shuffle instead of a broadcast.
-MAX_BROADCAST_RULES = 100_000
+#: A token of the index is met in this many parts, so no token, and not the empty one either, is a hot key.
+SALTS = 32
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -95,12 +96,20 @@ def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
                                        "length int, tokens array<string>")
 
 
-def token_index(rules: DataFrame, targets: DataFrame, bounded: bool) -> DataFrame:
+def salted(df: DataFrame) -> DataFrame:
+    """A row for each salt."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def salt(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(SALTS)).cast("int")
+
+
+def token_index(rules: DataFrame, targets: DataFrame) -> DataFrame:
     """``rules`` with ``token``: their rarest literal token over ``targets``, or the empty key."""
-    hint = F.broadcast if bounded else (lambda df: df)
     pairs = rules.select("rule_id", F.explode("tokens").alias("token"))
-    used = targets.select(F.explode(url_tokens(F.col("target"))).alias("token"))
-    counts = used.join(hint(pairs.select("token").distinct()), "token").groupBy("token").agg(
+    used = targets.select(F.explode(url_tokens(F.col("target"))).alias("token"), salt(F.col("target")).alias("salt"))
+    counts = used.join(salted(pairs.select("token").distinct()), ["token", "salt"]).groupBy("token").agg(
         F.count(F.lit(1)).alias("uses"))
     rarest = pairs.join(counts, "token", "left").groupBy("rule_id").agg(
         F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "token"))["token"].alias("token"))
@@ -112,24 +121,24 @@ def judge(pages: DataFrame, rules: list[Rule] | DataFrame) -> DataFrame:
     spark = pages.sparkSession
     if not isinstance(rules, DataFrame):
         rules = rule_table(spark, rules)
-    bounded = rules.limit(MAX_BROADCAST_RULES + 1).count() <= MAX_BROADCAST_RULES
     parts = url_parts(F.col("url"))
     targets = pages.select("url").select(parts["target"].alias("target"))
-    index = token_index(rules, targets, bounded)
-    index = F.broadcast(index) if bounded else index
+    # written, so that its size is known: the planner sends a small index to the URLs, else both meet by token and salt
+    index = materialise(salted(token_index(rules, targets)))
     rows = pages.select("page_id", "url").groupBy("page_id", "url").agg(F.count(F.lit(1)).alias("copies"))
     rows = rows.select("page_id", "url", "copies", *[c.alias(k) for k, c in parts.items()])
-    keyed = rows.withColumn("token", F.explode(url_tokens(F.col("target"))))
-    hits = keyed.join(index, (keyed["token"] == index["token"]) & F.rlike(keyed["target"], index["regex"]), "left")
+    keyed = rows.withColumn("token", F.explode(url_tokens(F.col("target")))).withColumn("salt", salt(F.col("target")))
+    hits = keyed.join(index, (keyed["token"] == index["token"]) & (keyed["salt"] == index["salt"])
+                      & F.rlike(keyed["target"], index["regex"]), "left")
     by_length = F.struct("length", F.col("action") == "allow", "action", "rule")
     best = hits.groupBy("page_id", "url").agg(
         F.first("copies").alias("copies"), F.first("host").alias("host"), F.first("path").alias("path"),
         F.max(F.when(F.col("is_path"), by_length)).alias("fit"),
         F.max(F.when(~F.col("is_path"), by_length)).alias("pattern"))
-    return best.select("page_id", "host", "path", F.col("fit.rule").alias("rule"),
+    judged = best.select("page_id", "host", "path", F.col("fit.rule").alias("rule"),
                        F.coalesce("fit.action", "pattern.action", F.lit("allow")).alias("verdict"),
-                       F.when(F.col("fit").isNull(), F.col("pattern.rule")).alias("pattern"),
-                       F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+                       F.when(F.col("fit").isNull(), F.col("pattern.rule")).alias("pattern"), "copies")
+    return repeated(judged, "copies")
 
 
 #: The registered query in DuckDB's SQL.
