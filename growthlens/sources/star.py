@@ -124,7 +124,7 @@ def read_star(spark: SparkSession, path: str, fmt: str = "csv", params: Params =
                   .option("dateFormat", "yyyy-MM-dd")
                   .csv(f"{path}/{stem}"))
         else:
-            df = spark.read.parquet(f"{path}/{stem.rsplit('.', 1)[0]}")
+            df = _read_parquet(spark, table_path(path, key), schema)
             cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
             if key == "orders":
                 # keep the directory partition column where there is one: predicates on it prune whole months
@@ -138,6 +138,15 @@ def read_star(spark: SparkSession, path: str, fmt: str = "csv", params: Params =
     return Star(params=params, by_month=by_month, loaded=loaded, **out)
 
 
+def _read_parquet(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "UNABLE_TO_INFER_SCHEMA":  # a table without rows has no files by month
+            return spark.createDataFrame([], schema)
+        raise
+
+
 def _observed_counts(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.schema(_COUNTS).parquet(f"{path}/{COUNTS_TABLE}")
