@@ -40,7 +40,7 @@ def choose_checkpoint_dir(current: str | None, configured: str | None, master: s
         return configured, True
     if master.startswith("local"):
         return tempfile.mkdtemp(prefix="growthlens-ckpt-"), True
-    raise RuntimeError("set spark.checkpoint.dir to a shared directory (needed by distributed_ntile)")
+    raise RuntimeError("set spark.checkpoint.dir to a shared directory (needed by distributed_ntiles)")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -101,28 +101,3 @@ def distributed_ntiles(df: DataFrame, key: str, scores: dict[str, Column], n: in
     tiles = tile.groupBy(key).agg(*[F.max(F.when(F.col("_score") == i, F.col("_tile"))).alias(name)
                                     for i, name in enumerate(names)])
     return df.join(tiles, key)
-
-
-def distributed_ntile(df: DataFrame, order: list[Column], n: int, out: str) -> DataFrame:
-    """Add ``out`` = NTILE(n) OVER (ORDER BY *order*).
-
-    ``order`` must be a total order (end it with a unique key).
-    """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    ranged = (df.repartitionByRange(_parts(spark), *order).sortWithinPartitions(*order)
-              .withColumn("_mid", F.monotonically_increasing_id()))
-    ranged = ranged.checkpoint(eager=True)
-    ranged = (ranged.withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
-                    .withColumn("_loc", F.col("_mid").bitwiseAND((1 << _LOCAL_BITS) - 1)))
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    w = Window.orderBy("_pid")
-    offsets = counts.select(
-        "_pid",
-        (F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_cnt"))
-        .alias("_off"),
-        F.sum("_cnt").over(Window.partitionBy()).alias("_total"))
-    pos = F.col("_off") + F.col("_loc") + 1
-    return (ranged.join(F.broadcast(offsets), "_pid")
-            .withColumn(out, ntile_column(pos, F.col("_total"), n))
-            .drop("_mid", "_pid", "_loc", "_off", "_total"))

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from growthlens.plans.ntile import distributed_ntile, distributed_ntiles
+from growthlens.plans.ntile import distributed_ntiles
 from growthlens.plans.sessionize import sessionize
 
 
@@ -27,7 +27,7 @@ def test_distributed_ntile_uneven_sizes_and_ties(spark):
         rnd = random.Random(N)
         vals = [rnd.randint(0, 5) for _ in range(N)]  # heavy ties
         df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id long, v long")
-        out = distributed_ntile(df, [F.col("v").asc(), F.col("id").asc()], 5, "t")
+        out = distributed_ntiles(df, "id", {"t": F.col("v")}, 5)
         got = {r.id: r.t for r in out.collect()}
         assert got == _ntile_brute(vals, 5), N
 
@@ -47,7 +47,7 @@ def test_several_scores_at_once_equal_one_by_one(spark):
 def test_distributed_ntile_descending(spark):
     vals = [3, 1, 2, 2, 5, 0, 9]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id long, v long")
-    out = distributed_ntile(df, [F.col("v").desc(), F.col("id").asc()], 3, "t")
+    out = distributed_ntiles(df, "id", {"t": -F.col("v")}, 3)
     got = {r.id: r.t for r in out.collect()}
     exp = _ntile_brute([-v for v in vals], 3)
     assert got == exp

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from growthlens.catalog import QUERIES
 from growthlens.config import FIXTURES
 from growthlens.plans.base import customer_first, first_orders
-from growthlens.plans.ntile import distributed_ntile
+from growthlens.plans.ntile import distributed_ntiles
 from growthlens.sources.tpch_adapter import tpch_star
 
 SF = "/root/testdata/sf0.001"
@@ -32,7 +32,7 @@ def test_first_order_is_an_aggregate_not_a_customer_window(star):
 
 def test_ntile_moves_only_offsets_through_one_partition(spark):
     df = spark.range(0, 5000).select(F.col("id"), (F.col("id") % 7).alias("v"))
-    out = distributed_ntile(df, [F.col("v").asc(), F.col("id").asc()], 5, "t")
+    out = distributed_ntiles(df, "id", {"t": F.col("v"), "u": -F.col("v")}, 5)
     out.collect()
     p = plan(out)
     # the only single-partition exchange is the offsets frame (one row per partition), broadcast back
@@ -71,3 +71,9 @@ def test_order_lines_are_summed_per_product_before_the_product_join(spark, name)
     joins = [i for i, ln in enumerate(lines) if "Join" in ln and "product_id" in ln and "order_id" not in ln]
     assert joins, name
     assert any(re.search(r"Aggregate \[product_id#", "\n".join(lines[i:])) for i in joins), name
+
+
+def test_product_weeks_are_bits_not_a_second_distinct_count(star):
+    """One distinct count in the aggregate over order lines: they are not expanded."""
+    p = QUERIES["product_health"](star)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in p and "bit_or" in p
