@@ -210,3 +210,34 @@ def clean(docs: DataFrame, benchmark: DataFrame, drop: bool = True) -> DataFrame
     if drop:
         return found.where(F.size(F.col(out)["hits"]) == 0).drop(out)
     return found.mapInArrow(_stripper("text", out), found.schema).drop(out)
+
+
+#: The registered query in DuckDB's SQL: windows meet as strings.
+SQL = r"""
+WITH folded AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+items AS (
+  SELECT coalesce(item_id::VARCHAR, 'null') AS item, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+asked AS (
+  SELECT DISTINCT item, size, array_to_string(w[i:i + size - 1], ' ') AS win
+  FROM (SELECT item, w, least(10, len(w)) AS size, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i
+        FROM items WHERE len(w) > 0)),
+seen AS (
+  SELECT r, i, size, array_to_string(w[i:i + size - 1], ' ') AS win
+  FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i
+        FROM folded JOIN (SELECT DISTINCT size FROM asked) ON len(w) >= size)),
+hits AS (SELECT r, i, size, item FROM seen JOIN asked USING (size, win)),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS p FROM hits) GROUP BY r),
+named AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+  FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(listed, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM folded LEFT JOIN words USING (r) LEFT JOIN named USING (r)
+"""

@@ -11,8 +11,13 @@ from . import (ann, decontaminate, fingerprints, hard_negatives, langid, merkle,
 from .common import table
 
 #: DuckDB statements of the queries that SQL can express.
-ORACLE: dict[str, str] = {"op2_url_filters": url_filter.SQL, "op11_merkle": merkle.SQL,
-                          "op12_hard_negatives": hard_negatives.SQL}
+ORACLE: dict[str, str] = {
+    "op2_url_filters": url_filter.SQL,
+    "op3_decontaminate": decontaminate.SQL,
+    "op8_substrings": substrings.SQL,
+    "op11_merkle": merkle.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
+}
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -325,3 +325,23 @@ def report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.col("repeats.n_words").cast("bigint").alias("n_words"),
                         F.col("repeats.n_removed").cast("bigint").alias("n_removed"),
                         F.sha2("repeats.kept", 256).alias("kept_sha256"))
+
+
+#: The registered query in DuckDB's SQL: windows meet by their digests.
+SQL = r"""
+WITH split AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+windows AS (
+  SELECT r, i, sha256(array_to_string(w[i:i + 34], ' ')) AS h
+  FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM split WHERE len(w) >= 35)),
+covered AS (
+  SELECT DISTINCT r, unnest(range(i, i + 35)) AS p
+  FROM windows JOIN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1) USING (h)),
+kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY p) AS left_over
+  FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM split) ANTI JOIN covered USING (r, p)
+  GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(left_over, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (r) LEFT JOIN (SELECT r, count(*) AS n FROM covered GROUP BY r) USING (r)
+"""
