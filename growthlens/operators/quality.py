@@ -1,14 +1,14 @@
 """Data-quality audit, key integrity and order status profile.
 
-Every check is a distributed count.  The audit reads orders twice (once for the
-signup check) and every other table once; the key checks read every table once.
+Every check is a distributed count.  The audit reads orders three times (once
+by themselves, once for the signup check) and every other table once; the key checks meet keys as sets of bits.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import ts_lit
@@ -33,17 +33,17 @@ CHECK_NAMES = {
 }
 
 
+#: Ids and words that need a closer look are remembered as bits of this many, however many they are: a bounded broadcast.
+_SLOT_BITS = 1 << 20
+
+
 def _count_if(cond) -> F.Column:
     """0 on no rows, so a check over an empty table passes."""
     return F.count_if(cond)
 
 
-def _per_order(star: Star) -> DataFrame:
-    """One row per order id over orders, items and events: copies, the order's own faults, its basket, its payments.
-
-    The three tables are read once each and meet in one map-side-combined aggregate, so a repeated id, an order with
-    very many lines or the many events without an order id are sums before they are shuffled.
-    """
+def _order_faults(star: Star) -> DataFrame:
+    """Checks that an order row fails by itself, counted where the rows are read."""
     lo, hi = star.params.audit_window
     status, act, rating = F.col("status"), F.col("actual_delivery_min"), F.col("rating")
     faults = {
@@ -53,37 +53,75 @@ def _per_order(star: Star) -> DataFrame:
         "c7": (F.col("order_ts") < ts_lit(lo)) | (F.col("order_ts") >= ts_lit(hi)),
         "c9": (rating.isNotNull() & (status == "cancelled")) | (rating < 1) | (rating > 5),
         "c11": (F.col("item_total") < 0) | (F.col("discount_amount") < 0) | (F.col("net_amount") < 0)}
-    orders = star.orders.groupBy("order_id", F.col("item_total").alias("total")).agg(
-        F.count(F.lit(1)).alias("copies"), *[_count_if(c).alias(k) for k, c in faults.items()])
-    items = star.items.select("order_id", F.col("line_amount").alias("line"), F.lit(1).cast("long").alias("lines"))
+    return star.orders.agg(F.count(F.lit(1)).alias("n_orders"), *[_count_if(c).alias(k) for k, c in faults.items()])
+
+
+def _per_order(star: Star) -> DataFrame:
+    """One row per order id over orders, items and events: copies, least and greatest total, its basket, its payments.
+
+    The three tables meet in one map-side-combined aggregate, so a repeated id, an order with very many lines or the
+    many events without an order id are sums before they are shuffled.
+    """
+    one = F.lit(1).cast("long")
+    orders = star.orders.select("order_id", F.col("item_total").alias("least"), F.col("item_total").alias("most"),
+                                one.alias("copies"))
+    items = star.items.select("order_id", F.col("line_amount").alias("line"), one.alias("lines"))
     paid = F.col("event_name") == "payment_success"
     events = star.events.select(F.when(paid, F.col("order_id")).alias("order_id"), flag(paid).cast("long").alias("paid"),
-                                F.lit(1).cast("long").alias("events"))
+                                one.alias("events"))
     rows = orders.unionByName(items, allowMissingColumns=True).unionByName(events, allowMissingColumns=True)
     return rows.groupBy("order_id").agg(
-        *[F.sum(c).alias(c) for c in ("copies", "line", "lines", "paid", "events", *faults)],
-        F.collect_list(F.when(F.col("copies").isNotNull(), F.struct("total", "copies"))).alias("totals"))
+        F.min("least").alias("least"), F.max("most").alias("most"),
+        *[F.sum(c).alias(c) for c in ("copies", "line", "lines", "paid", "events")])
+
+
+def _marked(ids: DataFrame, key: str) -> DataFrame:
+    """The values of ``key`` as bits of a set of fixed size, to broadcast: ``near`` finds all of them and few others."""
+    slot = F.pmod(F.xxhash64(key), F.lit(_SLOT_BITS))
+    return ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("slots")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))).alias("marked"))
+
+
+def _near(rows: DataFrame, marked: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` may be in the set; with an empty one they are not even read."""
+    slot = F.pmod(F.xxhash64(key), F.lit(_SLOT_BITS))
+    found = rows.withColumn("slot", slot).withColumn("slots", F.shiftright("slot", 6)).join(F.broadcast(marked), "slots")
+    return found.where(F.getbit("marked", (F.col("slot") % 64).cast("int")) == 1).select(rows.columns)
+
+
+def _baskets_of_varying_orders(star: Star, per_order: DataFrame) -> DataFrame:
+    """c4 of the order ids that occur with different totals: how many of their rows do not fit the lines."""
+    # naming all columns keeps this use and the other one on one exchange: else each would drop columns of its own
+    whole = F.xxhash64(*per_order.columns).bitwiseOR(F.lit(1)) != 0
+    varying = _marked(per_order.where((F.col("least") != F.col("most")) & whole), "order_id")
+    totals = _near(star.orders.select("order_id", "item_total"), varying, "order_id").groupBy("order_id", "item_total").agg(
+        F.count(F.lit(1)).alias("copies"))
+    lines = _near(star.items.select("order_id", "line_amount"), varying, "order_id").groupBy("order_id").agg(
+        F.sum("line_amount").alias("line"))
+    several = totals.groupBy("order_id").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    return totals.join(lines, "order_id").join(several, "order_id").agg(F.coalesce(F.sum(
+        F.when(F.col("item_total") != F.col("line"), F.col("copies"))), F.lit(0).cast("long")).alias("c4_varying"))
 
 
 def dq_audit(star: Star) -> DataFrame:
     p = star.params
     copies, line = F.col("copies"), F.col("line")
-    unequal = F.aggregate("totals", F.lit(0).cast("long"),
-                          lambda n, x: n + F.when(x["total"] != line, x["copies"]).otherwise(0))
     zero = F.lit(0).cast("long")
-    sums = _per_order(star).agg(
-        F.coalesce(F.sum("copies"), zero).alias("n_orders"), F.coalesce(F.sum("events"), zero).alias("n_events"),
+    unequal = (F.col("least") == F.col("most")) & (F.col("least") != line)
+    per_order = _per_order(star)
+    sums = per_order.agg(
+        F.coalesce(F.sum("events"), zero).alias("n_events"),
         _count_if(copies > 1).alias("c2"),
         F.coalesce(F.sum(F.when(copies.isNull(), F.col("lines"))), zero).alias("c3"),
-        F.coalesce(F.sum(F.when(line.isNotNull(), unequal)), zero).alias("c4"),
-        *[F.coalesce(F.sum(c), zero).alias(c) for c in ("c5", "c6", "c7", "c9", "c11")],
+        F.coalesce(F.sum(F.when(unequal, copies)), zero).alias("c4_equal"),
         F.coalesce(F.sum(F.when(copies.isNull(), F.col("paid"))), zero).alias("c10"))
     early = join_per_key(star.orders.select("customer_id", "order_ts"), star.customer.select("customer_id", "signup_ts"),
                          "customer_id", p.hot_key_rows)
     parts = [sums, early.agg(_count_if(F.col("order_ts") < F.col("signup_ts")).alias("c8")),
-             star.customer.agg(F.count(F.lit(1)).alias("n_customers"))]  # one row each
+             star.customer.agg(F.count(F.lit(1)).alias("n_customers")),
+             _baskets_of_varying_orders(star, per_order), _order_faults(star)]  # one row each
     whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    whole = whole.agg(*[F.max(c).alias(c) for c in whole.columns])
+    whole = whole.agg(*[F.max(c).alias(c) for c in whole.columns]).withColumn("c4", F.col("c4_equal") + F.col("c4_varying"))
     (olo, ohi), (clo, chi) = p.audit_orders_range, p.audit_customers_range
     c1 = (flag(~F.col("n_orders").between(olo, ohi)) + flag(~F.col("n_customers").between(clo, chi))
           + flag(F.col("n_events") <= p.audit_min_events)).cast("long")
@@ -110,37 +148,70 @@ FOREIGN_KEYS = [
 ]
 
 
+def _single_keys(star: Star) -> tuple[dict[str, DataFrame], dict[str, list[Column]]]:
+    """The tables, and the entries (constraint, key, rows, parent) that a row of each gives."""
+    tabs = star.tables() | {"dim_date": dim_date(star)}
+
+    def entry(constraint: str, key: str, rows, parent: int) -> Column:
+        value = F.unix_date(key) if key == "date_key" else F.col(key)
+        return F.struct(F.lit(constraint).alias("constraint"), value.cast("long").alias("key"),
+                        rows.cast("long").alias("rows"), F.lit(parent).alias("parent"))
+
+    entries: dict[str, list[Column]] = {}
+    for t in tabs:
+        mine = [entry(f"pk_{o}", k[0], F.lit(1), 0) for o, k in (PRIMARY_KEYS | {"dim_date": ["date_key"]}).items()
+                if o == t and len(k) == 1]
+        mine += [entry(name, ck, flag(F.col(ck).isNotNull()), 0) for name, child, ck, _, _ in FOREIGN_KEYS if child == t]
+        mine += [entry(name, pk, F.lit(0), 1) for name, _, _, parent, pk in FOREIGN_KEYS if parent == t]
+        entries[t] = mine
+    return tabs, entries
+
+
 def dq_key_integrity(star: Star) -> DataFrame:
     """(constraint, violations): primary keys, NOT NULL columns and foreign keys.
 
-    Every table is read once and names its keys in all constraints that it takes part in; one map-side-combined
-    aggregate per (constraint, key) then tells repeated keys and, by rows, keys without a parent.
+    Single keys are integers (a date by its day number).  They travel as sets: 64 neighbouring keys of a constraint are
+    the bits of one bigint, united by one map-side combined OR with the number of their rows, so unique keys that lie
+    together are one row in 64.  A word whose keys are as many as its rows holds no repeated key, one whose keys the
+    parent has holds no orphan; only rows of other words are counted key by key.  Those words are named to the second
+    pass as bits of a set of fixed size; where all is well it is empty, and the tables are not read again.  Keys of two
+    columns are counted as such.
     """
-    tabs = star.tables() | {"dim_date": dim_date(star)}
-
-    def entry(constraint: str, key: list[str], rows, parent: int) -> F.Column:
-        text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in key]) if key else F.lit("")
-        return F.struct(F.lit(constraint).alias("constraint"), text.alias("key"), rows.cast("long").alias("rows"),
-                        F.lit(parent).alias("parent"))
+    tabs, entries = _single_keys(star)
+    word = F.call_function("shiftright", F.col("key"), F.lit(6))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("key").bitwiseAND(F.lit(63)).cast("int"))
+    rows = reduce(DataFrame.unionByName, [df.select(F.explode(F.array(*entries[t])).alias("e")).select("e.*")
+                                          for t, df in tabs.items() if entries[t]])
+    rows = rows.where((F.col("rows") > 0) | (F.col("parent") == 1)).withColumn("word", word)
+    sets = rows.groupBy("constraint", "word").agg(
+        F.sum("rows").alias("rows"), F.bit_or(F.when(F.col("parent") == 0, bit)).alias("seen"),
+        F.bit_or(F.when(F.col("parent") == 1, bit)).alias("known"))
+    zero = F.lit(0).cast("long")
+    seen, known = F.coalesce("seen", zero), F.coalesce("known", zero)
+    suspect = F.when(F.col("constraint").startswith("pk_"), F.col("rows") > F.bit_count(seen)).otherwise(
+        seen.bitwiseAND(F.bitwise_not(known)) != 0)
+
+    name = F.xxhash64("constraint", "word").alias("name")
+    near = _near(rows.select("constraint", "key", "rows", "parent", name), _marked(sets.where(suspect).select(name), "name"),
+                 "name")
+    per_key = near.groupBy("constraint", "key").agg(F.sum("rows").alias("rows"), F.max("parent").alias("parent"))
+    broken = F.when(F.col("constraint").startswith("pk_"), flag(F.col("rows") > 1)).otherwise(
+        F.when(F.col("parent") == 0, F.col("rows")).otherwise(0))
+    counted = [per_key.groupBy("constraint").agg(F.sum(broken).alias("violations"))]
 
-    keys = {f"pk_{t}": (t, k) for t, k in (PRIMARY_KEYS | {"dim_date": ["date_key"]}).items()}
-    seen = {t: [entry(c, k, F.lit(1), 0) for c, (owner, k) in keys.items() if owner == t] for t in tabs}
     for t, schema in SCHEMAS.items():
-        missing = reduce(lambda a, b: a | b, [F.col(f.name).isNull() for f in schema.fields if not f.nullable])
-        seen[t].append(entry(f"not_null_{t}", [], flag(missing), 0))
-    for name, child, ck, parent, pk in FOREIGN_KEYS:
-        seen[child].append(entry(name, [ck], flag(F.col(ck).isNotNull()), 0))
-        seen[parent].append(entry(name, [pk], F.lit(0), 1))
-    rows = reduce(DataFrame.unionByName, [tabs[t].select(F.explode(F.array(*e)).alias("e")).select("e.*")
-                                          for t, e in seen.items()])
-    per_key = rows.groupBy("constraint", "key").agg(F.sum("rows").alias("rows"), F.max("parent").alias("parent"))
-    broken = (F.when(F.col("constraint").startswith("pk_"), flag(F.col("rows") > 1))
-              .when(F.col("constraint").startswith("fk_"), F.when(F.col("parent") == 0, F.col("rows")).otherwise(0))
-              .otherwise(F.col("rows")))
-    counted = per_key.groupBy("constraint").agg(F.sum(broken).alias("violations"))
-    names = [*keys, *[f"not_null_{t}" for t in SCHEMAS], *[fk[0] for fk in FOREIGN_KEYS]]
+        missing = reduce(lambda x, y: x | y, [F.col(f.name).isNull() for f in schema.fields if not f.nullable])
+        counted.append(tabs[t].agg(_count_if(missing).alias("violations")).select(F.lit(f"not_null_{t}").alias("constraint"),
+                                                                                  "violations"))
+    for t, key in PRIMARY_KEYS.items():
+        if len(key) > 1:
+            copies = tabs[t].groupBy(*key).agg(F.count(F.lit(1)).alias("copies"))
+            counted.append(copies.agg(_count_if(F.col("copies") > 1).alias("violations")).select(
+                F.lit(f"pk_{t}").alias("constraint"), "violations"))
+    names = [*[f"pk_{t}" for t in [*PRIMARY_KEYS, "dim_date"]], *[f"not_null_{t}" for t in SCHEMAS],
+             *[fk[0] for fk in FOREIGN_KEYS]]
     listed = star.spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("constraint"))
-    return listed.join(counted, "constraint", "left").select(
+    return listed.join(reduce(DataFrame.unionByName, counted), "constraint", "left").select(
         "constraint", F.coalesce("violations", F.lit(0)).cast("long").alias("violations"))
 
 

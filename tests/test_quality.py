@@ -98,3 +98,64 @@ def test_orphans_count_rows_not_keys(spark):
     r["items"] += [(99, 1, 1, 5, 5), (99, 2, 1, 5, 5), (98, 1, 2, 5, 10)]  # three rows, two orphan keys
     got = {x.constraint: x.violations for x in dq_key_integrity(star_from_rows(spark, P, **r)).collect()}
     assert got["fk_items_order"] == 3
+
+
+def test_key_sets_count_as_key_by_key(spark):
+    """Random dirty tables, with NULL, negative and far ids: the violations are those of plain counts."""
+    import random
+    from collections import Counter
+
+    for seed in range(4):
+        rnd = random.Random(seed)
+        ids = [rnd.randrange(-200, 200) for _ in range(60)] + [2 ** 62, -2 ** 62, 64, 63, -64, -1, 0]
+        cust = rnd.sample(ids, 30) + (ids[:3] * 2 if seed else [])
+        oids = list(dict.fromkeys(ids)) + (ids[:5] if seed else [])
+        orders = [order(o, rnd.choice(ids), T(2000, 5, 2), store=rnd.randrange(9)) for o in oids]
+        items = [(rnd.choice(ids), rnd.randrange(5), 1, 10, 10) for _ in range(80)]
+        events = [(i, rnd.choice(ids + [777]), "app_open", T(2000, 5, 2), "ios", None) for i in range(50)]
+        star = star_from_rows(spark, P, store=stores(), product=[(i, "p", "c", 10, 5, 0) for i in range(4)],
+                              customer=[customer(c, T(2000, 1, 1), home=rnd.randrange(10)) for c in cust],
+                              orders=orders, items=items, events=events)
+        got = {x.constraint: x.violations for x in dq_key_integrity(star).collect()}
+
+        def repeated(keys):
+            return sum(n > 1 for n in Counter(keys).values())
+
+        customers = [(r.customer_id, r.home_store_id) for r in star.customer.collect()]
+        want = {"pk_customer": repeated(cust), "pk_orders": repeated(oids), "pk_items": repeated((i[0], i[1]) for i in items),
+                "pk_store": 0, "pk_product": 0, "pk_spend": 0, "pk_dim_date": 0,
+                "fk_customer_store": sum(h >= 8 for _, h in customers),
+                "fk_orders_customer": sum(o[1] not in cust for o in orders),
+                "fk_orders_store": sum(o[2] >= 8 for o in orders), "fk_items_order": sum(i[0] not in oids for i in items),
+                "fk_items_product": sum(i[1] >= 4 for i in items), "fk_events_customer": sum(e[1] not in cust for e in events)}
+        assert {k: v for k, v in got.items() if not k.startswith("not_null")} == want
+
+
+def test_clean_keys_are_met_as_words(spark):
+    """Unique keys that lie together: one row in 64 is shuffled, and nothing is counted key by key."""
+    star = star_from_rows(spark, P, store=stores(), customer=[customer(c, T(2000, 1, 1)) for c in range(6_400)],
+                          orders=[order(o, o % 6_400, T(2000, 5, 2)) for o in range(6_400)])
+    df = dq_key_integrity(star)
+    assert all(r.violations == 0 for r in df.collect())
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_" not in plan and "concat_ws" not in plan
+
+
+def test_baskets_of_repeated_order_ids(spark):
+    """An id with several totals: each of its rows is held against the lines."""
+    def o(i, total, n=1):
+        return [order(i, 1, T(2000, 5, 2), item_total=total)] * n
+
+    def item(i, amount):
+        return (i, 1, 1, amount, amount)
+
+    star = star_from_rows(spark, P, store=stores(), product=[(1, "p", "c", 10, 5, 0)], customer=[customer(1, T(2000, 1, 1))],
+                          orders=o(1, 100) + o(2, 100) + o(2, 90, 2) + o(2, 80) + o(3, 50, 3) + o(4, 50, 2) + o(5, 9) + o(5, 8),
+                          items=[item(1, 100), item(2, 90), item(3, 50), item(4, 51)])
+    res = {x.check_no: x.violations for x in dq_audit(star).collect()}
+    assert res[4] == 2 + 2 and res[2] == 4  # id 2: the rows of 100 and 80; id 4: both; id 5 has no lines
+
+
+def test_the_audit_is_a_plain_hash_aggregate(spark):
+    star = star_from_rows(spark, P, orders=[order(1, 1, T(2000, 5, 2))])
+    assert "ObjectHashAggregate" not in dq_audit(star)._jdf.queryExecution().executedPlan().toString()
