@@ -1,7 +1,7 @@
 """Data-quality audit, key integrity and order status profile.
 
-Every check is a distributed count.  The audit reads orders three times (once
-by themselves, once for the signup check) and every other table once; the key checks meet keys as sets of bits.
+Every check is a distributed count.  The audit counts what a row fails by itself where it is
+read, and shuffles two columns of the orders and sums of lines and payments for the rest; the key checks meet keys as sets of bits.
 """
 
 from __future__ import annotations
@@ -56,23 +56,23 @@ def _order_faults(star: Star) -> DataFrame:
     return star.orders.agg(F.count(F.lit(1)).alias("n_orders"), *[_count_if(c).alias(k) for k, c in faults.items()])
 
 
-def _per_order(star: Star) -> DataFrame:
-    """One row per order id over orders, items and events: copies, least and greatest total, its basket, its payments.
+def _matched(star: Star) -> DataFrame:
+    """c2 and c4, and how many lines and payments have an order, as one row.
 
-    The three tables meet in one map-side-combined aggregate, so a repeated id, an order with very many lines or the
-    many events without an order id are sums before they are shuffled.
+    Lines and payments are summed per order id before they are shuffled, so an order with very many lines is one row.
+    Orders meet them by two columns, and as left joins keep the partitioning, the copies of an id are counted in place.
     """
-    one = F.lit(1).cast("long")
-    orders = star.orders.select("order_id", F.col("item_total").alias("least"), F.col("item_total").alias("most"),
-                                one.alias("copies"))
-    items = star.items.select("order_id", F.col("line_amount").alias("line"), one.alias("lines"))
-    paid = F.col("event_name") == "payment_success"
-    events = star.events.select(F.when(paid, F.col("order_id")).alias("order_id"), flag(paid).cast("long").alias("paid"),
-                                one.alias("events"))
-    rows = orders.unionByName(items, allowMissingColumns=True).unionByName(events, allowMissingColumns=True)
-    return rows.groupBy("order_id").agg(
-        F.min("least").alias("least"), F.max("most").alias("most"),
-        *[F.sum(c).alias(c) for c in ("copies", "line", "lines", "paid", "events")])
+    basket = star.items.groupBy("order_id").agg(F.sum("line_amount").alias("line"), F.count(F.lit(1)).alias("lines"))
+    paid = star.events.where((F.col("event_name") == "payment_success") & F.col("order_id").isNotNull()).groupBy(
+        "order_id").agg(F.count(F.lit(1)).alias("paid"))
+    rows = star.orders.select("order_id", "item_total").join(basket, "order_id", "left").join(paid, "order_id", "left")
+    per_order = rows.groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("copies"), _count_if(F.col("item_total") != F.col("line")).alias("unequal"),
+        F.max("lines").alias("lines"), F.max("paid").alias("paid"))
+    zero = F.lit(0).cast("long")
+    return per_order.agg(_count_if(F.col("copies") > 1).alias("c2"), F.coalesce(F.sum("unequal"), zero).alias("c4"),
+                         F.coalesce(F.sum("lines"), zero).alias("matched_lines"),
+                         F.coalesce(F.sum("paid"), zero).alias("matched_paid"))
 
 
 def _marked(ids: DataFrame, key: str) -> DataFrame:
@@ -89,39 +89,18 @@ def _near(rows: DataFrame, marked: DataFrame, key: str) -> DataFrame:
     return found.where(F.getbit("marked", (F.col("slot") % 64).cast("int")) == 1).select(rows.columns)
 
 
-def _baskets_of_varying_orders(star: Star, per_order: DataFrame) -> DataFrame:
-    """c4 of the order ids that occur with different totals: how many of their rows do not fit the lines."""
-    # naming all columns keeps this use and the other one on one exchange: else each would drop columns of its own
-    whole = F.xxhash64(*per_order.columns).bitwiseOR(F.lit(1)) != 0
-    varying = _marked(per_order.where((F.col("least") != F.col("most")) & whole), "order_id")
-    totals = _near(star.orders.select("order_id", "item_total"), varying, "order_id").groupBy("order_id", "item_total").agg(
-        F.count(F.lit(1)).alias("copies"))
-    lines = _near(star.items.select("order_id", "line_amount"), varying, "order_id").groupBy("order_id").agg(
-        F.sum("line_amount").alias("line"))
-    several = totals.groupBy("order_id").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    return totals.join(lines, "order_id").join(several, "order_id").agg(F.coalesce(F.sum(
-        F.when(F.col("item_total") != F.col("line"), F.col("copies"))), F.lit(0).cast("long")).alias("c4_varying"))
-
-
 def dq_audit(star: Star) -> DataFrame:
     p = star.params
-    copies, line = F.col("copies"), F.col("line")
-    zero = F.lit(0).cast("long")
-    unequal = (F.col("least") == F.col("most")) & (F.col("least") != line)
-    per_order = _per_order(star)
-    sums = per_order.agg(
-        F.coalesce(F.sum("events"), zero).alias("n_events"),
-        _count_if(copies > 1).alias("c2"),
-        F.coalesce(F.sum(F.when(copies.isNull(), F.col("lines"))), zero).alias("c3"),
-        F.coalesce(F.sum(F.when(unequal, copies)), zero).alias("c4_equal"),
-        F.coalesce(F.sum(F.when(copies.isNull(), F.col("paid"))), zero).alias("c10"))
     early = join_per_key(star.orders.select("customer_id", "order_ts"), star.customer.select("customer_id", "signup_ts"),
                          "customer_id", p.hot_key_rows)
-    parts = [sums, early.agg(_count_if(F.col("order_ts") < F.col("signup_ts")).alias("c8")),
+    parts = [_matched(star), _order_faults(star), early.agg(_count_if(F.col("order_ts") < F.col("signup_ts")).alias("c8")),
              star.customer.agg(F.count(F.lit(1)).alias("n_customers")),
-             _baskets_of_varying_orders(star, per_order), _order_faults(star)]  # one row each
+             star.items.agg(F.count(F.lit(1)).alias("n_lines")),
+             star.events.agg(F.count(F.lit(1)).alias("n_events"),
+                             _count_if(F.col("event_name") == "payment_success").alias("n_paid"))]  # one row each
     whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    whole = whole.agg(*[F.max(c).alias(c) for c in whole.columns]).withColumn("c4", F.col("c4_equal") + F.col("c4_varying"))
+    whole = whole.agg(*[F.max(c).alias(c) for c in whole.columns]).withColumns(
+        {"c3": F.col("n_lines") - F.col("matched_lines"), "c10": F.col("n_paid") - F.col("matched_paid")})
     (olo, ohi), (clo, chi) = p.audit_orders_range, p.audit_customers_range
     c1 = (flag(~F.col("n_orders").between(olo, ohi)) + flag(~F.col("n_customers").between(clo, chi))
           + flag(F.col("n_events") <= p.audit_min_events)).cast("long")
