@@ -120,7 +120,10 @@ class Layout:
 
 
 def build(rows: DataFrame) -> tuple[DataFrame, Layout]:
-    """The rows with their codewords and shard, and the layout, of ``rows`` (rid, v, ...): rid is a unique bigint, v a vector of little-endian int32."""
+    """The rows with their codewords and shard, and the layout, of ``rows`` (rid, v, ...).
+
+    ``rid`` is a unique bigint, ``v`` a vector of little-endian int32.
+    """
     books = fit(rows)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
     coded = materialise(rows.mapInArrow(_coded(books), schema + ", c1 int, r1 double, c2 int, r2 double"))

@@ -2,9 +2,10 @@
 
 Only documents carry labels, so the words of a bounded training sample are labelled from them: a word in a toxic
 document is marked if it is, or starts with, a unit (a word or a prefix) that is significantly more frequent in toxic
-documents.  The sample has about TRAIN_DOCS documents of each label; of a text of more than TRAIN_CHARS code points
-the middle TRAIN_CHARS are learned from, all of them.  Near copies are thinned out of the sample first.  The field has two states; a word's feature weights belong
-to the same units.  It is trained by gradient ascent on the likelihood of the marked sequences.
+documents.  The sample has about TRAIN_DOCS documents of each label; of a text of more than TRAIN_CHARS code points the
+middle TRAIN_CHARS are learned from, all of them, in consecutive sequences.  Near copies are thinned out of the sample
+first.  The field has two states; a word's feature weights belong to the same units.  It is trained by gradient ascent
+on the likelihood of the marked sequences.
 
 A document is scored as a whole.  Forward-backward runs over all documents of a block at once, word by word; the
 two-state messages are log-odds.  A logistic layer, fitted on the training sample, turns the expected number of toxic
