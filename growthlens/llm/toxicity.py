@@ -44,6 +44,9 @@ SPAN_PROBABILITY = 0.5
 THRESHOLD = 0.7
 _SCAN_BYTES = 16 << 20
 _MAX_CACHED = 400_000
+#: Training goes through the sample in parts of about this many words, and through its documents in blocks.
+_PART_WORDS = 100_000
+_BLOCK_DOCS = 500
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
@@ -128,9 +131,9 @@ def document_features(p: list[np.ndarray]) -> np.ndarray:
 
 def _thinned(pairs: list[tuple[str, int]]) -> list[tuple[list[bytes], int]]:
     """Word lists without those that share a least five-word shingle with an earlier one."""
-    seen, kept = set(), []
+    seen, kept, known = set(), [], {}
     for text, label in pairs:
-        words = fold_words(text.encode())
+        words = [known.setdefault(w, w) for w in fold_words(text.encode())]  # one object a word, however often it comes
         if not words:
             continue
         key = min(crc32(b" ".join(s)) for s in zip(*(words[k:] for k in range(min(5, len(words))))))
@@ -142,15 +145,15 @@ def _thinned(pairs: list[tuple[str, int]]) -> list[tuple[list[bytes], int]]:
 
 def _telling(docs: list[tuple[list[bytes], int]]) -> tuple[set[bytes], list[bytes]]:
     """Units that mark toxic words, and all units worth a weight."""
-    counts, sizes = (Counter(), Counter()), [0, 0]
-    for words, label in docs:
-        sizes[label] += 1
-        counts[label].update({u for w in set(words) for u in units(w)})
+    sizes = [sum(label == k for _, label in docs) for k in (0, 1)]
+    counts = Counter(chain.from_iterable({u for w in set(words) for u in units(w)} for words, label in docs if label == 1))
+    often = {u: n for u, n in counts.items() if n >= 3}
+    del counts
+    cleans = Counter(chain.from_iterable({u for w in set(words) for u in units(w) if u in often}
+                                         for words, label in docs if label == 0))
     marking, scored = set(), []
-    for unit, toxic in counts[1].items():
-        clean = counts[0][unit]
-        if toxic < 3:
-            continue
+    for unit, toxic in often.items():
+        clean = cleans[unit]
         share = (toxic + 0.5) / (sizes[1] + 1), (clean + 0.5) / (sizes[0] + 1)
         both = (toxic + clean) / (sizes[0] + sizes[1])
         gain = 2 * toxic * np.log(toxic / (sizes[1] * both)) + (
@@ -162,6 +165,16 @@ def _telling(docs: list[tuple[list[bytes], int]]) -> tuple[set[bytes], list[byte
     return marking, [u for _, u in sorted(scored, reverse=True)[:MAX_UNITS]]
 
 
+def _parts(lengths: np.ndarray):
+    """(first word, last word, batch, places of words that follow another) of runs of sequences of about _PART_WORDS."""
+    ends = np.cumsum(lengths)
+    for k in np.split(np.arange(len(lengths)), np.flatnonzero(np.diff(ends // _PART_WORDS)) + 1):
+        batch = Batch(lengths[k])
+        inner = np.ones(int(lengths[k].sum()), dtype=bool)
+        inner[batch.starts[batch.lengths > 0]] = False
+        yield int(ends[k[0]] - lengths[k[0]]), int(ends[k[-1]]), batch, np.flatnonzero(inner)
+
+
 def train(pairs: list[tuple[str, int]]) -> Model | None:
     docs = _thinned(sorted(pairs))
     if len({label for _, label in docs}) < 2:
@@ -172,40 +185,41 @@ def train(pairs: list[tuple[str, int]]) -> Model | None:
     sequences = [(words[a:a + SEQUENCE_WORDS], label) for words, label in docs
                  for a in range(0, len(words), SEQUENCE_WORDS)]
     vocabulary: dict[bytes, int] = {}
-    ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for words, _ in sequences for w in words])
-    toxic_doc = np.repeat([label for _, label in sequences], [len(words) for words, _ in sequences])
-    spelled = [units(w) for w in vocabulary]
-    marked = np.array([any(u in marking for u in us) for us in spelled])
-    y = (toxic_doc == 1) & marked[ids]
-    owner = np.array([i for i, us in enumerate(spelled) for u in us if u in number], dtype=np.int64)
-    unit = np.array([number[u] for us in spelled for u in us if u in number], dtype=np.int64)
-    batch = Batch(np.array([len(words) for words, _ in sequences], dtype=np.int64))
-    inner = np.ones(len(ids), dtype=bool)
-    inner[batch.starts[batch.lengths > 0]] = False
-    inner = np.flatnonzero(inner)
+    lengths = np.array([len(words) for words, _ in sequences], dtype=np.int64)
+    ids = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for words, _ in sequences for w in words),
+                      dtype=np.int32, count=int(lengths.sum()))
+    marked = np.array([any(u in marking for u in units(w)) for w in vocabulary])
+    y = np.repeat(np.array([label == 1 for _, label in sequences]), lengths) & marked[ids]
+    owner = np.fromiter((i for i, w in enumerate(vocabulary) for u in units(w) if u in number), dtype=np.int32)
+    unit = np.fromiter((number[u] for w in vocabulary for u in units(w) if u in number), dtype=np.int32)
+    parts = list(_parts(lengths))
     weights, a = np.zeros(len(kept) + 1), np.zeros((2, 2))  # the last weight is the bias
     weights[-1] = -3.0
     mean, var = [np.zeros_like(weights), np.zeros_like(a)], [np.zeros_like(weights), np.zeros_like(a)]
-    seen_pairs = np.bincount(2 * y[inner - 1] + y[inner], minlength=4).reshape(2, 2)
+    seen_pairs = sum(np.bincount(2 * y[first:last][inner - 1] + y[first:last][inner], minlength=4).reshape(2, 2)
+                     for first, last, _, inner in parts)
     for step in range(1, STEPS + 1):
         word_score = np.bincount(owner, weights[unit], minlength=len(vocabulary)) + weights[-1]
-        d = word_score[ids]
-        forward, backward = batch.messages(d, a)
-        error = y - _sigmoid(forward + backward)
-        by_word = np.bincount(ids, error, minlength=len(vocabulary))
-        grad_w = np.append(np.bincount(unit, by_word[owner], minlength=len(kept)), error.sum()) - 0.1 * weights
-        joint = np.stack([np.zeros(len(inner)) + a[0, 0], d[inner] + backward[inner] + a[0, 1],
-                          forward[inner - 1] + a[1, 0],
-                          forward[inner - 1] + d[inner] + backward[inner] + a[1, 1]])
-        joint = np.exp(joint - joint.max(axis=0))
-        expected = (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2)
+        by_word, expected = np.zeros(len(vocabulary)), np.zeros((2, 2))
+        for first, last, batch, inner in parts:
+            mine = ids[first:last]
+            d = word_score[mine]
+            forward, backward = batch.messages(d, a)
+            by_word += np.bincount(mine, y[first:last] - _sigmoid(forward + backward), minlength=len(vocabulary))
+            joint = np.stack([np.zeros(len(inner)) + a[0, 0], d[inner] + backward[inner] + a[0, 1],
+                              forward[inner - 1] + a[1, 0],
+                              forward[inner - 1] + d[inner] + backward[inner] + a[1, 1]])
+            joint = np.exp(joint - joint.max(axis=0))
+            expected += (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2)
+        grad_w = np.append(np.bincount(unit, by_word[owner], minlength=len(kept)), by_word.sum()) - 0.1 * weights
         for i, (value, grad) in enumerate(((weights, grad_w), (a, seen_pairs - expected - 0.1 * a))):
             mean[i] += 0.1 * (grad - mean[i])
             var[i] += 0.02 * (grad ** 2 - var[i])
             value += 0.25 * (mean[i] / (1 - 0.9 ** step)) / (np.sqrt(var[i] / (1 - 0.98 ** step)) + 1e-8)
     model = Model({u: float(w) for u, w in zip(kept, weights) if abs(w) > 1e-3}, float(weights[-1]), a, np.zeros(5))
     emissions = Emissions(model)
-    x = document_features(marginals([words for words, _ in docs], emissions))
+    x = np.concatenate([document_features(marginals([words for words, _ in docs[i:i + _BLOCK_DOCS]], emissions))
+                        for i in range(0, len(docs), _BLOCK_DOCS)])
     model.logistic = _logistic(x, np.array([label for _, label in docs], dtype=np.float64))
     return model
 
