@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import month_start, months_between_boundaries, seconds_between
 from ..functions.ratios import pct, round_ratio
-from ..plans.base import customer_first, order_margin, orders_delivered
+from ..plans.base import customer_first, customer_spine, order_margin, orders_delivered
 from ..plans.skew import hot_keys, join_per_key
 from ..sources.star import Star
 
@@ -43,7 +43,7 @@ def cac_by_channel(star: Star) -> DataFrame:
 
 def cac_payback(star: Star) -> DataFrame:
     p = star.params
-    cf = customer_first(star)
+    cf = customer_spine(star)
     tenure = months_between_boundaries("cohort_month", "order_month")
     # (customer, month) partial sums first: the join input per customer is bounded by the calendar
     per_cm = (order_margin(star).groupBy("customer_id", "order_month")
@@ -76,14 +76,15 @@ def payback_month_by_channel(star: Star) -> DataFrame:
 def channel_scorecard(star: Star) -> DataFrame:
     p = star.params
     cf = customer_first(star).filter(F.col("cohort_month") <= F.lit(p.last_full_m1_cohort))
+    spine = customer_spine(star).filter(F.col("cohort_month") <= F.lit(p.last_full_m1_cohort))
     od = orders_delivered(star).select("customer_id", "order_month").distinct()
-    m1 = (od.join(cf.select("customer_id", "cohort_month"), "customer_id")
+    m1 = (od.join(spine.select("customer_id", "cohort_month"), "customer_id")
           .filter(months_between_boundaries("cohort_month", "order_month") == 1)
           .select("customer_id").distinct().withColumn("active_m1", F.lit(1)))
     om = order_margin(star).select("customer_id", "order_ts", "contribution_rs")
     # hot customers counted on the delivered orders (one scan), not on the margin join behind om
     hot = hot_keys(orders_delivered(star), "customer_id", p.hot_key_rows)
-    d90 = (join_per_key(om, cf.select("customer_id", "signup_ts"), "customer_id", p.hot_key_rows, hot=hot)
+    d90 = (join_per_key(om, spine.select("customer_id", "signup_ts"), "customer_id", p.hot_key_rows, hot=hot)
            .filter(seconds_between("signup_ts", "order_ts") < p.scorecard_days * 86400)
            .groupBy("customer_id")
            .agg(F.count(F.lit(1)).alias("orders_90d"), F.sum("contribution_rs").alias("contribution_90d")))

@@ -1,7 +1,7 @@
 """Data-quality audit, key integrity and order status profile.
 
-Every check is a distributed count.  The audit counts what a row fails by itself where it is
-read, and shuffles two columns of the orders and sums of lines and payments for the rest; the key checks meet keys as sets of bits.
+Every check is a distributed count.  The audit counts what a row fails by itself where it is read, and shuffles two
+columns of the orders and sums of lines and payments for the rest; the key checks meet keys as sets of bits.
 """
 
 from __future__ import annotations

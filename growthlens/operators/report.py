@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import months_between_boundaries, ts_lit
 from ..functions.ratios import DEC, pct, round_ratio
-from ..plans.base import (customer_first, order_margin, orders_as_of, orders_delivered, session_funnel, since,
-                          zone_group)
-from ..plans.skew import join_per_key
+from ..plans.base import (customer_first, customer_spine, order_margin, orders_as_of, orders_delivered,
+                          session_funnel, since, zone_group)
 from ..sources.star import Star
 from .churn import repeat_flags
 from .experience import _reorder_flags
@@ -130,18 +129,17 @@ def high_margin_categories(star: Star) -> DataFrame:
 def high_margin_attach(star: Star) -> DataFrame:
     """Share of delivered orders with at least one high-margin-category line, by tenure."""
     hm = high_margin_categories(star).withColumn("_hm", F.lit(1))
-    # products of those categories (product-level), then the line join with hot SKUs broadcast
+    # products of those categories (product-level), then the line join of plain scans: AQE splits the lines of a hot SKU
     hm_products = star.product.select("product_id", "category").join(F.broadcast(hm), "category") \
         .select("product_id")
-    attach = (join_per_key(star.items.select("order_id", "product_id"), hm_products, "product_id",
-                           star.params.hot_key_rows)
+    attach = (star.items.select("order_id", "product_id").join(hm_products, "product_id")
               .select("order_id").distinct().withColumn("_att", F.lit(1)))
     od = orders_delivered(star).select("order_id", "customer_id", "order_month")
     # flag on the order key, then (customer, month) partial sums before the customer join
     per_cm = (od.join(attach, "order_id", "left")
               .groupBy("customer_id", "order_month")
               .agg(F.count(F.lit(1)).alias("_n"), F.sum(F.coalesce("_att", F.lit(0))).alias("_a")))
-    cf = customer_first(star).select("customer_id", "cohort_month")
+    cf = customer_spine(star).select("customer_id", "cohort_month")
     off = months_between_boundaries("cohort_month", "order_month")
     return (per_cm.join(cf, "customer_id")
             .groupBy(tenure_bucket(off).alias("tenure_bucket"))
