@@ -71,7 +71,7 @@ def _iban() -> str:
     """Two letters, two digits and as many characters as the country's accounts have, in groups by blanks or not."""
     kinds = "|".join(rf"(?:{'|'.join(codes.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{length - 4}}}"
                      for length, codes in IBAN_LENGTHS.items())
-    return rf"(?<![A-Za-z0-9])(?:{kinds})(?![A-Za-z0-9])"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{kinds})(?![A-Za-z0-9])"
 
 
 @dataclass(frozen=True)
