@@ -44,9 +44,11 @@ def test_dim_date_monday_is_zero(star):
     dd = dim_date(star)
     r = dd.filter(F.col("date_key") == F.lit(dt.date(2001, 7, 2))).first()  # a Monday
     assert (r.day_of_week, r.day_name, r.is_weekend, r.week_start) == (0, "Monday", 0, dt.date(2001, 7, 2))
-    lo, hi = star.orders.agg(F.min("order_ts"), F.max("order_ts")).first()
+    ends = [d for df, c in ((star.orders, "order_ts"), (star.customer, "signup_ts"), (star.events, "event_ts"),
+                            (star.spend, "month_start")) for d in df.agg(F.min(c).cast("date"), F.max(c).cast("date")).first()]
     first, last = dd.agg(F.min("date_key"), F.max("date_key")).first()
-    assert first == lo.date().replace(day=1) and last >= hi.date() and (last + dt.timedelta(days=1)).day == 1
+    assert first.day == 1 and first == (min(ends).replace(day=1) - dt.timedelta(days=1)).replace(day=1)
+    assert (last + dt.timedelta(days=1)).day == 1 and 28 <= (last - max(ends).replace(day=1)).days <= 62
     assert dd.count() == (last - first).days + 1
 
 
