@@ -16,7 +16,7 @@ from ..config import FIXTURES, Params
 from ..functions.dates import epoch_second, from_epoch_second, month_start, ts_lit
 from ..functions.ratios import idiv
 from ..plans.sessionize import sessionize
-from ..plans.skew import join_per_key
+from ..plans.skew import join_per_key, pieces
 from .star import Star
 
 # Fixed values of the fixture rules (FIXTURES.md section 3).
@@ -50,6 +50,9 @@ EVENT_NAMES = {
 EVENT_SHIFT_DAYS = 8219
 PRIVATE_LABEL_BRAND = "Brand#1"
 
+#: Lines in one piece of their shuffle, on average: some 200 MB of a task's memory.
+LINES_A_PIECE = 200_000
+
 
 def _map(col, mapping: dict) -> F.Column:
     expr = None
@@ -94,7 +97,7 @@ def tpch_star(spark: SparkSession, sf_dir: str, params: Params = FIXTURES) -> St
         idiv(_cents("l_extendedprice") * _cents("l_discount") + 5000, F.lit(10000)).alias("disc"))
     # One hash shuffle by order id serves the (order, part) grouping, the order
     # totals and the join with orders (an order has a handful of lines: no hot key).
-    lines = lines.repartition("order_id")
+    lines = lines.repartition(pieces(rd("lineitem"), LINES_A_PIECE), "order_id")
     groups = (lines.groupBy("order_id", "product_id")
               .agg(F.sum("qty").alias("quantity"), F.sum("amt").alias("line_amount"),
                    F.sum("disc").alias("disc_amount")))
