@@ -55,14 +55,17 @@ def _buckets(events: DataFrame, user: str, t: str, bucket_seconds: int,
 
 def sessionize(events: DataFrame, user: str, t: str, tie: str,
                gap_seconds: int, bucket_seconds: int,
-               hot_rows: int | None = None, fine_seconds: int = 60) -> DataFrame:
+               hot_rows: int | None = None, fine_seconds: int = 60, pieces: int | None = None) -> DataFrame:
     """Add ``session_idx`` (1-based per user) and ``is_session_start`` (0/1).
 
     ``t`` is an integer time in seconds, ``tie`` breaks equal times.  A new
     session starts at a user's first event and whenever the time since the
-    previous event (in (t, tie) order) exceeds ``gap_seconds``.
+    previous event (in (t, tie) order) exceeds ``gap_seconds``.  ``pieces`` says how many tasks share the windows; without
+    it adaptive execution merges them by their shuffled bytes.
     """
     ev = _buckets(events, user, t, bucket_seconds, hot_rows, fine_seconds)
+    if pieces:
+        ev = ev.repartition(pieces, user, "_bk")
     w_local = Window.partitionBy(user, "_bk").orderBy(t, tie)
     prev = F.lag(t).over(w_local)
     ev = (ev.withColumn("_prev", prev)
@@ -82,7 +85,8 @@ def sessionize(events: DataFrame, user: str, t: str, tie: str,
                            - F.col("_bstarts"))
                .select(user, "_bk", "_fstart", "_before"))
 
-    out = ev.join(buckets, [user, "_bk"])
+    # summaries are nearly as many as the events, whatever size the planner expects: both sides are dealt out, none broadcast
+    out = ev.join(buckets.hint("merge"), [user, "_bk"])
     is_first_in_bucket = F.col("_prev").isNull()
     return (out
             .withColumn("session_idx", F.col("_before") + F.col("_fstart") + F.col("_lrun"))

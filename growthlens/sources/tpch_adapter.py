@@ -50,8 +50,8 @@ EVENT_NAMES = {
 EVENT_SHIFT_DAYS = 8219
 PRIVATE_LABEL_BRAND = "Brand#1"
 
-#: Lines in one piece of their shuffle, on average: some 200 MB of a task's memory.
-LINES_A_PIECE = 200_000
+#: Lines and events in one piece of their shuffles, on average: some 200 MB of a task's memory.
+LINES_A_PIECE, EVENTS_A_PIECE = 200_000, 50_000
 
 
 def _map(col, mapping: dict) -> F.Column:
@@ -180,7 +180,8 @@ def tpch_star(spark: SparkSession, sf_dir: str, params: Params = FIXTURES) -> St
         (epoch_second("ts") - EVENT_SHIFT_DAYS * 86400).alias("t"))
     ev = sessionize(ev, "customer_id", "t", "event_id",
                     params.session_gap_seconds, params.session_bucket_seconds,
-                    params.session_hot_bucket_rows, params.session_fine_seconds)
+                    params.session_hot_bucket_rows, params.session_fine_seconds,
+                    pieces(rd("events"), EVENTS_A_PIECE))
     uid = F.col("customer_id")
     ev = (ev.withColumn("session_id", uid * 100000 + F.col("session_idx"))
             .withColumn("event_ts", from_epoch_second(F.col("t")))

@@ -2,9 +2,12 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import growthlens.sources.tpch_adapter as adapter
 from growthlens.catalog import QUERIES
 from growthlens.config import FIXTURES
+from growthlens.plans.sessionize import sessionize
 from growthlens.plans.skew import pieces
 from growthlens.sources.tpch_adapter import tpch_star
 
@@ -30,3 +33,12 @@ def test_lines_are_dealt_by_their_number(spark, monkeypatch):
     for name in ("category_mix", "product_health", "high_margin_attach", "dq_key_integrity"):
         dealt = re.findall(r"hashpartitioning\(order_id#\d+L, (\d+)\), REPARTITION", plan(QUERIES[name](star)))
         assert dealt and set(dealt) == {str(expected)}, (name, dealt)
+
+
+def test_session_windows_are_dealt_by_pieces_and_summaries_not_broadcast(spark):
+    ev = spark.range(3000).select((F.col("id") % 7).alias("u"), (F.col("id") * 977 % 90_000).alias("t"), "id")
+    whole = sessionize(ev, "u", "t", "id", 3600, 900)
+    dealt = sessionize(ev, "u", "t", "id", 3600, 900, pieces=11)
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, whole.collect()))
+    p = plan(dealt)
+    assert re.search(r"hashpartitioning\(u#\d+L, _bk#\d+L, 11\)", p) and "BroadcastHashJoin" not in p, p
