@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.star import month_ranged
+
 
 def delivered() -> Column:
     return F.col("status") == "delivered"
@@ -70,14 +72,16 @@ def month_feed(orders: DataFrame, customers: DataFrame) -> DataFrame:
 
     ``orders`` are fact rows with month, ``customers`` have customer_id, acquisition_channel and platform.  A bucket
     holds 32,768 neighbouring ids, so a bitmap has 4 KB however many orders a customer has.  Orders are summed a
-    (customer, month, store) before the join with the customers, so no customer is a hot key.
+    (customer, month, store) before the join with the customers, so no customer is a hot key.  Those narrow rows, not
+    bitmaps, are dealt out: by ranges of month and bucket, as the feed is written.  A cell holds a bucket's customers by
+    store, however many orders there are.
     """
     parts = list(ORDER_PARTS)
     per = orders.groupBy("customer_id", "month", "store_id").agg(*[partial(a).alias(a) for a in parts])
     active = F.when(F.col("_act") == 1, F.col("customer_id"))
     sums = [merged(a).alias(column_of(a)) for a in parts if a != "_act"]
-    return (per.join(customers, "customer_id", "left")
-            .groupBy(*FEED_KEYS, F.bitmap_bucket_number("customer_id").alias(_BUCKET))
+    rows = per.join(customers, "customer_id", "left").withColumn(_BUCKET, F.bitmap_bucket_number("customer_id"))
+    return (month_ranged(rows, "month", _BUCKET).groupBy(*FEED_KEYS, _BUCKET)
             .agg(*sums, F.bitmap_construct_agg(F.bitmap_bit_position(active)).alias(_ACTIVE)))
 
 
