@@ -38,7 +38,8 @@ def _scored(star: Star) -> DataFrame:
         F.col("lifetime_net").alias("monetary_rs"),
         rounded_units("rating_sum", "rating_n", 6).alias("avg_rating_micro"))
     return distributed_ntiles(base, "customer_id", {
-        "r_score": -F.col("recency_days"), "f_score": F.col("frequency"), "m_score": F.col("monetary_rs")}, 5)
+        "r_score": -F.col("recency_days"), "f_score": F.col("frequency"), "m_score": F.col("monetary_rs")}, 5,
+        rows=star.customer)
 
 
 def customer_rfm(star: Star) -> DataFrame:

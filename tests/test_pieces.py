@@ -4,12 +4,14 @@ import re
 
 from pyspark.sql import functions as F
 
+import growthlens.plans.ntile as ntile
 import growthlens.sources.tpch_adapter as adapter
 from growthlens.catalog import QUERIES
 from growthlens.config import FIXTURES
 from growthlens.plans.sessionize import sessionize
 from growthlens.plans.skew import pieces
 from growthlens.sources.tpch_adapter import tpch_star
+from tests.helpers import T, customer, order, star_from_rows
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +44,30 @@ def test_session_windows_are_dealt_by_pieces_and_summaries_not_broadcast(spark):
     assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, whole.collect()))
     p = plan(dealt)
     assert re.search(r"hashpartitioning\(u#\d+L, _bk#\d+L, 11\)", p) and "BroadcastHashJoin" not in p, p
+
+
+def test_ranks_are_dealt_by_the_number_of_products_and_customers(spark, monkeypatch):
+    asked, frame = [], type(spark.range(0))
+    deal = frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda self, n, *cols: asked.append(n) or deal(self, n, *cols))
+    monkeypatch.setattr(ntile, "RANKS_A_RANGE", 12)
+    cores = spark.sparkContext.defaultParallelism
+    products = [(i, f"p{i}", f"c{i % 3}", 100, 60, 0) for i in range(50 * cores)]
+    people = [customer(i, T(1998, 7, 1)) for i in range(40 * cores)]
+    star = star_from_rows(
+        spark, product=products, customer=people, orders=[order(1, 1, T(1998, 7, 20))], items=[(1, 7, 2, 100, 200)])
+    tiers = QUERIES["product_tier_mix"](star).collect()
+    assert sum(r.star + r.solid + r.watch + r.review for r in tiers) == 50 * cores
+    assert [r.product_id for r in QUERIES["product_review_list"](star).collect()] != []
+    assert len(QUERIES["customer_rfm"](star).collect()) == 1
+    # four scores of a product, three of a customer, 12 in a range
+    assert set(asked) == {-(-50 * cores // 3), 10 * cores}, asked
+
+
+def test_ranks_without_a_count_take_the_sessions_shuffle_partitions(spark):
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.unset("spark.sql.shuffle.partitions")
+    try:
+        assert ntile._parts(spark) == int(spark.conf.get("spark.sql.shuffle.partitions")) > 8
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
