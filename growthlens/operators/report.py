@@ -132,8 +132,9 @@ def high_margin_attach(star: Star) -> DataFrame:
     # products of those categories (product-level), then the line join of plain scans: AQE splits the lines of a hot SKU
     hm_products = star.product.select("product_id", "category").join(F.broadcast(hm), "category") \
         .select("product_id")
-    attach = (star.items.select("order_id", "product_id").join(hm_products, "product_id")
-              .select("order_id").distinct().withColumn("_att", F.lit(1)))
+    attach = (star.dealt("items", star.items.select("order_id", "product_id").join(hm_products, "product_id")
+                         .select("order_id"), "order_id")
+              .distinct().withColumn("_att", F.lit(1)))
     od = orders_delivered(star).select("order_id", "customer_id", "order_month")
     # flag on the order key, then (customer, month) partial sums before the customer join
     per_cm = (od.join(attach, "order_id", "left")

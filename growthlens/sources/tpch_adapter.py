@@ -97,7 +97,8 @@ def tpch_star(spark: SparkSession, sf_dir: str, params: Params = FIXTURES) -> St
         idiv(_cents("l_extendedprice") * _cents("l_discount") + 5000, F.lit(10000)).alias("disc"))
     # One hash shuffle by order id serves the (order, part) grouping, the order
     # totals and the join with orders (an order has a handful of lines: no hot key).
-    lines = lines.repartition(pieces(rd("lineitem"), LINES_A_PIECE), "order_id")
+    line_pieces = pieces(rd("lineitem"), LINES_A_PIECE)
+    lines = lines.repartition(line_pieces, "order_id")
     groups = (lines.groupBy("order_id", "product_id")
               .agg(F.sum("qty").alias("quantity"), F.sum("amt").alias("line_amount"),
                    F.sum("disc").alias("disc_amount")))
@@ -203,5 +204,5 @@ def tpch_star(spark: SparkSession, sf_dir: str, params: Params = FIXTURES) -> St
                      (F.col("signups") * rate).cast("long").alias("spend_inr")))
 
     return Star(store=store, product=product, customer=customer, orders=orders, items=items,
-                events=events, spend=spend, params=params)
+                events=events, spend=spend, params=params, pieces={"items": line_pieces})
 

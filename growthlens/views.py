@@ -26,7 +26,8 @@ def with_params(star: Star, **params) -> Star:
     unknown = [p for p in params if not hasattr(star.params, p)]
     if unknown:
         raise KeyError(f"unknown parameters {unknown}")
-    return Star(**star.tables(), params=star.params.with_(**params), by_month=star.by_month, loaded=star.loaded)
+    return Star(**star.tables(), params=star.params.with_(**params), by_month=star.by_month, loaded=star.loaded,
+                pieces=star.pieces)
 
 
 def register(star: Star, names: list[str], prefix: str = "") -> list[str]:

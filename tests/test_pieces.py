@@ -71,3 +71,17 @@ def test_ranks_without_a_count_take_the_sessions_shuffle_partitions(spark):
         assert ntile._parts(spark) == int(spark.conf.get("spark.sql.shuffle.partitions")) > 8
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", kept)
+
+
+def test_attach_flags_are_dealt_by_the_number_of_lines(spark):
+    products = [(1, "a", "rich", 100, 10, 0), (2, "b", "poor", 100, 95, 0)]
+    orders = [order(i, i % 3, T(1998, 7, 2 + i)) for i in range(1, 9)]
+    items = [(i, p, 1, 100, 100) for i in range(1, 9) for p in ((1, 2) if i % 4 == 0 else (2,))]
+    star = star_from_rows(spark, product=products, orders=orders, items=items,
+                          customer=[customer(i, T(1998, 7, 1)) for i in range(3)])
+    whole = QUERIES["high_margin_attach"](star)
+    star.pieces["items"] = 7
+    dealt = QUERIES["high_margin_attach"](star)
+    assert re.search(r"hashpartitioning\(order_id#\d+L, 7\), REPARTITION_BY_NUM", plan(dealt)), plan(dealt)
+    rows = sorted(map(tuple, dealt.collect()))
+    assert rows == sorted(map(tuple, whole.collect())) and [r[1:] for r in rows] == [(8, 25.0)], rows
